@@ -311,7 +311,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     places = places.groupBy("dk", "th").agg(F.collect_list("places").alias("places"))
 
     keyed = base.repartition(slots, "dk", "th")
-    around = keyed.join(places, ["dk", "th"]).select("dk", "th", "text", "places")
+    # Both joins read the same columns of `keyed`, so that Spark shuffles it once and reads it twice.
+    around = keyed.join(places, ["dk", "th"]).select("doc_id", "dk", "th", "text", "places")
     windows = around.mapInArrow(_extend(window, block, buckets), _WIRE)
     flags = windows.groupBy("slot").applyInArrow(_settle, "dk long, th long, starts binary")
     flags = flags.groupBy("dk", "th").agg(F.collect_list("starts").alias("starts"))
