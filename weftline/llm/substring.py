@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from weftline.llm.words import hash_words, split_words, text_buffers, window_hashes, windows_of
 from weftline.session import plan_bytes, ship
 
-#: Words of a pack, and bytes of stored input for a bucket.
-PACK_WORDS = 2_000_000
-BUCKET_BYTES = 12 << 20
+#: Words of a pack, and bytes of stored input for a bucket: with these, a Python worker takes some 150 MB. Larger
+#: executors should take larger ones, for fewer and longer rows.
+PACK_WORDS = 1 << 19
+BUCKET_BYTES = 8 << 20
 
 _LAST_ID = (1 << 63) - 1
 _WIRE = "slot int, kind int, pack long, a binary, b binary, c binary"
