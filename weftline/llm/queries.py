@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, quality, simhash, substring
+from weftline.llm import mixing, quality, secrets, simhash, substring
 from weftline.session import table
 
 
@@ -24,6 +24,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] <= 3)
+    n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = secrets.span_list(F.col("spans")).alias("spans")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.span_list(base), 256).alias("base_sha256"), listed)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,6 +41,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
 }
 
