@@ -17,6 +17,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Bytes of a token for models that look through punctuation: letters, digits and all non-ASCII.
+IS_TOKEN = np.zeros(256, bool)
+IS_TOKEN[48:58] = IS_TOKEN[65:91] = IS_TOKEN[97:123] = IS_TOKEN[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -45,12 +48,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def split_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(raw: np.ndarray, offsets: np.ndarray, belongs: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and length of every word, and the number of words of each text."""
     n = len(raw)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    word = _IS_WORD[raw]
+    word = belongs[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = offsets[:-1][offsets[:-1] < n]
@@ -67,9 +70,14 @@ def split_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def hash_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; with `lower`, of the word with A-Z lower-cased."""
+    return hash_prefixes(raw, starts, lengths, (), lower)[0]
+
+
+def hash_prefixes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cuts: tuple[int, ...], lower: bool = False) -> list[np.ndarray]:
+    """Hashes of each word, and of its first `cut` bytes for each of the (ascending) cuts."""
     if lower:
         raw = _LOWER[raw]
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in range(len(cuts) + 1)]
     if not len(starts):
         return out
     short = np.minimum(lengths, _LONG + 1).astype(np.uint8)
@@ -78,13 +86,15 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower:
     at = starts[order]
     h = np.full(len(order), _START)
     for k in range(_LONG):
+        if k in cuts:
+            out[1 + cuts.index(k)][order] = mix(h ^ np.minimum(short[order], k))
         n = active[k]
-        if not n:
-            break
         h[:n] = (h[:n] ^ raw[at[:n] + k]) * _PRIME
-    out[order] = mix(h ^ short[order])
+        if not n and k >= max(cuts, default=0):
+            break
+    out[0][order] = mix(h ^ short[order])
     for i in np.flatnonzero(lengths > _LONG):
-        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + lengths[i]].tobytes(), 7)
+        out[0][i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + lengths[i]].tobytes(), 7)
     return out
 
 
