@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, neighbours, quality, secrets, simhash, substring, toxicity
+from weftline.llm import lm, mixing, neighbours, quality, secrets, simhash, substring, toxicity
 from weftline.session import table
 
 
@@ -45,6 +45,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", lm.remainder(F.col("doc_id")) == 1)
+    model = lm.train(docs.where("NOT held_out"))
+    return lm.score(docs, model, keep=("doc_id", "held_out"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_substring_dedup": op3_substring_dedup,
@@ -53,6 +59,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 SQL = {
