@@ -27,10 +27,10 @@ BOTH_CLASS_DISTANCE, BOTH_WORD_DISTANCE = 0.145, 0.24
 
 # Frequent function words of the four languages.
 COMMON = (
-    ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "with"]
-    + ["der", "die", "und", "das", "von", "den", "mit", "ist", "zu", "auf", "nicht", "sich"]
-    + ["de", "la", "le", "et", "les", "des", "un", "pour", "dans", "du", "une", "que"]
-    + ["el", "los", "las", "en", "por", "con", "para", "se", "del", "una", "y", "no"]
+    ["the", "of", "and", "to", "in", "a", "is", "that"]
+    + ["der", "die", "und", "das", "von", "den", "mit", "zu"]
+    + ["de", "la", "le", "et", "les", "des", "un", "que"]
+    + ["el", "los", "las", "en", "por", "con", "para", "y"]
 )
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -40,14 +40,16 @@ def _left(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others + "+", "")).cast("long")
 
 
-def _repeat_words(h: Column) -> Column:
-    """From the hashes of all 3-word windows: how many words lie in a window found twice or more."""
-    pairs = F.array_sort(F.arrays_zip(h.alias("h"), F.sequence(F.lit(1), F.size(h)).alias("p")))
-    rest = F.size(h) - 1
-    equal = F.zip_with(F.slice(pairs, 1, rest), F.slice(pairs, 2, rest), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
-    places = F.array_distinct(F.flatten(F.filter(equal, F.isnotnull)))
-    covered = F.array_distinct(F.concat(places, F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p + 2)))
-    return F.when(F.size(h) == F.size(F.array_distinct(h)), 0).otherwise(F.size(covered))
+#: Of the window hashes `h`: their order, as longs that hold a hash's high bits over its place in the low `b` bits.
+_SORTED = "sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, b), b) | cast(i AS bigint)))"
+_SAME = "shiftright(x, b) = shiftright(get(s, {j}), b) AND get(h, int(x & shiftleft(1L, b) - 1)) = get(h, int(get(s, {j}) & shiftleft(1L, b) - 1))"
+#: Places of the windows that stand twice or more: neighbours in that order whose whole hashes are equal.
+_PLACES = f"transform(filter(s, (x, i) -> coalesce({_SAME.format(j='i - 1')}, false) OR coalesce({_SAME.format(j='i + 1')}, false)), x -> x & shiftleft(1L, b) - 1)"
+
+
+def _covered(places: Column) -> Column:
+    """How many words the 3-word windows at these places cover."""
+    return F.size(F.array_distinct(F.concat(places, F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p + 2))))
 
 
 def measure(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -57,9 +59,9 @@ def measure(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     # Generators hold what lies below them fixed: each array is made once, not once per use.
     rows = rows.select("doc_id", *keep, "lang", F.inline(F.array(F.struct("text", "w"))))
     n = F.size("w") - 2
-    windows = F.when(n > 0, F.transform(F.arrays_zip(F.slice("w", 1, n).alias("a"), F.slice("w", 2, n).alias("b"), F.slice("w", 3, n).alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
-    listed = F.filter(F.transform("w", F.lower), lambda x: x.isin(*COMMON))
+    windows = F.when(n > 0, F.transform(F.slice("w", 1, n), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    listed = F.filter("w", lambda x: x.isin(*COMMON))
     size = F.length("text").cast("long")
     fields = {
         "n_words": F.size("w").cast("long"),
@@ -72,9 +74,14 @@ def measure(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
         "wide": _left(F.col("text"), r"[\x00-\x7F]"),
         "lines": lines,
         "h": F.coalesce(windows, F.array().cast("array<bigint>")),
+        "b": F.length(F.bin(F.size("w"))),
         "listed": listed,
     }
     rows = rows.select("doc_id", *keep, "lang", F.inline(F.array(F.struct(*[c.alias(k) for k, c in fields.items()]))))
+    repeats = F.size("h") > F.size(F.array_distinct("h"))
+    rows = rows.withColumn("h", F.when(repeats, F.col("h")).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.expr(_SORTED).alias("s")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.expr(_PLACES).alias("places")))))
     blank = F.col("n_chars") - F.col("word_chars")
     marked = [F.col("upper"), F.col("digits"), F.col("points"), F.col("wide"), F.col("n_symbols"), blank]
     other = F.col("n_chars") - reduce(lambda a, b: a + b, marked)
@@ -82,7 +89,7 @@ def measure(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(
         "doc_id", *keep, "lang", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("h")).cast("long").alias("n_repeat_words"),
+        _covered(F.col("places")).cast("long").alias("n_repeat_words"),
         F.array(*marked, other).alias("classes"),
         F.array(*counts, F.col("n_words") - F.size("listed")).alias("common"),
     )
@@ -99,8 +106,8 @@ def references(measured: DataFrame) -> DataFrame:
 
 def distance(own: str, ref: str) -> Column:
     """Jensen-Shannon distance of two count arrays; null where either is empty."""
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-    share = lambda c: F.transform(c, lambda x: F.try_divide(x.cast("double"), total(F.col(c))))
+    # The reciprocals are columns of the row, or they would be summed again for each element.
+    share = lambda c: F.transform(c, lambda x: x.cast("double") * F.col(f"{c}_unit"))
 
     def part(p: Column, q: Column) -> Column:
         both = (p + q) / 2
@@ -116,10 +123,13 @@ def judge(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     listed = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("other")
     measured = measured.withColumn("language", listed)
     rows = measured.join(F.broadcast(references(measured)), "language", "left")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    units = [F.try_divide(F.lit(1.0), total(c)).alias(f"{c}_unit") for c in ("classes", "classes_ref", "common", "common_ref")]
+    rows = rows.select("*", F.inline(F.array(F.struct(*units))))
     rows = rows.withColumns({"class_distance": distance("classes", "classes_ref"), "word_distance": distance("common", "common_ref")})
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    chars = total("classes")
     by_class, by_word = F.col("class_distance"), F.col("word_distance")
     far = (by_class > MAX_CLASS_DISTANCE) | (by_word > MAX_WORD_DISTANCE) | ((by_class > BOTH_CLASS_DISTANCE) & (by_word > BOTH_WORD_DISTANCE))
     far = far & (chars >= MIN_CHARS) & (n >= MIN_WORDS)
