@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.words import hash_words, split_words, text_buffers, window_hashes, windows_of
+from weftline.llm.words import hash_words, mix, split_words, text_buffers, window_hashes, windows_of
 from weftline.session import plan_bytes, ship
 
 #: Words of a pack, and bytes of stored input for a bucket: with these, a Python worker takes some 150 MB. Larger
@@ -233,39 +233,57 @@ def _extend(window: int, block: int, buckets: int):
 
 
 def _flags(dk: np.ndarray, th: np.ndarray, start: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows that say at which words of a text windows with an earlier twin start."""
+    """Words at which windows with an earlier twin start, packed by a slot of their text's id."""
+    slot = mix(dk.astype(np.int64).view(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((start, th, dk, slot))
+    dk, th, start, slot = dk[order], th[order], start[order], slot[order]
+    rows = []
+    for lo, hi in _spans(_groups(slot), len(slot)):
+        i, t = dk[lo:hi].astype(np.int64), th[lo:hi].astype(np.int64)
+        runs = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
+        heads = np.concatenate([i[runs], t[runs], np.diff(runs, append=hi - lo)])
+        rows.append((int(slot[lo]), _KNOWN, 0, heads.tobytes(), start[lo:hi].astype(np.uint32).tobytes(), None))
+    return rows
+
+
+def _unpack(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, text hashes and places from packed rows of (heads, places)."""
+    dk, th = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for heads, _ in rows:
+        ids, texts, n = np.frombuffer(heads, np.int64).reshape(3, -1)
+        dk.append(np.repeat(ids, n))
+        th.append(np.repeat(texts, n))
+    return np.concatenate(dk), np.concatenate(th), np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x, np.uint32) for _, x in rows]])
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """One slot of texts: the flagged words of each text."""
+    dk, th, start = _unpack(list(zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)))
     order = np.lexsort((start, th, dk))
     dk, th, start = dk[order], th[order], start[order]
-    edges = np.flatnonzero(np.r_[np.ones(min(1, len(dk)), bool), (dk[1:] != dk[:-1]) | (th[1:] != th[:-1])])
-    return [
-        (int(th[lo]) % buckets, _KNOWN, int(dk[lo]), int(th[lo]).to_bytes(8, "little", signed=True), start[lo:hi].astype(np.uint32).tobytes(), None)
-        for lo, hi in _spans(edges, len(dk))
-    ]
-
+    runs = np.flatnonzero(np.r_[np.ones(min(1, len(dk)), bool), (dk[1:] != dk[:-1]) | (th[1:] != th[:-1])])
+    starts = [np.unique(start[lo:hi]).tobytes() for lo, hi in _spans(runs, len(dk))]
+    return pa.table({"dk": pa.array(dk[runs]), "th": pa.array(th[runs]), "starts": pa.array(starts, pa.binary())})
+
+
+def _settle(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket: every window but the earliest of its kind is flagged."""
+        rows = table.to_pylist()
+        out = [tuple(r[k] for k in ("slot", "kind", "pack", "a", "b", "c")) for r in rows if r["kind"] == _KNOWN]
+        sent = [r for r in rows if r["kind"] == _PROBES]
+        if sent:
+            hashes = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in sent])
+            dk, th, start = _unpack([(r["b"], r["c"]) for r in sent])
+            order = np.lexsort((start, dk, hashes))
+            begins = _groups(hashes[order])
+            head = order[np.repeat(begins, np.diff(begins, append=len(order)))]
+            later = np.empty(len(order), bool)
+            later[order] = (dk[order] != dk[head]) | (start[order] != start[head])
+            out += _flags(dk[later], th[later], start[later], buckets)
+        return pa.Table.from_batches([_wire(out)])
 
-def _settle(table: pa.Table) -> pa.Table:
-    """One bucket: every window but the earliest of its kind is flagged."""
-    rows = table.to_pylist()
-    flags = [r for r in rows if r["kind"] == _KNOWN]
-    sent = [r for r in rows if r["kind"] == _PROBES]
-    out = [(r["pack"], int.from_bytes(r["a"], "little", signed=True), r["b"]) for r in flags]
-    if sent:
-        hashes = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in sent])
-        start = np.concatenate([np.frombuffer(r["c"], np.uint32) for r in sent])
-        dk, th = [], []
-        for r in sent:
-            ids, texts, n = np.frombuffer(r["b"], np.int64).reshape(3, -1)
-            dk.append(np.repeat(ids, n))
-            th.append(np.repeat(texts, n))
-        dk, th = np.concatenate(dk), np.concatenate(th)
-        order = np.lexsort((start, dk, hashes))
-        begins = _groups(hashes[order])
-        head = order[np.repeat(begins, np.diff(begins, append=len(order)))]
-        later = np.empty(len(order), bool)
-        later[order] = (dk[order] != dk[head]) | (start[order] != start[head])
-        out += [(pack, int.from_bytes(a, "little", signed=True), b) for _, _, pack, a, b, _ in _flags(dk[later], th[later], start[later], 1)]
-    dk, th, starts = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"dk": pa.array(dk, pa.int64()), "th": pa.array(th, pa.int64()), "starts": pa.array(starts, pa.binary())})
+    return run
 
 
 def _cut(window: int):
@@ -277,7 +295,7 @@ def _cut(window: int):
                 n = len(words)
                 if starts:
                     edge = np.zeros(n + 1, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in starts])).astype(np.int64)
+                    at = np.frombuffer(starts, np.uint32).astype(np.int64)
                     edge[at] += 1
                     edge[at + window] -= 1
                     keep = np.flatnonzero(np.cumsum(edge)[:n] == 0)
@@ -315,7 +333,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # Both joins read the same columns of `keyed`, so that Spark shuffles it once and reads it twice.
     around = keyed.join(places, ["dk", "th"]).select("doc_id", "dk", "th", "text", "places")
     windows = around.mapInArrow(_extend(window, block, buckets), _WIRE)
-    flags = windows.groupBy("slot").applyInArrow(_settle, "dk long, th long, starts binary")
-    flags = flags.groupBy("dk", "th").agg(F.collect_list("starts").alias("starts"))
+    flags = windows.groupBy("slot").applyInArrow(_settle(buckets), _WIRE)
+    flags = flags.groupBy("slot").applyInArrow(_by_text, "dk long, th long, starts binary")
     joined = keyed.join(flags, ["dk", "th"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
