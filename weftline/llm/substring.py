@@ -208,11 +208,12 @@ def _extend(window: int, block: int, buckets: int):
             at = at[wanted]
             if not len(at):
                 continue
-            start = at - (np.cumsum(counts) - counts)[text]
+            base = np.cumsum(counts) - counts
+            start = at - base[text]
             hashes = window_hashes(words, window)[at]
             slots = (window_hashes(words, window, seed=1)[at] % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((start, dk[text], hashes, slots))
-            hashes, slots, text, start = hashes[order], slots[order], text[order], start[order]
+            hashes, slots, text, start, at = hashes[order], slots[order], text[order], start[order], at[order]
             begins = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (slots[1:] != slots[:-1])])
             head = np.repeat(begins, np.diff(begins, append=len(hashes)))
             later = (dk[text] != dk[text[head]]) | (start != start[head])
@@ -222,11 +223,11 @@ def _extend(window: int, block: int, buckets: int):
             edges = _groups(slot)
             for lo, hi in _spans(edges, len(slot)):
                 own = keep[lo:hi]
-                own = own[np.lexsort((start[own], text[own]))]
+                own = own[np.argsort(at[own])]
                 t = text[own]
                 runs = _groups(t)
-                heads = np.concatenate([dk[t[runs]].astype(np.int64), th[t[runs]].astype(np.int64), np.diff(runs, append=len(t))])
-                rows.append((int(slot[lo]), _PROBES, len(runs), hashes[own].tobytes(), heads.astype(np.int64).tobytes(), start[own].astype(np.uint32).tobytes()))
+                heads = np.concatenate([dk[t[runs]].astype(np.int64), th[t[runs]].astype(np.int64), np.diff(runs, append=len(t)), base[t[runs]]])
+                rows.append((int(slot[lo]), _PROBES, 0, hashes[own].tobytes(), heads.astype(np.int64).tobytes(), _gaps(at[own])))
             yield _wire(rows)
 
     return run
@@ -241,19 +242,23 @@ def _flags(dk: np.ndarray, th: np.ndarray, start: np.ndarray, buckets: int) -> l
     for lo, hi in _spans(_groups(slot), len(slot)):
         i, t = dk[lo:hi].astype(np.int64), th[lo:hi].astype(np.int64)
         runs = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
-        heads = np.concatenate([i[runs], t[runs], np.diff(runs, append=hi - lo)])
-        rows.append((int(slot[lo]), _KNOWN, 0, heads.tobytes(), start[lo:hi].astype(np.uint32).tobytes(), None))
+        n = np.diff(runs, append=hi - lo)
+        # Texts are laid end to end, so that places ascend and gaps stay small.
+        ends = np.cumsum(start[lo:hi][runs + n - 1] + 1)
+        base = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        heads = np.concatenate([i[runs], t[runs], n, base])
+        rows.append((int(slot[lo]), _KNOWN, 0, heads.tobytes(), _gaps(start[lo:hi] + np.repeat(base, n)), None))
     return rows
 
 
 def _unpack(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, text hashes and places from packed rows of (heads, places)."""
-    dk, th = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for heads, _ in rows:
-        ids, texts, n = np.frombuffer(heads, np.int64).reshape(3, -1)
-        dk.append(np.repeat(ids, n))
-        th.append(np.repeat(texts, n))
-    return np.concatenate(dk), np.concatenate(th), np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x, np.uint32) for _, x in rows]])
+    found = [[np.empty(0, np.int64)] for _ in range(3)]
+    for heads, places in rows:
+        ids, texts, n, base = np.frombuffer(heads, np.int64).reshape(4, -1)
+        for out, values in zip(found, (np.repeat(ids, n), np.repeat(texts, n), _ungaps(places) - np.repeat(base, n)), strict=True):
+            out.append(values)
+    return tuple(np.concatenate(x) for x in found)
 
 
 def _by_text(table: pa.Table) -> pa.Table:
@@ -262,7 +267,7 @@ def _by_text(table: pa.Table) -> pa.Table:
     order = np.lexsort((start, th, dk))
     dk, th, start = dk[order], th[order], start[order]
     runs = np.flatnonzero(np.r_[np.ones(min(1, len(dk)), bool), (dk[1:] != dk[:-1]) | (th[1:] != th[:-1])])
-    starts = [np.unique(start[lo:hi]).tobytes() for lo, hi in _spans(runs, len(dk))]
+    starts = [np.unique(start[lo:hi]).astype(np.uint32).tobytes() for lo, hi in _spans(runs, len(dk))]
     return pa.table({"dk": pa.array(dk[runs]), "th": pa.array(th[runs]), "starts": pa.array(starts, pa.binary())})
 
 
