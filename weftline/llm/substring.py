@@ -324,7 +324,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     block = window // 2
     size = plan_bytes(docs)
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    # The session's own number: with another, the joins would shuffle the text once more to agree on one.
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("dk"), F.xxhash64("text").alias("th"))
 
