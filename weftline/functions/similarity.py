@@ -6,7 +6,11 @@ import difflib
 import json
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.session import ship
 
 
 def similarity(a: object, b: object) -> float:
@@ -32,17 +36,28 @@ def arguments(text: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-@F.pandas_udf("double")
-def argument_similarity(expected: pd.Series, predicted: pd.Series) -> pd.Series:
+def _similarities(expected: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series([similarity(arguments(a), arguments(b)) for a, b in zip(expected, predicted, strict=True)], dtype=float)
 
 
-@F.pandas_udf("correct long, total long, accuracy double")
-def parameter_accuracy(expected: pd.Series, predicted: pd.Series) -> pd.DataFrame:
-    """Expected keys whose value is equal (1, 1.0 and true are), of all expected keys; none expected: accuracy 1."""
+def _accuracies(expected: pd.Series, predicted: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(expected, predicted, strict=True):
         want, got = arguments(a), arguments(b)
         correct = sum(1 for k, v in want.items() if k in got and got[k] == v)
         rows.append((correct, len(want), correct / len(want) if want else 1.0))
     return pd.DataFrame(rows, columns=["correct", "total", "accuracy"])
+
+
+def argument_similarity(expected: str, predicted: str) -> Column:
+    """Similarity of two columns of JSON arguments, 0 to 1."""
+    ship(SparkSession.active())
+    return F.pandas_udf(_similarities, T.DoubleType())(expected, predicted)
+
+
+def parameter_accuracy(expected: str, predicted: str) -> Column:
+    """A struct (correct, total, accuracy): expected keys whose value is equal (1, 1.0 and true are), of all expected
+    keys; where none is expected, accuracy is 1."""
+    ship(SparkSession.active())
+    kind = T.StructType([T.StructField("correct", T.LongType()), T.StructField("total", T.LongType()), T.StructField("accuracy", T.DoubleType())])
+    return F.pandas_udf(_accuracies, kind)(expected, predicted)

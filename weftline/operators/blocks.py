@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from weftline.functions.text import transcript
 
-_ORDER = W.partitionBy("conversation_id").orderBy("ordinal")
+def _in_order() -> WindowSpec:
+    return W.partitionBy("conversation_id").orderBy("ordinal")
 
 
 def with_blocks(messages: DataFrame, first_only: bool = False) -> DataFrame:
     """Adds block: a user message opens the next; system messages and what precedes the first user are dropped."""
     talk = messages.where("role <> 'system'")
-    talk = talk.withColumn("block", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(_ORDER)).where("block >= 1")
+    talk = talk.withColumn("block", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(_in_order())).where("block >= 1")
     return talk.where("block = 1") if first_only else talk
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.functions.judge import tolerant_json
+from weftline.session import ship
 
 EVENT = "key string, seq long, event string, payload string"
 
@@ -74,6 +75,7 @@ def buffered(events: DataFrame, most: int = 10_000, retention: str = "60 seconds
         if ended:
             state.setTimeoutDuration(wait)
 
+    ship(events.sparkSession)
     schema = "key string, seq long, event string, kept boolean"
     return events.select("key", "seq", "event").groupBy("key").applyInPandasWithState(step, schema, "held long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
