@@ -8,11 +8,15 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch: with texts of 100 KB, a batch takes 100 MB at most.
 ARROW_ROWS = 1024
 
+#: Catalyst gives a size beyond any real one to what it cannot estimate.
+UNKNOWN_BYTES = 1 << 55
+
 
 def local_session(name: str = "weftline", cores: str = "*", **conf: str) -> SparkSession:
     """A local session with adaptive execution, UTC and few shuffle partitions."""
@@ -47,9 +51,12 @@ def ship(spark: SparkSession) -> None:
     context._weftline_shipped = True
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes `df` reads; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's estimate of the bytes `df` reads, without a job; where it knows none, the texts are measured."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < UNKNOWN_BYTES:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
