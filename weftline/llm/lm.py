@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weftline.llm import files
 from weftline.llm.staging import fresh_path, stage
 from weftline.llm.words import hash_words, mix, split_words, text_buffers
-from weftline.session import plan_bytes, ship
+from weftline.session import input_bytes, ship
 
 PACK_TOKENS = 1 << 19
 SLOT_BYTES = 8 << 20
@@ -186,7 +186,7 @@ def train(docs: DataFrame) -> Model:
     """Counts the texts of `docs` and writes the model's arrays into the shared folder."""
     spark = docs.sparkSession
     ship(spark)
-    bits = max(0, math.ceil(math.log2(max(1, plan_bytes(docs)) / SLOT_BYTES)))
+    bits = max(0, math.ceil(math.log2(max(1, input_bytes(docs)) / SLOT_BYTES)))
     folder = fresh_path(spark, "model")
     texts = docs.select("text")
     empty = Model(folder, bits, {})

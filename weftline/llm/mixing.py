@@ -34,24 +34,27 @@ RESERVE, MOST = 32_768, 1 << 24
 
 
 def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size (at most `spare`) come nearest to `budget` from below."""
+    """How many of each size (at most `spare`) come nearest to `budget`, of equally near sums the smaller."""
     taken = np.zeros(len(sizes), np.int64)
-    reached, via = np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int64)
+    # Beyond twice the budget, taking nothing is nearer; beyond one largest item, some item can be left out.
+    top = min(2 * budget, budget + int(sizes.max(initial=0)))
+    reached, via = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int64)
     reached[0] = True
     items: list[tuple[int, int, int]] = []
     for i in np.argsort(sizes, kind="stable"):
-        left, part = min(int(spare[i]), budget // int(sizes[i])), 1
+        left, part = min(int(spare[i]), top // int(sizes[i])), 1
         while left > 0 and not reached[budget]:
             part = min(part, left)
             weight = part * int(sizes[i])
-            fresh = np.flatnonzero(reached[: budget + 1 - weight] & ~reached[weight:]) + weight
+            fresh = np.flatnonzero(reached[: top + 1 - weight] & ~reached[weight:]) + weight
             via[fresh] = len(items)
             reached[fresh] = True
             items.append((i, part, weight))
             left, part = left - part, part * 2
         if reached[budget]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, part, weight = items[via[at]]
         taken[i] += part
@@ -61,6 +64,8 @@ def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take for a sum near `budget`; sizes are distinct and positive."""
+    if budget <= 0:
+        return np.zeros(len(sizes), np.int64)
     if budget >= int((sizes * counts).sum()):
         return counts.copy()
     order = np.argsort(-sizes, kind="stable")
@@ -77,7 +82,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         used += int(more * size[i])
     left = budget - used
     if 0 < left <= MOST:
-        fits = np.flatnonzero((size <= left) & (taken < count))
+        fits = np.flatnonzero((size < 2 * left) & (taken < count))
         taken[fits] += knapsack(size[fits], (count - taken)[fits], left)
     out = np.empty(len(size), np.int64)
     out[order] = taken

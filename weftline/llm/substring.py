@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import hash_words, mix, split_words, text_buffers, window_hashes, windows_of
-from weftline.session import plan_bytes, ship
+from weftline.session import input_bytes, ship
 
 #: Words of a pack, and bytes of stored input for a bucket: with these, a Python worker takes some 150 MB. Larger
 #: executors should take larger ones, for fewer and longer rows.
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     ship(docs.sparkSession)
     block = window // 2
-    size = plan_bytes(docs)
+    size = input_bytes(docs, text_col)
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     # The session's own number: with another, the joins would shuffle the text once more to agree on one.
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
