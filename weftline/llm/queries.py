@@ -83,7 +83,71 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
+def _quality_sql() -> str:
+    common = "[" + ", ".join(f"'{w}'" for w in quality.COMMON) + "]"
+    listed = ", ".join(f"'{x}'" for x in quality.LANGUAGES)
+    left = lambda others: f"length(regexp_replace(t, '{others}+', '', 'g'))"
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p + q) / 2)) ELSE 0 END"
+    return rf"""
+WITH x AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+y AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS wc,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l,
+  length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')) AS ns FROM x),
+g AS (SELECT rid, i, w[i:i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM y)),
+d AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1),
+v AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM d) GROUP BY 1),
+m AS (SELECT y.*, coalesce(v.n, 0) AS nr, CASE WHEN lang IN ({listed}) THEN lang ELSE 'other' END AS language,
+  [{left("[^A-Z]")}, {left("[^0-9]")}, {left("[^.,;:!?]")}, {left("[\x00-\x7F]")}, ns, length(t) - wc] AS c6,
+  list_transform({common}, lambda a: len(list_filter(w, lambda b: a = b))) AS cw FROM y LEFT JOIN v USING (rid)),
+f AS (SELECT *, list_append(c6, length(t) - list_sum(c6)) AS classes, list_append(cw, len(w) - list_sum(cw)) AS common FROM m),
+u AS (SELECT rid, language, 'c' AS f, unnest(classes) AS n, unnest(range(1, 8)) AS i FROM f
+  UNION ALL SELECT rid, language, 'w', unnest(common), unnest(range(1, {len(quality.COMMON) + 2})) FROM f),
+r AS (SELECT language, f, i, sum(n) AS n FROM u GROUP BY ALL),
+s AS (SELECT rid, f, sum(n) AS n FROM u GROUP BY ALL), z AS (SELECT language, f, sum(n) AS n FROM r GROUP BY ALL),
+pq AS (SELECT u.rid, u.f, u.n / nullif(s.n, 0) AS p, r.n / nullif(z.n, 0) AS q FROM u JOIN r USING (language, f, i) JOIN s ON s.rid = u.rid AND s.f = u.f JOIN z USING (language, f)),
+j AS (SELECT rid, f, sqrt(greatest(sum({part.format("p")} + {part.format("q")}) / 2, 0)) AS d FROM pq GROUP BY ALL),
+a AS (SELECT f.*, jc.d AS dc, jw.d AS dw, len(w) < 50 OR 100 * nr > 50 * len(w) AS failed FROM f
+  LEFT JOIN j jc ON jc.rid = f.rid AND jc.f = 'c' LEFT JOIN j jw ON jw.rid = f.rid AND jw.f = 'w')
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(wc AS BIGINT) AS word_chars, CAST(ns AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(nr AS BIGINT) AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT coalesce(length(t) >= {quality.MIN_CHARS} AND len(w) >= {quality.MIN_WORDS} AND (dc > {quality.MAX_CLASS_DISTANCE} OR dw > {quality.MAX_WORD_DISTANCE}
+    OR (dc > {quality.BOTH_CLASS_DISTANCE} AND dw > {quality.BOTH_WORD_DISTANCE})), false) AS kept FROM a"""
+
+
+def _secrets_sql() -> str:
+    blob = f"[{secrets.BLOB_CHARS}]{{20,}}"
+    kinds = [("assign", secrets.ASSIGN, 2, 6), ("access", secrets.ACCESS, 0, 0), ("hex", secrets.HEX, 0, 0), ("ident", secrets.IDENT, 2, 3), ("blob", blob, 0, 0), ("endpoint", secrets.ENDPOINT, 0, 0)]
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(kinds, 1):
+        p = pattern.replace("'", "''")
+        tests = "regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Z]') AND regexp_matches(v[i], '[a-z]')" if kind == "blob" else f"length(v[i]) >= {least}"
+        found.append(f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, i, length(g[i]) + length(h[i]) AS step, length(h[i]) AS len, {tests} AS counts FROM (
+  SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS v FROM x))""")
+    listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
+    near = lambda k: f"max(CAST(kind IN {k} AS INT)) OVER w"
+    return f"""
+WITH x AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+e AS ({" UNION ALL ".join(found)}),
+p AS (SELECT *, stop - len AS start FROM (SELECT *, sum(step) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM e)),
+n AS (SELECT *, {near(secrets.SECRET)} AS secret, {near(secrets.IDENTIFIER)} AS identifier FROM p WHERE counts
+  WINDOW w AS (PARTITION BY rid ORDER BY start RANGE BETWEEN {secrets.SCOPE} PRECEDING AND {secrets.SCOPE} FOLLOWING)),
+k AS (SELECT * FROM n WHERE rank <= 3 OR (kind = 'ident' AND secret = 1) OR (kind = 'blob' AND identifier = 1) OR (kind = 'endpoint' AND secret = 1 AND identifier = 1))
+SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256({listed.format(" FILTER (WHERE rank <= 3)")}) AS base_sha256, {listed.format(" FILTER (WHERE kind IS NOT NULL)")} AS spans
+FROM x LEFT JOIN k USING (rid) GROUP BY rid, doc_id"""
+
+
 SQL = {
+    "op3_substring_dedup": r"""
+WITH x AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, p, w[p:p + 19] AS k FROM (SELECT *, unnest(range(1, len(w) - 18)) AS p FROM x)),
+f AS (SELECT rid, p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS LAST, p) AS i FROM g) WHERE i > 1),
+c AS (SELECT DISTINCT rid, unnest(range(p, p + 20)) AS j FROM f),
+u AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM x),
+s AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM u ANTI JOIN c USING (rid, j) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM x LEFT JOIN s USING (rid)""",
+    "op6_secret_scan": _secrets_sql(),
+    "op8_quality_rules": _quality_sql(),
     "op4_chat_formatting": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations

@@ -36,9 +36,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 _LOGINS = ["username", "user", "login", "account", "client_id", "access_key_id", "key_id"]
 IDENT = "(" + "|".join(map(either_case, _LOGINS)) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)"""
-_BLOB_CHARS = "A-Za-z0-9+/_=-"
+BLOB_CHARS = "A-Za-z0-9+/_=-"
 #: Runs of 20 characters or more that hold a digit, an upper- and a lower-case letter; tried at a run's start only.
-BLOB = rf"(?<![{_BLOB_CHARS}])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[{_BLOB_CHARS}]{{20,}}"
+BLOB = rf"(?<![{BLOB_CHARS}])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[{BLOB_CHARS}]{{20,}}"
 ENDPOINT = r"[a-z]+://[A-Za-z0-9._:@/-]+"
 
 
