@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import judge, similarity, text
-from weftline.operators import blocks, datasets, graphs, lifecycle, scoring, selection, validators
+from weftline.operators import blocks, datasets, graphs, lifecycle, linting, scoring, selection, validators
 from weftline.sources import readers, sinks
 from weftline.streaming import events
 
@@ -197,3 +197,45 @@ def test_buffer_counts_in_a_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("append").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.seq, r.kept) for r in spark.table("kept").orderBy("seq").collect()] == [(0, True), (1, True), (2, False), (3, False), (4, True), (5, True)]
+
+
+CALLS = "conversation_id string, ordinal int, role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string"
+
+
+def test_lint_of_transcripts(spark):
+    rows = [
+        ("c", 0, "user", "Encik, hi", None, None), ("c", 1, "assistant", "", [("1", "f", "{}"), ("2", "g", "{bad")], None),
+        ("c", 2, "tool", '{"error": {"http_status": 500}}', None, "1"), ("c", 3, "tool", "no", None, "9"), ("d", 0, "user", "tak", None, None),
+    ]
+    m = spark.createDataFrame(rows, CALLS)
+    got = {(r.conversation_id, r.rule, r.detail) for r in linting.lint_transcripts(m, spark.createDataFrame([("f",)], "name string"), ("tak",), (1, 2), 2).collect()}
+    assert got == {
+        ("c", "unknown_function", "g"), ("c", "arguments_not_json", "g"), ("c", "content_not_json", None), ("c", "unpaired_result", "9"),
+        ("d", "no_vocative", None), ("d", "few_functions", "0"), ("d", "forbidden", "tak"),
+    }
+    meta = {r.conversation_id: (r.user_turns, r.max_parallel, r.api_errors, r.functions) for r in linting.transcript_metadata(m).collect()}
+    assert meta == {"c": (1, 2, 1, ["f", "g"]), "d": (1, 0, 0, None)}
+
+
+def test_ids_and_parameters(spark):
+    parameters = '{"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "integer"}, "b": {"type": "string"}, "c": {"type": "number"}}}'
+    df = spark.createDataFrame([('{"a": true, "b": 3, "c": 1.5, "z": 1}', parameters, '{"order_id": "AB-123", "x": "has a-blank y", "id": "7"}'), ("bad", "{}", "bad")], "a string, p string, t string")
+    c = F.col
+    got = df.select(
+        linting.required_coverage(c("a"), c("p")).alias("r"), linting.type_accuracy(c("a"), c("p")).alias("t"), linting.harvested_ids(c("t")).alias("h"),
+        F.transform(linting.keyed_ids(c("t")), lambda x: F.concat_ws("=", x["key"], x["value"])).alias("k"), linting.id_propagation(linting.harvested_ids(c("t")), F.lit("AB-123"), F.lit("-")).alias("p"),
+    ).collect()
+    assert [(r.r, round(r.t, 3), r.h, r.k, r.p) for r in got] == [(1.0, 0.667, ["AB-123"], ["order_id=AB-123", "id=7"], 0.0), (1.0, 1.0, [], [], None)]
+
+
+def test_lint_of_libraries(spark):
+    fns = spark.createDataFrame([("l", "f", "d", "s", "r", '{"type": "object", "x": "#/shared_entities/e/y"}'), ("l", "f", None, "s", "r", "{}")], "library string, name string, description string, stage string, returns string, parameters string")
+    got = {(r.rule, r.detail) for r in linting.lint_library(fns, spark.createDataFrame([("l", "g")], "library string, name string"), spark.createDataFrame([("l", "o")], "library string, key string")).collect()}
+    assert got == {("function_count", "2"), ("missing_field", "f"), ("parameters_type", "f"), ("duplicate_name", "f"), ("dangling_ref", "e"), ("original_lost", "g")}
+
+
+def test_style_guide(spark):
+    df = spark.createDataFrame([("formal", "ms", True, False, "forbid", ["x"]), ("colloquial", "en", False, True, "allowlist", [])], "r string, p string, f boolean, a boolean, l string, w array<string>")
+    got = [r[0] for r in df.select(text.style_guide(*map(F.col, "rpfalw"))).collect()]
+    assert got[0].startswith("Respond in Formal Malay. Use full") and got[0].endswith("Translate all technical terms.")
+    assert got[1] == "Respond in a casual, conversational Malaysian register."

@@ -158,3 +158,29 @@ def usage_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out:
     """Dollars at prices per million tokens; an unknown price is 0."""
     zero = F.lit(0.0)
     return (tokens_in * F.coalesce(rate_in, zero) + tokens_out * F.coalesce(rate_out, zero)) / 1e6
+
+
+def is_transient_error(status: Column, message: Column, markers: tuple[str, ...] = ("timeout", "timed out", "connection reset", "overloaded", "temporarily unavailable")) -> Column:
+    """Whether a provider's failure is worth a retry, by its status code or, without one, by its message."""
+    by_text = F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(markers))
+    return F.when(status.isNotNull(), status.isin(408, 429, 500, 502, 503, 504)).otherwise(by_text)
+
+
+def style_guide(register: Column, primary: Column, formal_malay: Column, particles: Column, loanwords: Column, allowed: Column) -> Column:
+    """The sentences that tell a model how to write, from a language profile; sentences that do not apply are left out."""
+    formal_ms = (register == "formal") & (primary == "ms")
+    foreign = primary != "en"
+    # The sentences themselves.
+    return F.concat_ws(
+        " ",
+        F.when(formal_ms, "Respond in Formal Malay.")
+        .when((register == "formal") & (primary == "en"), "Respond in formal English appropriate for enterprise customer support.")
+        .when(register == "formal", "Respond in a formal register.")
+        .when(register == "semi-formal", "Respond in a polite, professional tone with light contractions allowed.")
+        .when(register == "colloquial", "Respond in a casual, conversational Malaysian register."),
+        F.when(formal_ms & formal_malay, "Use full standard spelling (e.g. 'tidak' not 'tak', 'sahaja' not 'je', 'sudah' not 'dah'). Do not use SMS shortcuts."),
+        F.when(~particles, "Do not use Manglish/Bahasa Rojak particles such as 'lah', 'lor', 'meh', 'kan', 'kot', 'wei', 'doh', 'eh', 'ah', 'ke', 'leh', 'mah'."),
+        F.when((loanwords == "forbid") & foreign, "Do not use English loanwords. Translate all technical terms.")
+        .when((loanwords == "allowlist") & foreign & (F.size(allowed) > 0), F.concat(F.lit("Only the following English loanwords are permitted: "), F.array_join(allowed, ", "), F.lit(". Avoid other English words.")))
+        .when((loanwords == "allowlist") & foreign, "Avoid English loanwords unless strictly necessary for technical accuracy."),
+    )

@@ -530,3 +530,57 @@ def function_risk(spark, sf):
     verbs = F.array(*map(F.lit, ["create", "list", "get", "refund", "search"]))
     name = F.concat_ws("_", F.element_at(verbs, (F.col("p_partkey") % 5 + 1).cast("int")), "p_brand")
     return table(spark, sf, "part").select("p_partkey", text.risk_class(name, F.lit(None).cast("string")).alias("risk"))
+
+
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS key, l_linenumber % 2 AS "index", arg_max(l_returnflag, l_linenumber * 100000000 + l_partkey) AS name,
+  string_agg(l_linestatus, '' ORDER BY l_linenumber, l_partkey, l_linestatus) AS arguments FROM {lineitem} GROUP BY 1, 2""")
+def assembled_calls(spark, sf):
+    line = table(spark, sf, "lineitem").withColumn("seq", F.col("l_linenumber").cast("long") * 100_000_000 + F.col("l_partkey"))
+    rows = line.select(F.col("l_orderkey").cast("string").alias("key"), "seq", (F.col("l_linenumber") % 2).alias("index"), F.lit(None).cast("string").alias("id"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("arguments"))
+    return streams.assemble_calls(rows).select("key", "index", "name", "arguments")
+
+
+@query("""
+SELECT c_custkey, 'Dear ' || c_name || ', ' || c_mktsegment || '!' AS greeting,
+  CASE WHEN c_custkey % 4 = 0 THEN 'formal' WHEN c_custkey % 4 = 1 THEN 'colloquial' WHEN c_custkey % 4 = 2 THEN 'semi-formal' ELSE 'mixed' END AS register FROM customer""")
+def rendered_prompts(spark, sf):
+    c, k = F.col, F.col("c_custkey") % 4
+    greeting = text.render_template(F.lit("Dear {{ name }}, {{a.segment}}{{nobody}}!"), {"name": c("c_name"), "a.segment": c("c_mktsegment")})
+    register = validators.resolve_formality(F.when(k == 2, "semi-formal").otherwise("inherit"), F.when(k == 0, "baku").when(k == 1, "manglish"), F.lit("mixed"))
+    return table(spark, sf, "customer").select("c_custkey", greeting.alias("greeting"), register.alias("register"))
+
+
+@query("""
+SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'updated' ELSE 'created' END AS action FROM supplier WHERE regexp_matches(s_name, '^[a-zA-Z_][a-zA-Z0-9_]*$')
+UNION ALL SELECT s_name, 'failed' FROM supplier WHERE NOT regexp_matches(s_name, '^[a-zA-Z_][a-zA-Z0-9_]*$')""")
+def import_actions(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), "s_suppkey")
+    return datasets.import_plan(s, s.where("s_suppkey % 2 = 0"), overwrite=True)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN a > 0 AND b > 0 THEN 'TP' WHEN b > 0 THEN 'FP' WHEN a > 0 THEN 'FN' ELSE 'TN' END AS outcome
+FROM (SELECT *, l_partkey % 2 AS a, l_suppkey % 2 AS b FROM lineitem)""")
+def confusion_classes(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", scoring.confusion(F.col("l_partkey") % 2, F.col("l_suppkey") % 2).alias("outcome"))
+
+
+@query("""
+SELECT l_orderkey, round(sum((l_quantity * coalesce(i, 0) + l_partkey * coalesce(o, 0)) / 1000000), 9) AS cost FROM lineitem
+LEFT JOIN (VALUES ('A', 0.15, 0.60), ('N', 2.5, 10.0)) p(m, i, o) ON m = l_returnflag GROUP BY 1""")
+def usage_costs(spark, sf):
+    prices = spark.createDataFrame([("A", 0.15, 0.60), ("N", 2.5, 10.0)], "l_returnflag string, i double, o double")
+    priced = table(spark, sf, "lineitem").join(F.broadcast(prices), "l_returnflag", "left")
+    return priced.groupBy("l_orderkey").agg(F.round(F.sum(text.usage_cost(F.col("l_quantity"), F.col("l_partkey"), F.col("i"), F.col("o"))), 9).alias("cost"))
+
+
+@query("SELECT list(DISTINCT coalesce(language, 'unknown') ORDER BY coalesce(language, 'unknown')) AS values FROM {facts} f")
+def distinct_languages(spark, sf):
+    return dashboard.distinct_values(inputs(spark, sf, "facts"), "language")
+
+
+@query("""
+SELECT doc_id FROM (SELECT doc_id, lower(concat_ws(' ', source, text)) AS t FROM {documents}) WHERE contains(t, 'license')""")
+def text_search(spark, sf):
+    return selection.search(table(spark, sf, "documents"), "LICENSE", "source", "text").select("doc_id")
