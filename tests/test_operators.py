@@ -7,7 +7,7 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import judge, similarity, text
+from weftline.functions import judge, similarity, text, toolcalls
 from weftline.operators import blocks, datasets, graphs, lifecycle, linting, scoring, selection, validators
 from weftline.sources import readers, sinks
 from weftline.streaming import events
@@ -239,3 +239,25 @@ def test_style_guide(spark):
     got = [r[0] for r in df.select(text.style_guide(*map(F.col, "rpfalw"))).collect()]
     assert got[0].startswith("Respond in Formal Malay. Use full") and got[0].endswith("Translate all technical terms.")
     assert got[1] == "Respond in a casual, conversational Malaysian register."
+
+
+@pytest.mark.parametrize(
+    ("raw", "names", "content"),
+    [
+        ('Hi [TOOL_CALLS][{"name": "f", "arguments": {"a": "]"}}] bye', ["f"], "Hi  bye"),
+        ('[TOOL_CALLS]f{"a": "}"} g {"b": 1}', ["f", "g"], ""),
+        ('x <tool_call>{"name": "f"}</tool_call> y', ["f"], "x  y"),
+        ("[TOOL_CALLS][bad", [], "[TOOL_CALLS][bad"), ("plain", [], "plain"), (None, [], None), ("[TOOL_CALLS]", [], "[TOOL_CALLS]"),
+    ],
+)
+def test_calls_in_text(spark, raw, names, content):
+    got = spark.createDataFrame([(raw,)], "t string").select(toolcalls.parse_inline_calls("t").alias("p")).first()["p"]
+    assert ([c["name"] for c in got["calls"]], got["content"]) == (names, content)
+
+
+def test_stored_calls_and_references(spark):
+    rows = [('[{"name": "f", "arguments": {"a": 1}}, {"id": "7", "function": {"name": "g", "arguments": "{}"}}, {"id": "8"}]',), ("bad",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(toolcalls.stored_calls(F.col("t")).alias("c")).collect()
+    assert [[tuple(x) for x in r.c] for r in got] == [[("", "f", '{"a":1}'), ("7", "g", "{}")], [], []]
+    refs = spark.createDataFrame([('{"x": {"$ref": "#/shared_entities/e"}}', '{"e": {"y": [{"$ref": "#/shared_entities/e"}]}}')], "s string, e string")
+    assert refs.select(toolcalls.resolve_references("s", "e").alias("r")).first()["r"] == '{"x": {"y": [{"$ref": "#/shared_entities/e"}]}}'
