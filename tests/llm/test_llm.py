@@ -408,19 +408,42 @@ def test_language_model_of_odd_rows(odd):
 # pipeline
 
 
-def test_pipeline(spark, sf_dir):
+def brute_fingerprint(text, shingle):
+    w = words(text.encode().lower().decode())
+    parts = [b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_pipeline(spark, sf_dir, duck):
+    """Each stage against plain Python or SQL over what the stage before it kept."""
     import corpus_pipeline
 
     docs = table(spark, sf_dir, "documents")
+    kept = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({queries.SQL['op8_quality_rules']}) WHERE kept").fetchall()}
     for name, step in corpus_pipeline.STAGES:
-        before, docs = docs, staging.stage(step(spark, docs, sf_dir), name)
-        assert docs.columns[:5] == before.columns[:5] and docs.count() > 0
-        if name in ("quality_rules", "near_dedup"):
-            assert docs.exceptAll(before).count() == 0
-        if name == "near_dedup":
-            left = simhash.near_groups(docs, shingle=5).groupBy("component").count()
-            assert left.where("count > 1").count() == 0
-        if name == "secret_scan":
-            assert secrets.scan(docs).where("size(filter(spans, s -> s.rank <= 3)) > 0").count() == 0
-    model = pieces.pieces(pieces.MODEL)
-    assert all(r.ids == model.library.encode(r.text) for r in docs.limit(50).collect())
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = staging.stage(step(spark, docs, sf_dir), name)
+        rows = docs.collect()
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and rows
+        after = {r.doc_id: r for r in rows}
+        if name == "quality_rules":
+            assert set(after) == kept and all(after[i] == before[i] for i in after)
+        elif name == "near_dedup":
+            groups = brute_groups({i: brute_fingerprint(r.text or "", 5) for i, r in before.items()}, most=5)
+            assert set(after) == set(groups.values()) and all(after[i] == before[i] for i in after)
+        elif name == "secret_scan":
+            spans = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(before.values()), docs.schema)).collect()}
+            for i, r in before.items():
+                text, at, out = r.text or "", 0, ""
+                for s in spans[i]:
+                    if s["start"] >= at:
+                        out += text[at : s["start"]] + "[SECRET]"
+                    at = max(at, s["end"])
+                assert (after[i].text or "", after[i].n_chars) == (out + text[at:], len(out + text[at:]))
+        elif name == "source_mix":
+            wanted = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(list(before.values()), docs.schema)).collect()}
+            assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in wanted.items() if n})
+        else:
+            model = pieces.pieces(pieces.MODEL)
+            assert all(r.ids == model.library.encode(r.text or "") for r in rows)
