@@ -37,11 +37,11 @@ def duck():
 
 def plain(value):
     if isinstance(value, float):
-        return round(value, 9)
+        return float(f"{value:.9g}")
     if isinstance(value, list):
         return tuple(map(plain, value))
     if type(value).__name__ == "Decimal":
-        return round(float(value), 9)
+        return float(f"{float(value):.9g}")
     return value
 
 
