@@ -137,7 +137,33 @@ SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FIL
 FROM x LEFT JOIN k USING (rid) GROUP BY rid, doc_id"""
 
 
+def _language_model_sql() -> str:
+    d = lambda k: f"least({k} - 0.05, greatest(0.05, {k} - {k + 1} * (n1 / (n1 + 2 * n2)) * n{k + 1} / n{k}))"
+    kinds = lambda c: ", ".join(f"greatest(1, count(*) FILTER (WHERE {c} = {k})) AS n{k}" for k in (1, 2, 3, 4))
+    cut = lambda c, t: f"CASE WHEN {c} >= 3 THEN {t}.d3 WHEN {c} = 2 THEN {t}.d2 WHEN {c} = 1 THEN {t}.d1 ELSE 0 END"
+    return rf"""
+WITH t AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END, n) AS c FROM range(256) r(n))),
+x AS (SELECT row_number() OVER () AS rid, doc_id, xor(list_reduce(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: xor(a // 256, t.t[xor(a, b) % 256 + 1]), 4294967295), 4294967295) % 5 = 1 AS held,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w FROM documents, t),
+k AS (SELECT rid, held, w[i] AS tok, CASE WHEN i = 1 THEN ' start' ELSE w[i - 1] END AS prev FROM (SELECT rid, held, w, unnest(range(1, len(w) + 1)) AS i FROM x)),
+u AS (SELECT tok, count(*) AS c FROM k WHERE NOT held GROUP BY 1),
+b AS (SELECT prev, tok, count(*) AS c FROM k WHERE NOT held GROUP BY 1, 2),
+a AS (SELECT tok, count(*) AS k FROM b GROUP BY 1),
+v AS (SELECT prev, sum(c) AS n, count(*) FILTER (WHERE c = 1) AS m1, count(*) FILTER (WHERE c = 2) AS m2, count(*) FILTER (WHERE c >= 3) AS m3 FROM b GROUP BY 1),
+d2 AS (SELECT {d(1)} AS d1, {d(2)} AS d2, {d(3)} AS d3 FROM (SELECT {kinds("c")} FROM b)),
+d1 AS (SELECT {d(1)} AS d1, {d(2)} AS d2, {d(3)} AS d3 FROM (SELECT {kinds("k")} FROM a)),
+g AS (SELECT (SELECT sum(c) FROM u) AS nt, (SELECT count(*) FROM u) AS vt, (SELECT count(*) FROM b) AS kt, (SELECT sum({cut("k", "d1")}) FROM a, d1) AS s),
+p AS (SELECT k.rid, coalesce(u.c, 0) AS c, (coalesce(a.k, 0) - ({cut("coalesce(a.k, 0)", "d1")})) / g.kt + g.s / g.kt / (g.vt + 1) AS low,
+    coalesce(b.c, 0) AS bc, {cut("coalesce(b.c, 0)", "d2")} AS bd, v.n, (d2.d1 * v.m1 + d2.d2 * v.m2 + d2.d3 * v.m3) / v.n AS gamma, g.nt, g.vt
+  FROM k LEFT JOIN u USING (tok) LEFT JOIN a USING (tok) LEFT JOIN b ON b.prev = k.prev AND b.tok = k.tok LEFT JOIN v ON v.prev = k.prev, g, d1, d2),
+s AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, CAST(any_value(nt) AS BIGINT) AS train_tokens,
+    sum(log10((c + 0.5) / (nt + 0.5 * (vt + 1)))) AS base_score, sum(log10(CASE WHEN n IS NULL THEN low ELSE (bc - bd) / n + gamma * low END)) AS score FROM p GROUP BY 1)
+SELECT x.doc_id, x.held AS held_out, n_tokens, n_known, train_tokens, base_score, score FROM x JOIN s USING (rid)"""
+
+
 SQL = {
+    "op10_lm_scoring": _language_model_sql(),
     "op3_substring_dedup": r"""
 WITH x AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT rid, doc_id, p, w[p:p + 19] AS k FROM (SELECT *, unnest(range(1, len(w) - 18)) AS p FROM x)),
