@@ -87,13 +87,20 @@ def _spans(begins: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def _gaps(positions: np.ndarray) -> bytes:
-    """Ascending positions as 2-byte gaps, or as 4-byte gaps behind a zero byte where one does not fit."""
+    """Ascending positions as gaps behind a byte for their width: 1 where most fit (255 says that more follows), 2, or 4."""
     gaps = np.diff(positions, prepend=0)
-    return b"\1" + gaps.astype(np.uint16).tobytes() if gaps.max(initial=0) < 65536 else b"\0" + gaps.astype(np.uint32).tobytes()
+    more, rest = np.divmod(gaps, 255)
+    if more.sum() < len(gaps):
+        out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+        out[np.cumsum(more + 1) - 1] = rest
+        return b"\1" + out.tobytes()
+    return b"\2" + gaps.astype(np.uint16).tobytes() if gaps.max(initial=0) < 65536 else b"\4" + gaps.astype(np.uint32).tobytes()
 
 
 def _ungaps(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint16 if data[0] else np.uint32, offset=1), dtype=np.int64)
+    gaps = np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[data[0]], offset=1)
+    positions = np.cumsum(gaps, dtype=np.int64)
+    return positions[gaps < 255] if data[0] == 1 else positions
 
 
 def _wire(rows: list[tuple]) -> pa.RecordBatch:
