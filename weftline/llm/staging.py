@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; only where it is unset (tests), one of our own."""
+    """The folder in `spark.checkpoint.dir` with its file system; only where it is unset (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark.sparkContext, "_weftline_shared", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
             spark.sparkContext._weftline_shared = folder
-    return folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
