@@ -229,6 +229,73 @@ def brute_groups(fps, most=4):
     return {i: find(i) for i in ids}
 
 
+def brute_fingerprints(text, shingle, many=4):
+    """Fingerprint k takes the shingles' hashes, from the second on moved by k golden steps and mixed."""
+    w = words(text.encode().lower().decode())
+    parts = [b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))] if w else []
+    full, out = (1 << 64) - 1, []
+    for k in range(many):
+        counts = [0] * 64
+        for part in parts:
+            h = xxhash.xxh64_intdigest(part, 42)
+            if k:
+                h = h + k * 0x9E3779B97F4A7C15 & full
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+                h ^= h >> 31
+            for b in range(64):
+                counts[b] += h >> b & 1
+        out.append(sum(1 << b for b in range(64) if 2 * counts[b] > len(parts)))
+    return out
+
+
+def brute_wide_groups(marks, most=32):
+    root = {i: i for i in marks}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def linked(x, y):
+        apart = [a ^ b for a, b in zip(x, y, strict=True)]
+        bits = [a.bit_count() for a in apart]
+        for k, three in enumerate([(0, 1, 2), (0, 1, 2), (0, 2, 1), (0, 3, 1)]):
+            if sum(bits[i] for i in three) <= most and any((apart[k] >> low & (1 << width) - 1).bit_count() <= 1 for low, width in ((0, 22), (22, 21), (43, 21))):
+                return True
+        return False
+
+    ids = sorted(marks)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if linked(marks[i], marks[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("hot", [20_000, 8])
+def test_near_copies_go_and_clean_texts_stay(spark, hot, monkeypatch):
+    """Copies at a five-word similarity of 0.85 and above are caught; texts that share a fifth or less are left alone."""
+    monkeypatch.setattr(simhash, "HOT_HOMES", hot)
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, clean = [], set()
+    for base in range(40):
+        own = fresh(300)
+        rows.append((base * 100, " ".join(own)))
+        clean.add(base * 100)
+        for copy in range(1, 6):
+            near = list(own)
+            for at in rng.sample(range(300), copy % 5):  # each new word breaks 5 of 296 shingles
+                near[at] = fresh(1)[0]
+            rows.append((base * 100 + copy, " ".join(near)))
+        rows.append((base * 100 + 50, " ".join(own[:100] + fresh(400))))
+        clean.add(base * 100 + 50)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == clean
+
+
 @pytest.mark.parametrize("hot", [20_000, 8])
 def test_links_of_planted_fingerprints(spark, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_HOMES", hot)
@@ -430,7 +497,7 @@ def test_pipeline(spark, sf_dir, duck):
         if name == "quality_rules":
             assert set(after) == kept and all(after[i] == before[i] for i in after)
         elif name == "near_dedup":
-            groups = brute_groups({i: brute_fingerprint(r.text or "", 5) for i, r in before.items()}, most=5)
+            groups = brute_wide_groups({i: brute_fingerprints(r.text or "", 5) for i, r in before.items()})
             assert set(after) == set(groups.values()) and all(after[i] == before[i] for i in after)
         elif name == "secret_scan":
             spans = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(before.values()), docs.schema)).collect()}
