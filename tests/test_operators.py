@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,8 +184,14 @@ def test_stream_equals_batch(spark, tmp_path):
     lines = ['{"key": "r", "seq": 1, "event": "item.done", "payload": "{\\"tokens\\": 3}"}', '{"key": null, "event": "x"}', '{"key": "r", "seq": 2, "event": "done", "payload": "\\"{\\\\\\"tokens\\\\\\": 4}\\""}']
     (folder / "a.json").write_text("\n".join(lines))
     stream = events.live_metrics(events.read_events(spark, str(folder)))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).start()
+    # A stream with timeouts by processing time never ends by itself.
+    try:
+        until = time.monotonic() + 60
+        while time.monotonic() < until and spark.table("kept").count() < 6:
+            time.sleep(0.2)
+    finally:
+        q.stop()
     batch = events.live_metrics(events.well_formed(spark.read.schema(events.EVENT).json(str(folder))))
     assert [tuple(r) for r in spark.table("live").collect()] == [tuple(r) for r in batch.collect()] == [("r", 1, 0, 7, True)]
 
@@ -194,8 +201,14 @@ def test_buffer_counts_in_a_stream(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text("\n".join(f'{{"key": "k", "seq": {i}, "event": "{"restart" if i == 4 else "delta"}", "payload": "{{}}"}}' for i in range(6)))
     stream = events.buffered(events.read_events(spark, str(folder)), most=2)
-    q = stream.writeStream.outputMode("append").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).start()
+    # A stream with timeouts by processing time never ends by itself.
+    try:
+        until = time.monotonic() + 60
+        while time.monotonic() < until and spark.table("kept").count() < 6:
+            time.sleep(0.2)
+    finally:
+        q.stop()
     assert [(r.seq, r.kept) for r in spark.table("kept").orderBy("seq").collect()] == [(0, True), (1, True), (2, False), (3, False), (4, True), (5, True)]
 
 
