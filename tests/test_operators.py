@@ -196,6 +196,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [tuple(r) for r in spark.table("live").collect()] == [tuple(r) for r in batch.collect()] == [("r", 1, 0, 7, True)]
 
 
+def test_calls_of_fragments_with_one_number(spark):
+    rows = [("k", 1, 0, None, "b", "x"), ("k", 1, 0, None, "a", "y"), ("k", 2, 0, "7", None, None), ("k", 1, 1, None, None, None)]
+    df = spark.createDataFrame(rows, "key string, seq long, index int, id string, name string, arguments string")
+    for order in (df, df.orderBy("name"), df.orderBy(F.desc("name"))):
+        got = {(r.key, r["index"]): (r.id, r.name, r.arguments) for r in events.assemble_calls(order).collect()}
+        assert got == {("k", 0): ("7", "b", "xy"), ("k", 1): (None, None, "")}
+
+
 def test_buffer_counts_in_a_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

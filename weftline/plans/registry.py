@@ -533,7 +533,7 @@ def function_risk(spark, sf):
 
 
 @query("""
-SELECT CAST(l_orderkey AS VARCHAR) AS key, l_linenumber % 2 AS "index", arg_max(l_returnflag, l_linenumber * 100000000 + l_partkey) AS name,
+SELECT CAST(l_orderkey AS VARCHAR) AS key, l_linenumber % 2 AS "index", list(l_returnflag ORDER BY l_linenumber DESC, l_partkey DESC, l_returnflag DESC)[1] AS name,
   string_agg(l_linestatus, '' ORDER BY l_linenumber, l_partkey, l_linestatus) AS arguments FROM {lineitem} GROUP BY 1, 2""")
 def assembled_calls(spark, sf):
     line = table(spark, sf, "lineitem").withColumn("seq", F.col("l_linenumber").cast("long") * 100_000_000 + F.col("l_partkey"))

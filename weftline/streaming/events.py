@@ -43,8 +43,11 @@ def tumbling_counts(events: DataFrame, ts: str, width: str, late: str) -> DataFr
 
 
 def assemble_calls(fragments: DataFrame) -> DataFrame:
-    """Rows (key, index, id, name, arguments) from streamed fragments: the last id and name win, arguments append."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    """Rows (key, index, id, name, arguments) from streamed fragments: the last id and name win, arguments append.
+
+    Of fragments with one number, the greatest id, name or argument counts as the last.
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("arguments", F.lit("")).alias("a")))), lambda x: x["a"]), "")
     return fragments.groupBy("key", "index").agg(last("id"), last("name"), text.alias("arguments"))
 
