@@ -312,6 +312,21 @@ def test_links_of_planted_fingerprints(spark, hot, monkeypatch):
     assert {n: found.get(n, n) for n in signed.values()} == groups
 
 
+def test_links_between_the_parts_of_a_split_anchor(spark, monkeypatch):
+    """Pairs that only their first block can see, in one home whose parts fall into different slots."""
+    monkeypatch.setattr(simhash, "HOT_HOMES", 16)
+    monkeypatch.setattr(simhash, "SLOT_ROWS", 8)
+    rng = random.Random(7)
+    low, fps = rng.getrandbits(22), []
+    for _ in range(120):
+        base = rng.getrandbits(42) << 22 | low
+        fps += [base, base ^ sum(1 << b for b in rng.sample(range(22, 43), 2) + rng.sample(range(43, 64), 2))]
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, least long")
+    found = {r.node: r.label for r in components.components(simhash.links(df)).collect()}
+    assert {n: found.get(n, n) for n in signed} == brute_groups(signed)
+
+
 def test_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (200, 201), (201, 200)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,7 +8,8 @@ distinct fingerprint is at home at its nearest anchor and is replicated to every
 
 An anchor does not return pairs but a spanning forest of its links, so a group of n near copies costs fewer than n
 rows. Anchors that are home to very many fingerprints are split: homes are dealt out by a salt and replicas go to each
-part. Equal fingerprints are merged before all this.
+part; homes go to half of the other parts as replicas too, so that any two of them meet. Equal fingerprints are merged
+before all this.
 
 A similarity of 0.8 differs in about 9 of 64 bits, which no covering of 64 bits finds at a bearable replication. For
 those, `words` independent fingerprints are taken of each text and each is covered as above: a link is seen when some
@@ -180,11 +181,13 @@ def _deal(slots: int, hot: dict[int, int], words: int):
                 if len(hot_keys):
                     place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
                     n = np.where(hot_keys[place] == keys, parts[place], 1)
-                    copies = np.where(own, 1, n)
+                    # Of two parts one is within half a round of the other, so either home meets the other as a replica.
+                    copies = np.where(own, 1 + n // 2, n)
                     again = np.repeat(np.arange(len(keys)), copies)
-                    salt = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    salt = np.where(own[again], ((whole[who[again], 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n[again], salt)
-                    keys, who, own = keys[again] | salt << 44, who[again], own[again]
+                    step = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    first = ((whole[who[again], 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                    salt = np.where(own[again], first + step, step) % n[again]
+                    keys, who, own = keys[again] | salt << 44, who[again], own[again] & (step == 0)
                 slot = ((keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % slots
                 order = np.argsort(slot, kind="stable")
                 slot = slot[order]
