@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
+import re
 import time
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import judge, similarity, text, toolcalls
 from weftline.operators import blocks, datasets, graphs, lifecycle, linting, scoring, selection, validators
+from weftline.plans import registry
 from weftline.sources import readers, sinks
 from weftline.streaming import events
 
@@ -121,6 +124,22 @@ def test_template(spark):
     assert df.select(text.render_template(F.col("t"), {"name": F.col("n"), "a.b": F.col("v")})).first()[0] == "Hi {{a.b}}, z!"
 
 
+def plain_scrub(raw):
+    for pattern, put in [
+        (r"\*\*([^*]+?)\*\*", r"\1"), (r"\b_([^_]+?)_\b", r"\1"), (r"(?<!\*)\*([^*]+?)\*(?!\*)", r"\1"), (r"`([^`]+?)`", r"\1"),
+        (r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", "[…]"), (r" {2,}", " "),
+    ]:
+        raw = re.sub(pattern, put, raw, flags=re.ASCII)
+    return raw.strip(" ")
+
+
+def test_scrub_over_all_documents(spark, tmp_path):
+    raw = ["**bold** and *slanted*", "_slanted_ snake_case_name  `code`", "a * b ** c *", "***x*** y_z", "plain", "", None]
+    spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.scrubbed for r in registry.QUERIES["scrubbed_all_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if x is None else hashlib.sha256(plain_scrub(x).encode()).hexdigest() for i, x in enumerate(raw)}
+
+
 @pytest.mark.parametrize(("raw", "clean"), [("do **it** for my_fn_name  now", "do it for […] now"), ("`x` and *y* _z_", "x and y z"), ("", "")])
 def test_scrub(spark, raw, clean):
     assert spark.createDataFrame([(raw,)], "t string").select(text.scrub(F.col("t"))).first()[0] == clean
