@@ -35,6 +35,9 @@ BASE = {
         CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status FROM {orders}""",
     "edges": """SELECT CAST(c_custkey AS BIGINT) AS source, (c_custkey * 7 + 3) % 150 AS target, 0 AS place FROM {customer} WHERE c_custkey <= 150
         UNION ALL SELECT c_custkey, (c_custkey * 3 + 11) % 150, 1 FROM {customer} WHERE c_custkey <= 150""",
+    "all_edges": """SELECT CAST(c_custkey AS BIGINT) AS source, CAST((c_custkey * 7 + 3) % n AS BIGINT) AS target, 0 AS place FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) k
+        UNION ALL SELECT c_custkey, CAST((c_custkey * 3 + 11) % n AS BIGINT), 1 FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) l
+        UNION ALL SELECT CAST(c_nationkey AS BIGINT), c_custkey, 2 FROM {customer}""",
 }
 
 

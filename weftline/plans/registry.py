@@ -478,6 +478,16 @@ def bounded_reach(spark, sf):
     return graphs.reach(inputs(spark, sf, "edges"), roots, 3)
 
 
+@query("""
+WITH RECURSIVE b AS (SELECT CAST(c_custkey AS BIGINT) AS id, 0 AS depth FROM {customer} WHERE c_custkey % 50 = 30
+  UNION SELECT e.target, b.depth + 1 FROM b JOIN {all_edges} e ON e.source = b.id WHERE b.depth < 3)
+SELECT id, min(depth) AS depth FROM b GROUP BY 1""")
+def bounded_reach_all(spark, sf):
+    """Over every customer, from many roots; 25 nodes lead to all customers of a nation."""
+    roots = table(spark, sf, "customer").where("c_custkey % 50 = 30").select(F.col("c_custkey").cast("long").alias("id"))
+    return graphs.reach(inputs(spark, sf, "all_edges"), roots, 3)
+
+
 # --- text, pages, JSON ---------------------------------------------------------------------------------------------
 
 
