@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, components, lm, mixing, neighbours, pieces, quality, queries, secrets, simhash, staging, substring, toxicity
+from weftline.llm import chat, components, jaccard, lm, mixing, neighbours, pieces, quality, queries, secrets, simhash, staging, substring, toxicity
 from weftline.session import table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -327,6 +327,63 @@ def test_links_between_the_parts_of_a_split_anchor(spark, monkeypatch):
     assert {n: found.get(n, n) for n in signed} == brute_groups(signed)
 
 
+def brute_jaccard_groups(texts, shingle=5):
+    sets = {}
+    for i, text in texts.items():
+        w = words(text.encode().lower().decode())
+        sets[i] = frozenset(b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            x, y = sets[i], sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("hot", [20_000, 8])
+def test_near_dedup_by_true_similarity(spark, sf_dir, hot, monkeypatch):
+    """Pairs around 0.8, just above and just below, and a large group of copies; every one as brute force has it."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "HOT_TEXTS", hot)
+    monkeypatch.setattr(jaccard, "SLOT_ROWS", 500)
+    monkeypatch.setattr(jaccard, "COMMON", 1)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, common = {}, fresh(30)
+    for base in range(60):
+        own = fresh(200) + common if base % 2 else fresh(200)
+        rows[base * 100] = " ".join(own)
+        near = list(own)
+        for at in range(3, 3 + 6 * (3 + base % 3), 6):  # 15, 20 or 25 of about 200 shingles: a similarity of 0.78 to 0.86
+            near[at] = fresh(1)[0]
+        rows[base * 100 + 1] = " ".join(near)
+    own = fresh(120)
+    for copy in range(60):
+        near = list(own)
+        for at in rng.sample(range(120), 3):
+            near[at] = fresh(1)[0]
+        rows[10_000 + copy] = " ".join(near)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows.items()], DOC)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()}
+    assert kept == set(brute_jaccard_groups(rows).values())
+
+
+def test_near_dedup_of_odd_rows(odd, spark):
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns and kept.where("text = 'same text here'").count() == 1 and kept.count() == 4
+    assert jaccard.keep_one(odd.limit(0)).count() == 0
+
+
 def test_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (200, 201), (201, 200)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,0 +1,256 @@
+"""Near-dedup by the exact Jaccard similarity of texts' word shingles, 0.8 or more, grouped by reachability.
+
+Candidates come from prefixes: with all shingles in one order, two sets of a similarity of 0.8 or more share one of the
+first n - ceil(0.8 n) + 1 shingles of each. That holds for any order, so no pair is missed. Shingles that a sample of the
+texts shows to be common come last, the others by hash; the sample decides about the work, never about the result.
+
+Each text's set is written once into the shared folder. A slot of prefix shingles reads the sets of its candidates from
+there, passes over pairs that are already connected, and keeps a link only if the sets' similarity is 0.8 or more.
+Shingles in the prefixes of very many texts are split as the anchors of `simhash` are.
+
+Defined results: words are compared with A-Z lower-cased; texts of fewer words than a shingle are one shingle; all null
+and blank texts are equal. Shingles are compared by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.llm.components import components
+from weftline.llm.files import load, save
+from weftline.llm.simhash import _merge
+from weftline.llm.staging import fresh_path, stage
+from weftline.session import ship
+
+#: Prefix shingles in one slot, about; texts of a shingle that is split, and such shingles at most.
+SLOT_ROWS = 200_000
+HOT_TEXTS, MAX_HOT = 20_000, 10_000
+#: One of so many texts is sampled; seen so often there, a shingle is common; so many common ones are kept.
+SAMPLE, COMMON, MAX_COMMON = 16, 8, 500_000
+_PAIRS, _CHECKS, _FILE_WORDS = 500_000, 4096, 4 << 20
+#: Of a set in its file: its size, its node, and 512 bits of which each shingle turns one.
+_BITS, _HEAD = 8, 10
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The sorted hashes of the different shingles of a text."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1][: max(1, len(tokens) - size + 1)]
+    last = ends[min(size, len(tokens)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64))
+
+
+def _prefix(n):
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _parity(grams: np.ndarray) -> np.ndarray:
+    turned = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=64 * _BITS) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _sets(docs: DataFrame, shingle: int, folder: str) -> DataFrame:
+    """Rows (doc_id, __row, node, at, n): node names a text, `at` is the place of its set of n shingles."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, parts, used = TaskContext.get().partitionId(), 0, [], 0
+        places: dict[int, int] = {}
+        for batch in batches:
+            nodes, at, sizes = [], [], []
+            for text in batch.column(2).to_pylist():
+                grams = shingles(text, shingle)
+                node = int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 7)).view(np.int64))
+                if node not in places:
+                    places[node] = (task << 10 | number) << 36 | used
+                    parts.append(np.concatenate([np.array([len(grams)], np.uint64), np.array([node], np.int64).view(np.uint64), _parity(grams), grams]))
+                    used += len(parts[-1])
+                    if used >= _FILE_WORDS:
+                        save(folder, f"{task << 10 | number}", np.concatenate(parts))
+                        number, parts, used = number + 1, [], 0
+                nodes.append(node)
+                at.append(places[node])
+                sizes.append(len(grams))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "__row", "node", "at", "n"])
+        if parts:
+            save(folder, f"{task << 10 | number}", np.concatenate(parts))
+
+    return docs.select(F.col("__id").alias("doc_id"), "__row", "text").mapInArrow(run, "doc_id long, __row long, node long, at long, n long")
+
+
+def _read(folder: str, at: int) -> np.ndarray:
+    words, low = load(folder, str(at >> 36)), at & (1 << 36) - 1
+    return words[low : low + _HEAD + int(words[low])]
+
+
+def _prefixes(folder: str, batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (at, ...): the prefix shingles of all sets, and the row of each."""
+    found, sizes = [], []
+    for at in batch.column(0).to_pylist():
+        grams = np.array(_read(folder, at)[_HEAD:])
+        if len(common):
+            place = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+            grams = grams[np.argsort(common[place] == grams, kind="stable")]
+        found.append(grams[: _prefix(len(grams))] if len(grams) else grams)
+        sizes.append(len(found[-1]))
+    return np.concatenate(found) if found else np.empty(0, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _deal(folder: str, slots: int, hot: dict[int, int]):
+    """Map side: the places of sets for the slots of their prefix shingles."""
+    hot_keys = np.array(sorted(hot), np.int64).view(np.uint64)
+    hot_keys.sort()
+    parts = np.array([hot[int(k)] for k in hot_keys.view(np.int64)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = load(folder, "common")
+        for batch in batches:
+            keys, who = _prefixes(folder, batch, common)
+            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            own, salt = np.ones(len(keys), bool), np.zeros(len(keys), np.uint64)
+            if len(hot_keys):
+                place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+                n = np.where(hot_keys[place] == keys, parts[place], 1)
+                # Of two parts one is within half a round of the other, so either text meets the other.
+                copies = 1 + n // 2
+                again = np.repeat(np.arange(len(keys)), copies)
+                step = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
+                first = ((at[who[again]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                salt, own = ((first + step) % n[again]).astype(np.uint64), step == 0
+                keys, who = keys[again], who[again]
+            keys = (keys ^ (salt * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
+            slot = (keys >> np.uint64(32)).astype(np.int64) % slots
+            order = np.argsort(slot, kind="stable")
+            slot = slot[order]
+            edges = np.flatnonzero(np.r_[np.ones(min(1, len(slot)), bool), slot[1:] != slot[:-1]])
+            rows = []
+            for lo, hi in zip(edges, np.append(edges[1:], len(slot)), strict=False):
+                some = order[lo:hi]
+                rows.append((int(slot[lo]), keys[some].tobytes(), at[who[some]].tobytes(), np.packbits(own[some]).tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slot", "keys", "at", "own"])
+
+    return run
+
+
+def _link(folder: str):
+    """One slot: a spanning forest of the links between texts that share a prefix shingle."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = [table.column(c).to_pylist() for c in ("keys", "at", "own")]
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in cols[0]])
+        at = np.concatenate([np.frombuffer(x, np.int64) for x in cols[1]])
+        own = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(k) // 8) for o, k in zip(cols[2], cols[0], strict=True)]).astype(bool)
+        # Own texts first, so that each meets only those behind it.
+        order = np.lexsort((~own, keys))
+        keys, at, own = keys[order], at[order], own[order]
+        same = keys[1:] == keys[:-1]
+        shared = np.r_[same, False] | np.r_[False, same]
+        keys, at, own = keys[shared], at[shared], own[shared]
+        if not len(keys):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        places, index = np.unique(at, return_inverse=True)
+        heads = np.array([_read(folder, int(x))[:_HEAD] for x in places])
+        size, nodes, bits = heads[:, 0].astype(np.int64), np.ascontiguousarray(heads[:, 1]).view(np.int64), np.ascontiguousarray(heads[:, 2:])
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = np.append(begins[1:], len(keys))
+        behind = ends[np.repeat(np.arange(len(begins)), ends - begins)] - np.arange(len(keys)) - 1
+        firsts = np.flatnonzero(own & (behind > 0))
+        width = behind[firsts]
+        total = np.cumsum(width)
+        label = np.arange(len(places))
+        done = 0
+        while done < len(firsts):
+            to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _PAIRS, side="right")))
+            w = width[done:to]
+            a = np.repeat(firsts[done:to], w)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+            a, b = index[a], index[b]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            # Sets of a similarity of 0.8 differ in no more than a ninth of their shingles, and turn no more bits apart.
+            able = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & (9 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= size[a] + size[b])
+            # One number a pair: slots hold far fewer than 2^31 texts.
+            pairs = np.minimum(a[able], b[able]) * len(places) + np.maximum(a[able], b[able])
+            pairs = pairs[np.sort(np.unique(pairs, return_index=True)[1])]
+            a, b = pairs // len(places), pairs % len(places)
+            while len(a):
+                near = np.array([_alike(_read(folder, int(places[x]))[_HEAD:], _read(folder, int(places[y]))[_HEAD:]) for x, y in zip(a[:_CHECKS], b[:_CHECKS], strict=True)])
+                _merge(label, a[:_CHECKS][near], b[:_CHECKS][near])
+                a, b = a[_CHECKS:], b[_CHECKS:]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+            done = to
+        tied = np.flatnonzero(label != np.arange(len(places)))
+        return pa.table({"a": pa.array(nodes[tied]), "b": pa.array(nodes[label[tied]])})
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sorted sets have a Jaccard similarity of 0.8 or more."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 5 * shared >= 4 * (len(both) - shared)
+
+
+def links(distinct: DataFrame, folder: str) -> DataFrame:
+    """Rows (a, b) of nodes that connect all those of a similarity of 0.8 or more; `distinct` has (node, at, n)."""
+    sampled = distinct.where(F.col("node") % SAMPLE == 0).select("at")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(_read(folder, at)[_HEAD:]).view(np.int64))], names=["gram"])
+
+    seen = sampled.mapInArrow(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    common = np.array([r["gram"] for r in seen.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).collect()], np.int64).view(np.uint64)
+    save(folder, "common", np.sort(common))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = load(folder, "common")
+        for batch in batches:
+            keys, times = np.unique(_prefixes(folder, batch, common)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["gram", "n"])
+
+    texts, rows = distinct.where("n > 0").agg(F.count("*"), F.coalesce(F.sum(F.expr("n - (4 * n + 4) div 5 + 1")), F.lit(0))).first()
+    limit = max(HOT_TEXTS, rows // MAX_HOT)
+    hot: dict[int, int] = {}
+    if texts > limit:
+        # No more than rows / limit <= MAX_HOT shingles can be that crowded.
+        crowded = distinct.select("at").mapInArrow(counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        hot = {r["gram"]: math.ceil(r["n"] / limit) for r in crowded.where(F.col("n") > limit).collect()}
+    slots = max(1, math.ceil(rows / SLOT_ROWS))
+    dealt = distinct.select("at").mapInArrow(_deal(folder, slots, hot), "slot long, keys binary, at binary, own binary")
+    return dealt.groupBy("slot").applyInArrow(_link(folder), "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of `docs`, one for each group of near copies: its smallest doc_id (nulls last, then by row hash)."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__row": row})
+    folder = fresh_path(docs.sparkSession, "shingles")
+    marked = stage(_sets(keyed, shingle, folder), "sets")
+    distinct = stage(marked.groupBy("node").agg(F.min("at").alias("at"), F.first("n").alias("n")), "distinct")
+    found = components(links(distinct, folder)).withColumnRenamed("node", "__node")
+    rows = marked.groupBy("node", "doc_id", "__row").agg(F.count("*").alias("__times"))
+    best = rows.groupBy("node").agg(F.min(F.struct("doc_id", "__row", "__times")).alias("best"))
+    best = best.join(found, best["node"] == found["__node"], "left").groupBy(F.coalesce("label", "node").alias("component")).agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("__id"), "best.__row", "best.__times")
+    kept = keyed.join(best, ["__id", "__row"])
+    once, repeated = kept.where("__times = 1"), kept.where("__times > 1").dropDuplicates(["__id", "__row"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
