@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, components, jaccard, lm, mixing, neighbours, pieces, quality, queries, secrets, simhash, staging, substring, toxicity
+from weftline.llm import chat, components, lm, mixing, neighbours, pieces, quality, queries, secrets, simhash, staging, substring, toxicity
 from weftline.session import table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,51 +229,6 @@ def brute_groups(fps, most=4):
     return {i: find(i) for i in ids}
 
 
-def brute_fingerprints(text, shingle, many=4):
-    """Fingerprint k takes the shingles' hashes, from the second on moved by k golden steps and mixed."""
-    w = words(text.encode().lower().decode())
-    parts = [b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))] if w else []
-    full, out = (1 << 64) - 1, []
-    for k in range(many):
-        counts = [0] * 64
-        for part in parts:
-            h = xxhash.xxh64_intdigest(part, 42)
-            if k:
-                h = h + k * 0x9E3779B97F4A7C15 & full
-                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
-                h = (h ^ h >> 27) * 0x94D049BB133111EB & full
-                h ^= h >> 31
-            for b in range(64):
-                counts[b] += h >> b & 1
-        out.append(sum(1 << b for b in range(64) if 2 * counts[b] > len(parts)))
-    return out
-
-
-def brute_wide_groups(marks, most=32):
-    root = {i: i for i in marks}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    def linked(x, y):
-        apart = [a ^ b for a, b in zip(x, y, strict=True)]
-        bits = [a.bit_count() for a in apart]
-        for k, three in enumerate([(0, 1, 2), (0, 1, 2), (0, 2, 1), (0, 3, 1)]):
-            if sum(bits[i] for i in three) <= most and any((apart[k] >> low & (1 << width) - 1).bit_count() <= 1 for low, width in ((0, 22), (22, 21), (43, 21))):
-                return True
-        return False
-
-    ids = sorted(marks)
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            if linked(marks[i], marks[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: find(i) for i in ids}
-
-
 @pytest.mark.parametrize("hot", [20_000, 8])
 def test_near_copies_go_and_clean_texts_stay(spark, hot, monkeypatch):
     """Copies at a five-word similarity of 0.85 and above are caught; texts that share a fifth or less are left alone."""
@@ -354,9 +309,8 @@ def test_near_dedup_by_true_similarity(spark, sf_dir, hot, monkeypatch):
     """Pairs around 0.8, just above and just below, and a large group of copies; every one as brute force has it."""
     import corpus_pipeline
 
-    monkeypatch.setattr(jaccard, "HOT_TEXTS", hot)
-    monkeypatch.setattr(jaccard, "SLOT_ROWS", 500)
-    monkeypatch.setattr(jaccard, "COMMON", 1)
+    monkeypatch.setattr(simhash, "HOT_HOMES", hot)
+    monkeypatch.setattr(simhash, "SLOT_ROWS", 500)
     rng = random.Random(11)
     fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     rows, common = {}, fresh(30)
@@ -379,9 +333,39 @@ def test_near_dedup_by_true_similarity(spark, sf_dir, hot, monkeypatch):
 
 
 def test_near_dedup_of_odd_rows(odd, spark):
-    kept = jaccard.keep_one(odd)
+    kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("text = 'same text here'").count() == 1 and kept.count() == 4
-    assert jaccard.keep_one(odd.limit(0)).count() == 0
+    assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+def test_longer_blocks_lose_no_link(spark, monkeypatch):
+    """The blocks of larger tables: equal components of fingerprints, and near copies found as well."""
+    rng = random.Random(13)
+    fps = []
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        fps += [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(6)]
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, least long")
+    want = brute_groups(signed)
+    for covers in (((0, 5, 2),), ((0, 6, 3),)):
+        monkeypatch.setattr(simhash, "COVERS", covers)
+        found = {r.node: r.label for r in components.components(simhash.links(df)).collect()}
+        assert {n: found.get(n, n) for n in signed} == want
+
+
+def test_share_of_pairs_seen(spark):
+    """Pairs of sets at exactly 0.8: as many meet in some block as `RECALL` says, whatever the table's size."""
+    rng = np.random.default_rng(17)
+    for n in (1000, 1 << 22, 1 << 30):
+        count, blocks = simhash.similar_cover(n)
+        met = 0
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, 330, np.uint64)
+            pair = [simhash.fingerprint_words(s, count) for s in (x[:300], np.concatenate([x[:270], x[300:]]))]
+            apart = pair[0] ^ pair[1]
+            met += any(int(np.bitwise_count(apart >> np.uint64(low) & np.uint64((1 << width) - 1)).min()) <= 1 for ((low, width),) in blocks)
+        assert met >= 300 * (simhash.RECALL - 0.02)
 
 
 def test_chains_and_loops(spark):
@@ -547,13 +531,6 @@ def test_language_model_of_odd_rows(odd):
 # pipeline
 
 
-def brute_fingerprint(text, shingle):
-    w = words(text.encode().lower().decode())
-    parts = [b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))] if w else []
-    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_pipeline(spark, sf_dir, duck):
     """Each stage against plain Python or SQL over what the stage before it kept."""
     import corpus_pipeline
@@ -569,7 +546,7 @@ def test_pipeline(spark, sf_dir, duck):
         if name == "quality_rules":
             assert set(after) == kept and all(after[i] == before[i] for i in after)
         elif name == "near_dedup":
-            groups = brute_wide_groups({i: brute_fingerprints(r.text or "", 5) for i, r in before.items()})
+            groups = brute_jaccard_groups({i: r.text or "" for i, r in before.items()})
             assert set(after) == set(groups.values()) and all(after[i] == before[i] for i in after)
         elif name == "secret_scan":
             spans = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(before.values()), docs.schema)).collect()}

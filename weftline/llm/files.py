@@ -54,3 +54,21 @@ def load(folder: str, name: str) -> np.ndarray:
         return np.load(out.name, mmap_mode="r")
     finally:
         os.unlink(out.name)  # the mapping keeps it
+
+
+@lru_cache(maxsize=64)
+def _opened(folder: str, name: str):
+    """An open file of the shared folder and where its array begins."""
+    system, root = _remote(folder)
+    handle = system.open_input_file(f"{root}/{name}.npy")
+    np.lib.format.read_magic(handle)
+    np.lib.format.read_array_header_1_0(handle)
+    return handle, handle.tell()
+
+
+def read(folder: str, name: str, low: int, size: int) -> np.ndarray:
+    """Some bytes of an array of bytes; of a remote file only these are fetched."""
+    if _local(folder) is not None:
+        return np.array(load(folder, name)[low : low + size])
+    handle, begins = _opened(folder, name)
+    return np.frombuffer(handle.read_at(size, begins + low), np.uint8)

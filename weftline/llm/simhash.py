@@ -1,21 +1,23 @@
 """SimHash near-dedup: 64-bit fingerprints, linked when few bits differ, grouped by reachability.
 
-Links are found by anchor-point covering. The 64 bits are cut into blocks of 22, 21 and 21 bits; two fingerprints
-that differ in at most 4 bits differ in at most 1 bit of some block. In each block the anchors are the words of the
-perfect (15, 11) Hamming code on 15 bits times all patterns of the remaining bits: a covering code of radius 1. Each
-distinct fingerprint is at home at its nearest anchor and is replicated to every anchor within radius + threshold = 2
-(15 or 14 of 2^18 or 2^17); comparing homes with replicas per anchor therefore sees every link.
+Links are found by anchor-point covering. A fingerprint's bits are cut into parts, and each choice of some parts is a
+block, so that two fingerprints of at most 4 differing bits differ in at most 1 bit of some block: one of 3 parts for
+small tables, 2 of 5 or 3 of 6 for larger ones, whose longer blocks keep an anchor's rows few (`cover`). In each block
+the anchors are the words of the perfect (15, 11) Hamming code on 15 bits times all patterns of the remaining bits: a
+covering code of radius 1. Each distinct fingerprint is at home at its nearest anchor and is replicated to every anchor
+within radius + threshold = 2; comparing homes with replicas per anchor therefore sees every link. Two blocks that
+differ in one bit have different parities and equal ones share their home, so only odd ones need replicas.
 
 An anchor does not return pairs but a spanning forest of its links, so a group of n near copies costs fewer than n
 rows. Anchors that are home to very many fingerprints are split: homes are dealt out by a salt and replicas go to each
 part; homes go to half of the other parts as replicas too, so that any two of them meet. Equal fingerprints are merged
 before all this.
 
-A similarity of 0.8 differs in about 9 of 64 bits, which no covering of 64 bits finds at a bearable replication. For
-those, `words` independent fingerprints are taken of each text and each is covered as above: a link is seen when some
-block of some fingerprint differs in at most 1 bit, and counts when no more than `max_bits` differ of the three
-fingerprints (192 bits) that an anchor's rows carry. Of pairs at a similarity of 0.8 four fingerprints see 9 of 10, of
-pairs at 0.85 and above nearly all; identical texts are always together.
+`keep_one` takes the same covering for near copies by the exact Jaccard similarity of word shingles. A similarity of
+0.8 differs in about 15 of 100 fingerprint bits, too many for one covering, so each text's set of shingles has several
+independent fingerprints, as many as see a pair at exactly 0.8 with a probability of `RECALL` (and nearly all from 0.85
+up). What meets at an anchor is a candidate only: a link counts if the two sets, read from the shared folder (`sets`),
+have a Jaccard similarity of 0.8 or more.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other. Repeated rows share a
 fingerprint. A component whose ids are all null has a null component_id.
@@ -25,76 +27,93 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import sets
 from weftline.llm.components import components
-from weftline.llm.staging import stage
+from weftline.llm.staging import fresh_path, stage
 from weftline.llm.words import mix
 from weftline.session import ship
 
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
+#: Parts of a fingerprint, and how many make a block; from so many fingerprints on.
+COVERS = ((0, 3, 1), (1 << 20, 5, 2), (1 << 28, 6, 3))
 #: Fingerprints at home in one slot, about; homes of an anchor that is split, and such anchors at most.
 SLOT_ROWS = 10_000
 HOT_HOMES, MAX_HOT = 20_000, 10_000
-_PAIRS = 500_000
-#: For links at a Jaccard similarity of 0.8: fingerprints per text, and how many bits of three of them may differ.
-WIDE_WORDS, WIDE_BITS = 4, 32
+_PAIRS, _CHECKS = 500_000, 4096
+#: For links at a Jaccard similarity of 0.8: how likely one is seen, and the bits of its first fingerprints that may
+#: differ. Sets of this similarity have a cosine of 8/9; more bits differ in about 1 of 20,000 pairs.
+RECALL, NEAR_BITS = 0.99, 22
+_APART = math.acos(8 / 9) / math.pi
 _STEP = 0x9E3779B97F4A7C15
 
 
-def fingerprint_words(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """Independent fingerprints of one text; the first is that of the plain XXH64 hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 hash of each word shingle of the lower-cased text, in order; of a shorter text, of all its words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = max(1, len(tokens) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1][: max(1, len(tokens) - shingle + 1)]
     last = ends[min(shingle, len(tokens)) - 1 :]
     digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64)
+
+
+def fingerprint_words(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Independent fingerprints of some hashes; the first is that of the hashes as they are."""
     counts = np.zeros((words, 64), np.int64)
-    for at in range(0, n, 65536):
-        some = slice(at, min(n, at + 65536))
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[some].tolist(), last[some].tolist(), strict=True)], np.uint64)
+    for at in range(0, len(hashes), 65536):
+        some = hashes[at : at + 65536]
         for k in range(words):
-            other = mix(hashes + np.uint64(k * _STEP % (1 << 64))) if k else hashes
+            other = mix(some + np.uint64(k * _STEP % (1 << 64))) if k else some
             counts[k] += np.unpackbits(other.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
-    return int(fingerprint_words(text, shingle)[0])
+    return int(fingerprint_words(shingle_hashes(text, shingle))[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = (), words: int = 1) -> DataFrame:
-    """Rows (doc_id, *keep, fp, more): a long whose 64 bits are the fingerprint of the whole lower-cased text.
-
-    `more` holds the other fingerprints, 8 bytes each; it is left out where `words` is 1.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fp): a long whose 64 bits are the fingerprint of the whole lower-cased text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            marks = np.array([fingerprint_words(x, shingle, words) for x in texts], np.uint64).reshape(len(texts), words)
-            columns = [*batch.columns[:-1], pa.array(marks[:, 0].view(np.int64))]
-            names = [*batch.schema.names[:-1], "fp"]
-            if words > 1:
-                columns.append(pa.array([x.tobytes() for x in marks[:, 1:]], pa.binary()))
-                names.append("more")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            marks = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fp long")
+
+
+Block = tuple[tuple[int, int], ...]
+
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["fp long"] + ["more binary"] * (words > 1))
-    return rows.mapInArrow(run, schema)
+def cover(n: int) -> list[Block]:
+    """The blocks for n fingerprints: ranges (lowest bit, width) of up to 3 parts each."""
+    parts, take = [c[1:] for c in COVERS if n >= c[0]][-1]
+    edges = [64 * i // parts for i in range(parts + 1)]
+    ranges = [(low, high - low) for low, high in zip(edges, edges[1:], strict=False)]
+    return list(combinations(ranges, take))
+
+
+def similar_cover(n: int) -> tuple[int, list[Block]]:
+    """For links at 0.8 among n texts: fingerprints per text, and the blocks of each, as wide as those of `cover`."""
+    width = max(15, min(sum(w for _, w in block) for block in cover(n)))
+    blocks = [((low, width),) for low in range(0, 65 - width, width)]
+    seen = (1 - _APART) ** width + width * _APART * (1 - _APART) ** (width - 1)
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - seen) / len(blocks)), blocks
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -114,70 +133,68 @@ def _near_words() -> list[np.ndarray]:
     return [np.array(x) for x in found]
 
 
-def anchors(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block: key of the anchor, index of the fingerprint, whether it is at home there."""
-    near = _near_words()
-    for number, (low, width) in enumerate(BLOCKS):
-        value = (fps >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
-        word, rest, free = value & 0x7FFF, value >> 15, width - 15
-        syndrome = _syndrome(word)
-        home = word ^ np.where(syndrome > 0, 1 << np.maximum(syndrome - 1, 0), 0)
-        off = (syndrome > 0).astype(np.int64)
-        key = lambda w, r: (number << 22) | (r << 15) | w
-        index = np.arange(len(fps))
-        keys, who, own = [key(home, rest)], [index], [np.ones(len(fps), bool)]
-
-        def reach(k, i, keys=keys, who=who, own=own):
-            keys.append(k)
-            who.append(i)
-            own.append(np.zeros(len(k), bool))
-
-        for s in range(16):
-            i = index[syndrome == s]
-            for p in near[s]:
-                if p != (1 << (s - 1) if s else 0):
-                    reach(key(word[i] ^ p, rest[i]), i)
-        for a in range(free):
-            reach(key(home, rest ^ (1 << a)), index)
-            exact = index[off == 0]
-            for b in range(a):
-                reach(key(home[exact], rest[exact] ^ (1 << a) ^ (1 << b)), exact)
-        yield np.concatenate(keys), np.concatenate(who), np.concatenate(own)
-
-
-def _matrix(batch: pa.RecordBatch, words: int) -> np.ndarray:
-    """The fingerprints of each row of (fp, more), side by side."""
-    first = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 1)
-    if words == 1:
-        return first
-    rest = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, words - 1)
-    return np.concatenate([first, rest], axis=1)
-
-
-def _all_anchors(marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each block of each fingerprint: the fingerprint's number, and `anchors`' arrays with keys of their own."""
+def anchors(fps: np.ndarray, block: Block, number: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In one block: key of the anchor, index of the fingerprint, whether it is at home there."""
+    near, value, width = _near_words(), np.zeros(len(fps), np.int64), 0
+    for low, bits in block:
+        value |= ((fps >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)) << width
+        width += bits
+    word, rest, free = value & 0x7FFF, value >> 15, width - 15
+    syndrome = _syndrome(word)
+    home = word ^ np.where(syndrome > 0, 1 << np.maximum(syndrome - 1, 0), 0)
+    key = lambda w, r: (number << width) | (r << 15) | w
+    index = np.arange(len(fps))
+    keys, who = [key(home, rest)], [index]
+
+    def reach(k, i):
+        keys.append(k)
+        who.append(i)
+
+    odd = index[np.bitwise_count(value) % 2 == 1]
+    for s in range(16):
+        i = odd[syndrome[odd] == s]
+        for p in near[s]:
+            if p != (1 << (s - 1) if s else 0):
+                reach(key(word[i] ^ p, rest[i]), i)
+    exact = odd[syndrome[odd] == 0]
+    for a in range(free):
+        reach(key(home[odd], rest[odd] ^ (1 << a)), odd)
+        for b in range(a):
+            reach(key(home[exact], rest[exact] ^ (1 << a) ^ (1 << b)), exact)
+    who = np.concatenate(who)
+    return np.concatenate(keys), who, np.arange(len(who)) < len(fps)
+
+
+def _all_anchors(marks: np.ndarray, blocks: list[Block]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`anchors` of each block of each column of fingerprints, with keys of their own."""
     for k in range(marks.shape[1]):
-        for keys, who, own in anchors(np.ascontiguousarray(marks[:, k])):
-            yield k, keys + (k * len(BLOCKS) << 22), who, own
+        for number, block in enumerate(blocks):
+            yield anchors(np.ascontiguousarray(marks[:, k]), block, k * len(blocks) + number)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (what is sent with each anchor, the fingerprints), longs or several of them in bytes: two matrices."""
 
+    def matrix(column: pa.Array) -> np.ndarray:
+        if pa.types.is_int64(column.type):
+            return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 1)
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(batch.num_rows, -1)
 
-def _carried(k: int, words: int) -> list[int]:
-    """What the rows of an anchor of fingerprint `k` carry: the first, which names the row, `k`, and others up to three."""
-    order = [0, k, *range(1, words)]
-    return list(dict.fromkeys(order))[:3]
+    return tuple(map(matrix, batch.columns))
 
 
-def _deal(slots: int, hot: dict[int, int], words: int):
-    """Map side: each row's fingerprints, packed, for the slots of its anchors."""
+def _deal(slots: int, hot: dict[int, int], blocks: list[Block]):
+    """Map side: what each row sends, packed byte by byte, for the slots of its anchors."""
     hot_keys = np.array(sorted(hot), np.int64)
     parts = np.array([hot[k] for k in sorted(hot)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = _matrix(batch, words)
+            if not batch.num_rows:
+                continue
+            sent, marks = _columns(batch)
             rows: list[tuple] = []
-            for k, keys, who, own in _all_anchors(whole):
-                sent = np.ascontiguousarray(whole[:, _carried(k, words)])
+            for keys, who, own in _all_anchors(marks, blocks):
                 if len(hot_keys):
                     place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
                     n = np.where(hot_keys[place] == keys, parts[place], 1)
@@ -185,19 +202,20 @@ def _deal(slots: int, hot: dict[int, int], words: int):
                     copies = np.where(own, 1 + n // 2, n)
                     again = np.repeat(np.arange(len(keys)), copies)
                     step = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    first = ((whole[who[again], 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                    first = ((sent[who[again], 0] * np.uint64(_STEP)) >> np.uint64(33)).astype(np.int64)
                     salt = np.where(own[again], first + step, step) % n[again]
-                    keys, who, own = keys[again] | salt << 44, who[again], own[again] & (step == 0)
-                slot = ((keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % slots
-                order = np.argsort(slot, kind="stable")
+                    keys, who, own = keys[again] | salt << 48, who[again], own[again] & (step == 0)
+                spread = mix(keys.view(np.uint64))
+                # Anchors of equal low bits in a slot only meet once more than they need.
+                slot, low = (spread >> np.uint64(32)).astype(np.int64) % slots, spread.astype(np.uint32)
+                order = np.lexsort((low, slot))
                 slot = slot[order]
                 edges = np.flatnonzero(np.r_[np.ones(min(1, len(slot)), bool), slot[1:] != slot[:-1]])
                 for lo, hi in zip(edges, np.append(edges[1:], len(slot)), strict=False):
                     some = order[lo:hi]
-                    rows.append((int(slot[lo]), keys[some].astype(np.uint32).tobytes(), sent[who[some]].tobytes(), np.packbits(own[some]).tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slot", "keys", "fps", "own"])
+                    rows.append((int(slot[lo]), low[some].view(np.uint8).reshape(-1, 4).T.tobytes(), sent[who[some]].view(np.uint8).reshape(len(some), -1).T.tobytes(), np.packbits(own[some]).tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slot", "keys", "sent", "own"])
 
     return run
 
@@ -219,92 +237,173 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[differ], b[differ]
 
 
-def _link(max_bits: int, carried: int):
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A slot's keys, what was sent with them and whether at home, ordered by key."""
+    keys, sent, own = [], [], []
+    for k, s, o in zip(*(table.column(c).to_pylist() for c in ("keys", "sent", "own")), strict=True):
+        keys.append(np.frombuffer(k, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel())
+        n = len(keys[-1])
+        sent.append(np.frombuffer(s, np.uint8).reshape(-1, n).T.copy().view(np.uint64))
+        own.append(np.unpackbits(np.frombuffer(o, np.uint8), count=n).astype(bool))
+    keys, sent, own = np.concatenate(keys), np.concatenate(sent), np.concatenate(own)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], sent[order], own[order]
+
+
+def _met(keys: np.ndarray, own: np.ndarray, index: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of homes and of all rows at their anchors, in blocks of pairs, less those whose nodes `label` connects."""
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(begins, append=len(keys))
+    group = np.repeat(np.arange(len(begins)), sizes)
+    homes = np.flatnonzero(own)
+    homes = homes[sizes[group[homes]] > 1]
+    width = sizes[group[homes]]
+    total, at = np.cumsum(width), 0
+    while at < len(homes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
+        w = width[at:to]
+        a = np.repeat(homes[at:to], w)
+        b = np.repeat(begins[group[homes[at:to]]], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+        apart = label[index[a]] != label[index[b]]
+        yield a[apart], b[apart]
+        at = to
+
+
+def _forest(nodes: np.ndarray, label: np.ndarray) -> pa.Table:
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.table({"a": pa.array(nodes[tied].view(np.int64)), "b": pa.array(nodes[label[tied]].view(np.int64))})
+
+
+def _link(max_bits: int):
     """One slot: a spanning forest of the links between homes and replicas of equal anchors."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = [table.column(c).to_pylist() for c in ("keys", "fps", "own")]
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in cols[0]])
-        fps = np.concatenate([np.frombuffer(x, np.uint64) for x in cols[1]]).reshape(-1, carried)
-        own = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(k) // 4) for o, k in zip(cols[2], cols[0], strict=True)]).astype(bool)
-        order = np.argsort(keys, kind="stable")
-        keys, fps, own = keys[order], fps[order], own[order]
+        keys, fps, own = _unpacked(table)
         nodes, index = np.unique(fps[:, 0], return_inverse=True)
-        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(begins, append=len(keys))
-        group = np.repeat(np.arange(len(begins)), sizes)
-        homes = np.flatnonzero(own)
-        homes = homes[sizes[group[homes]] > 1]
-        width = sizes[group[homes]]
         label = np.arange(len(nodes))
-        at = 0
-        total = np.cumsum(width)
-        while at < len(homes):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
-            w = width[at:to]
-            a = np.repeat(homes[at:to], w)
-            b = np.repeat(begins[group[homes[at:to]]], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
-            apart = label[index[a]] != label[index[b]]
-            a, b = a[apart], b[apart]
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= max_bits
+        for a, b in _met(keys, own, index, label):
+            near = np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= max_bits
             _merge(label, index[a[near]], index[b[near]])
-            at = to
-        tied = np.flatnonzero(label != np.arange(len(nodes)))
-        return pa.table({"a": pa.array(nodes[tied].view(np.int64)), "b": pa.array(nodes[label[tied]].view(np.int64))})
+        return _forest(nodes, label)
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, words: int = 1) -> DataFrame:
-    """Rows (a, b) of fingerprints that connect those within `max_bits`; `distinct` has one row per fp, and `more`.
+def _link_similar(folder: str):
+    """One slot: a spanning forest of the links of a Jaccard similarity of 0.8 or more; rows send (place, fingerprint)."""
 
-    With one fingerprint the links are exact; with more, those that some block of some fingerprint sees.
-    """
-    if words == 1 and max_bits >= 2 * len(BLOCKS):
-        raise ValueError(f"three blocks of threshold 1 find links of up to {2 * len(BLOCKS) - 1} bits")
-    n = distinct.count()
-    limit = max(HOT_HOMES, len(BLOCKS) * words * n // MAX_HOT)
-    columns = ["fp", "more"] if words > 1 else ["fp"]
+    def run(table: pa.Table) -> pa.Table:
+        keys, sent, own = _unpacked(table)
+        nodes, index = np.unique(sent[:, 0], return_inverse=True)
+        label, held = np.arange(len(nodes)), sets.Heads(folder, nodes)
+        for a, b in _met(keys, own, index, label):
+            near = np.bitwise_count(sent[a, 1] ^ sent[b, 1]) <= NEAR_BITS
+            a, b = index[a[near]], index[b[near]]
+            pairs = np.unique(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
+            a, b = pairs // len(nodes), pairs % len(nodes)
+            able = held.able(a, b)
+            a, b = a[able], b[able]
+            while len(a):
+                alike = np.array([sets.alike(held.grams(x), held.grams(y)) for x, y in zip(a[:_CHECKS].tolist(), b[:_CHECKS].tolist(), strict=True)])
+                _merge(label, a[:_CHECKS][alike], b[:_CHECKS][alike])
+                a, b = a[_CHECKS:], b[_CHECKS:]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+        return _forest(nodes, label)
+
+    return run
+
+
+def _links(rows: DataFrame, blocks: list[Block], words: int, n: int, link) -> DataFrame:
+    """Rows (a, b): what `link` finds in the slots of rows (sent, marks), of which there are n with `words` fingerprints."""
+    limit = max(HOT_HOMES, len(blocks) * words * n // MAX_HOT)
     hot: dict[int, int] = {}
     if n > limit:
 
         def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = np.concatenate([keys[own] for _, keys, _, own in _all_anchors(_matrix(batch, words))])
-                keys, times = np.unique(found, return_counts=True)
+                found = [keys[own] for keys, _, own in _all_anchors(_columns(batch)[1], blocks)] if batch.num_rows else [np.empty(0, np.int64)]
+                keys, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["anchor", "n"])
 
-        crowded = distinct.select(*columns).mapInArrow(homes, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-        # No more than 3 * words * n / limit <= MAX_HOT anchors can be that crowded.
+        crowded = rows.mapInArrow(homes, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+        # No more than blocks * words * n / limit <= MAX_HOT anchors can be that crowded.
         hot = {r["anchor"]: math.ceil(r["n"] / limit) for r in crowded.where(F.col("n") > limit).collect()}
-    slots = max(1, math.ceil(n * words / SLOT_ROWS))
-    dealt = distinct.select(*columns).mapInArrow(_deal(slots, hot, words), "slot long, keys binary, fps binary, own binary")
-    return dealt.groupBy("slot").applyInArrow(_link(max_bits, min(words, 3)), "a long, b long").distinct()
+    slots = max(1, math.ceil(n * words * len(blocks) / (3 * SLOT_ROWS)))
+    dealt = rows.mapInArrow(_deal(slots, hot, blocks), "slot long, keys binary, sent binary, own binary")
+    return dealt.groupBy("slot").applyInArrow(link, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = (), words: int = 1) -> DataFrame:
-    """Rows (doc_id, *keep, fp, component, component_id), one for each row of `docs`.
+def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Rows (a, b) of fingerprints that connect all those within `max_bits`; `distinct` has one row per fp."""
+    if max_bits > MAX_BITS:
+        raise ValueError(f"the blocks find links of up to {MAX_BITS} bits")
+    n = distinct.count()
+    return _links(distinct.select(F.col("fp").alias("sent"), F.col("fp").alias("marks")), cover(n), 1, n, _link(max_bits))
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fp, component, component_id), one for each row of `docs`.
 
     `component` is the smallest fingerprint reachable, as a long; `component_id` the smallest doc_id.
     """
-    marked = stage(fingerprints(docs, shingle, id_col, text_col, keep=keep, words=words), "fingerprints")
-    more = [F.min("more").alias("more")] if words > 1 else []
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *more), "distinct")
-    found = components(links(distinct, max_bits, words))
-    marked = marked.drop("more")
+    marked = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(links(distinct, max_bits))
     labelled = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("component"))
     # Written, so that the join below is of two plain shuffles, which Spark can split where a component is large.
     ids = stage(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "components")
     return marked.join(labelled.join(ids, "component").select("fp", "component", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = WIDE_BITS, words: int = WIDE_WORDS) -> DataFrame:
-    """The rows of `docs`, one for each group of near copies: its smallest doc_id (nulls last, then by row hash)."""
+def similar_links(distinct: DataFrame, folder: str) -> DataFrame:
+    """Rows (a, b) of places of sets that connect those of a similarity of 0.8 or more; `distinct` has (at, marks)."""
+    n = distinct.count()
+    words, blocks = similar_cover(n)
+    return _links(distinct.select("sent", "marks"), blocks, words, n, _link_similar(folder))
+
+
+def _marked_sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
+    """Rows (doc_id, __row, node, at, sent, marks): node names a text's set, `at` is its place in the shared folder."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, places = sets.Writer(folder, TaskContext.get().partitionId()), {}
+        for batch in batches:
+            rows = []
+            for text in batch.column(2).to_pylist():
+                grams = np.unique(shingle_hashes(text, shingle))
+                node = int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 7)).view(np.int64))
+                if node not in places:
+                    places[node] = writer.add(grams)
+                marks = fingerprint_words(grams, words)
+                sent = np.array([places[node], marks[0]], np.uint64)
+                rows.append((node, places[node], sent.tobytes(), marks.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "__row", "node", "at", "sent", "marks"])
+        writer.close()
+
+    rows = docs.select(F.col("__id").alias("doc_id"), "__row", "text")
+    return rows.mapInArrow(run, "doc_id long, __row long, node long, at long, sent binary, marks binary")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of `docs`, one for each group of near copies: its smallest doc_id (nulls last, then by row hash).
+
+    Of rows that repeat in all columns one is kept. Texts of equal sets, such as null and blank ones, are copies.
+    """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__row": row})
-    groups = near_groups(keyed, shingle, max_bits, id_col="__id", keep=("__row",), words=words)
-    rows = groups.groupBy("component", "doc_id", "__row").agg(F.count("*").alias("__times"))
-    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "__row", "__times")).alias("best"))
+    folder = fresh_path(docs.sparkSession, "shingles")
+    marked = stage(_marked_sets(keyed, shingle, similar_cover(docs.count())[0], folder), "sets")
+    distinct = marked.groupBy("node").agg(F.min(F.struct("at", "sent", "marks")).alias("m")).select("node", "m.*")
+    distinct = stage(distinct, "distinct")
+    found = components(similar_links(distinct, folder)).withColumnRenamed("node", "__node")
+    rows = marked.groupBy("node", "doc_id", "__row").agg(F.count("*").alias("__times"))
+    best = rows.groupBy("node").agg(F.min(F.struct("doc_id", "__row", "__times")).alias("best"))
+    best = best.join(distinct.select("node", "at"), "node").join(found, F.col("at") == F.col("__node"), "left")
+    best = best.groupBy(F.coalesce("label", "at").alias("component")).agg(F.min("best").alias("best"))
     best = best.select(F.col("best.doc_id").alias("__id"), "best.__row", "best.__times")
     kept = keyed.join(best, ["__id", "__row"])
     once, repeated = kept.where("__times = 1"), kept.where("__times > 1").dropDuplicates(["__id", "__row"])
