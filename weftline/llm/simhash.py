@@ -45,8 +45,9 @@ from weftline.session import ship
 MAX_BITS = 4
 #: Parts of a fingerprint, and how many make a block; from so many fingerprints on.
 COVERS = ((0, 3, 1), (1 << 20, 5, 2), (1 << 28, 6, 3))
-#: Fingerprints at home in one slot, about; homes of an anchor that is split, and such anchors at most.
-SLOT_ROWS = 10_000
+#: A third of the fingerprints at home in one slot, about; rows dealt at a time, so that a slot gets few packs.
+SLOT_ROWS, PACK_ROWS = 10_000, 8192
+#: Homes of an anchor that is split, and such anchors at most.
 HOT_HOMES, MAX_HOT = 20_000, 10_000
 _PAIRS, _CHECKS = 500_000, 4096
 #: For links at a Jaccard similarity of 0.8: how likely one is seen, and the bits of its first fingerprints that may
@@ -183,18 +184,27 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(map(matrix, batch.columns))
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`_columns` of about `PACK_ROWS` rows at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_columns(batch))
+        if sum(len(sent) for sent, _ in held) >= PACK_ROWS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _deal(slots: int, hot: dict[int, int], blocks: list[Block]):
-    """Map side: what each row sends, packed byte by byte, for the slots of its anchors."""
+    """Map side: what each row sends, packed byte by byte, for the slots of its anchors, `slots` for each block."""
     hot_keys = np.array(sorted(hot), np.int64)
     parts = np.array([hot[k] for k in sorted(hot)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sent, marks = _columns(batch)
-            rows: list[tuple] = []
-            for keys, who, own in _all_anchors(marks, blocks):
+        for sent, marks in _packs(batches):
+            for number, (keys, who, own) in enumerate(_all_anchors(marks, blocks)):
                 if len(hot_keys):
                     place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
                     n = np.where(hot_keys[place] == keys, parts[place], 1)
@@ -207,15 +217,16 @@ def _deal(slots: int, hot: dict[int, int], blocks: list[Block]):
                     keys, who, own = keys[again] | salt << 48, who[again], own[again] & (step == 0)
                 spread = mix(keys.view(np.uint64))
                 # Anchors of equal low bits in a slot only meet once more than they need.
-                slot, low = (spread >> np.uint64(32)).astype(np.int64) % slots, spread.astype(np.uint32)
+                slot, low = number * slots + (spread >> np.uint64(32)).astype(np.int64) % slots, spread.astype(np.uint32)
                 order = np.lexsort((low, slot))
                 slot = slot[order]
-                edges = np.flatnonzero(np.r_[np.ones(min(1, len(slot)), bool), slot[1:] != slot[:-1]])
+                edges = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+                rows = []
                 for lo, hi in zip(edges, np.append(edges[1:], len(slot)), strict=False):
                     some = order[lo:hi]
                     rows.append((int(slot[lo]), low[some].view(np.uint8).reshape(-1, 4).T.tobytes(), sent[who[some]].view(np.uint8).reshape(len(some), -1).T.tobytes(), np.packbits(own[some]).tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slot", "keys", "sent", "own"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slot", "keys", "sent", "own"])
 
     return run
 
@@ -329,7 +340,7 @@ def _links(rows: DataFrame, blocks: list[Block], words: int, n: int, link) -> Da
         crowded = rows.mapInArrow(homes, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
         # No more than blocks * words * n / limit <= MAX_HOT anchors can be that crowded.
         hot = {r["anchor"]: math.ceil(r["n"] / limit) for r in crowded.where(F.col("n") > limit).collect()}
-    slots = max(1, math.ceil(n * words * len(blocks) / (3 * SLOT_ROWS)))
+    slots = max(1, math.ceil(n / (3 * SLOT_ROWS)))
     dealt = rows.mapInArrow(_deal(slots, hot, blocks), "slot long, keys binary, sent binary, own binary")
     return dealt.groupBy("slot").applyInArrow(link, "a long, b long").distinct()
 

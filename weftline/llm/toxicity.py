@@ -1,24 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary texts, give each text two log-likelihoods; their difference per token, with the
-number of tokens, is calibrated to a probability. Tokens are lower-cased runs of letters, digits and non-ASCII
-characters. A token's likelihood is a chain over its first 4, 6 and 8 bytes and its end, so that inflected and
-compounded forms share evidence; each link discounts its counts in the class and interpolates with counts shared by
-both classes, so that an expression rare in either class tells next to nothing by itself.
-
-Training: `SAMPLE_DOCS` labelled documents of each class, about, chosen by a hash of their id; this bounds the model,
-which is broadcast. Rows whose crc32(doc_id) mod 5 is 0 are never used; of the others, remainder 4 calibrates and the
-rest are counted. All else covers every document in one scan without a shuffle.
-
-Defined results: a null or empty text gets the score of a text without tokens. Rows of one id are scored by their own
-text. A null id counts as empty text in the checksum (remainder 0, held out). Labels that repeat for an id count as
-toxic if any does; null labels are ignored. With labels of one class only, or none, every score is that class's
-share, or 0.
+Tokens are lower-cased runs of letters, digits and non-ASCII characters. A token is a chain of pieces: its first 4
+bytes, then up to byte 6, up to byte 8, and the rest; a piece's context is the beginning of the token before it, so
+inflected and compounded forms share evidence. For each class c the interpolated Kneser-Ney probability is
+
+    P_c(piece | context) = (n_c - D(n_c) + r_c(context) * P(piece)) / n_c(context)
+
+with r_c the sum of what was discounted. P(piece), shared by both classes, comes from continuation counts: in how many
+contexts the piece occurs in either class. Discounts are Kneser-Ney's from the counts of counts; counts up to a cutoff
+go to the backoff whole, as in pruned models, so that an expression rare in a class tells no more than the shared
+counts do. Toxic texts are ordinary ones with some toxic expressions: their model gives a token the probability
+(1 - EPSILON) * P_ordinary + EPSILON * P_toxic. The two log-likelihoods are divided by the number of tokens; the
+score is a rising logistic function of their difference, fitted on labelled rows that were not counted.
+
+Training: about `SAMPLE_TOXIC` and `SAMPLE_PLAIN` labelled documents, chosen by a hash of their id. Nodes at or below
+the cutoff have the value of unseen ones and are not kept; the cutoff starts at `CUTOFF` and doubles until no more than
+`MAX_NODES` are left, so the broadcast model is bounded in bytes, however long or often repeated the sampled texts are.
+Rows whose crc32(doc_id) mod 5 is 0 are never used; of the others, remainder 4 calibrates and the rest are counted. All
+else covers every document in one scan without a shuffle.
+
+Defined results: a null or empty text gets the score of a difference of 0. Rows of one id are scored by their own
+text, and each counts if its id is sampled. A null id counts as empty text in the checksum (remainder 0, held out).
+Labels that repeat for an id count as toxic if any does; null labels are ignored. With labels of one class only, or
+none, every score is that class's label, or 0.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,56 +35,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
-from weftline.llm.words import IS_TOKEN, hash_prefixes, mix, split_words, text_buffers
+from weftline.llm.words import IS_TOKEN, hash_prefixes, hash_words, mix, split_words, text_buffers
 from weftline.session import ship
 
-SAMPLE_DOCS = 1500
-#: Taken off every count, or all of a smaller one: what a class shows this often at most tells nothing by itself.
-DISCOUNT = 3
-#: A token's ratio counts as strong evidence from here up. Common words carry the mix of languages and topics of the
-#: two samples, which lies far below; as a mean over a whole text it would hide a few toxic words.
-STRONG = 2.5
+SAMPLE_TOXIC, SAMPLE_PLAIN = 1500, 6000
+#: Counts up to this one tell nothing by themselves; nodes of the model at most (12 bytes each).
+CUTOFF, MAX_NODES = 2, 2_000_000
+#: The part of a toxic text's tokens that are toxic expressions.
+EPSILON = 0.02
 _CUTS = (4, 6, 8)
-_LEVELS = len(_CUTS) + 1
+_HIGHEST = 50.0
 
 
 def remainder(doc_id: Column, by: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(by))
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """The chain of hashes of all tokens of some texts, and how many tokens each text has."""
+def _tokens(column: pa.Array, pieces: bool = False) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """Of some texts: the hashes of all tokens' beginnings, level by level, and of their pieces; each text's tokens."""
     for at in range(0, len(column), 256):
         raw, offsets = text_buffers(column[at : at + 256])
         starts, lengths, counts = split_words(raw, offsets, IS_TOKEN)
         whole, *cut = hash_prefixes(raw, starts, lengths, _CUTS, lower=True)
-        # A hash stands for a prefix at its level: the same bytes at another level, or ended, are another node.
-        yield [mix(h + np.uint64(level + 1)) for level, h in enumerate([*cut, whole])], counts
+        # A hash stands for a beginning at its level: the same bytes at another level, or ended, are another node.
+        chain = [mix(h + np.uint64(level + 1)) for level, h in enumerate([*cut, whole])]
+        own = []
+        if pieces:
+            for low, high in zip((0, *_CUTS), (*_CUTS, None), strict=True):
+                size = np.maximum(lengths - low, 0)
+                own.append(hash_words(raw, np.minimum(starts + low, len(raw)), np.minimum(size, high - low) if high else size, lower=True))
+        yield chain, own, counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         at = 0
-        for chain, counts in _tokens(batch.column(0)):
+        for chain, pieces, counts in _tokens(batch.column(0), pieces=True):
             label = np.repeat(toxic[at : at + len(counts)], counts)
             at += len(counts)
             _, first, inverse = np.unique(chain[-1], return_index=True, return_inverse=True)
             times = [np.bincount(inverse, label == c, len(first)).astype(np.int64) for c in (1, 0)]
             parent = np.zeros(len(first), np.uint64)
-            for level, h in enumerate(chain):
+            for level, (h, piece) in enumerate(zip(chain, pieces, strict=True)):
                 own = h[first]
-                columns = [np.full(len(own), level, np.int32), parent.view(np.int64), own.view(np.int64), *times]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "parent", "node", "toxic", "plain"])
+                columns = [np.full(len(own), level, np.int32), parent.view(np.int64), own.view(np.int64), piece[first].view(np.int64), *times]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "parent", "node", "piece", "toxic", "plain"])
                 parent = own
 
 
-def sample_labels(labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, dict[int, float]]:
-    """Rows (doc_id, toxic, calibrates) of about `size` labelled ids per class, and each class's sampled share."""
+def sample_labels(labels: DataFrame, sizes: tuple[int, int] = (SAMPLE_PLAIN, SAMPLE_TOXIC)) -> tuple[DataFrame, dict[int, float]]:
+    """Rows (doc_id, toxic, calibrates) of about `sizes` labelled ids per class, and each class's sampled share."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("rest", remainder(F.col("doc_id"))).where("rest <> 0 AND toxic IN (0, 1)")
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = {c: min(1.0, size / n) for c, n in totals.items()}
+    share = {c: min(1.0, sizes[c] / n) for c, n in totals.items()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.lit(False)
     for c, part in share.items():
@@ -84,32 +97,46 @@ def sample_labels(labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame
     return known.where(wanted).select("doc_id", "toxic", (F.col("rest") == 4).alias("calibrates")), share
 
 
-def train(sample: DataFrame) -> dict[str, np.ndarray] | None:
-    """Sorted hash arrays of log-likelihood ratios from rows (text, toxic): of each node, and of its unseen children."""
-    nodes = sample.mapInArrow(_count, "level int, parent long, node long, toxic long, plain long")
-    nodes = stage(nodes.groupBy("level", "parent", "node").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "nodes")
-    cut = lambda c: F.least(F.col(c), F.lit(DISCOUNT))
-    sums = [f(c) for c in ("toxic", "plain") for f in (lambda c: F.sum(c).alias(f"{c}_n"), lambda c: F.sum(cut(c)).alias(f"{c}_d"))]
-    parents = nodes.groupBy("level", "parent").agg(*sums)
+def _discounts(counts: dict[int, int]) -> list[float]:
+    """Modified Kneser-Ney's discounts of counts of 0, 1, 2, and 3 or more, from how often 1 to 4 occur."""
+    n = [max(1, counts.get(k, 0)) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0.0, *(min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))]
 
-    def spare(c: str) -> Column:
-        """The share of a parent's likelihood that goes by the shared counts."""
-        return F.when(F.col(f"{c}_n") > 0, F.col(f"{c}_d") / F.col(f"{c}_n")).otherwise(1.0)
 
-    shared = (F.col("toxic") + F.col("plain")) / (F.col("toxic_n") + F.col("plain_n"))
+def _counts_of(values: DataFrame) -> dict[int, int]:
+    return {r["n"]: r["count"] for r in values.where("n BETWEEN 1 AND 4").groupBy("n").count().collect()}
 
-    def likelihood(c: str) -> Column:
-        own = F.coalesce(F.try_divide(F.col(c) - cut(c), F.col(f"{c}_n")), F.lit(0.0))
-        return own + spare(c) * shared
 
+def train(sample: DataFrame) -> dict[str, np.ndarray] | None:
+    """Sorted hash arrays of log-likelihood ratios from rows (text, toxic): of each node, and of its unseen children."""
+    nodes = sample.mapInArrow(_count, "level int, parent long, node long, piece long, toxic long, plain long")
+    nodes = stage(nodes.groupBy("level", "parent", "node", "piece").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "nodes")
+    most = _discounts(_counts_of(nodes.select(F.explode(F.array("toxic", "plain")).alias("n"))))[3]
+    pieces = stage(nodes.groupBy("level", "piece").agg(F.count("*").alias("n")), "pieces")
+    shared = _discounts(_counts_of(pieces.select("n")))
+    taken = F.element_at(F.array(*map(F.lit, shared)), F.least("n", F.lit(3)).cast("int") + 1)
+    levels = pieces.groupBy("level").agg(F.sum("n").alias("all"), (F.sum(taken) / (F.count("*") + 1)).alias("spread"))
+    pieces = pieces.join(F.broadcast(levels), "level").select("level", "piece", ((F.col("n") - taken + F.col("spread")) / F.col("all")).alias("low"))
+
+    cutoff = CUTOFF
+    while nodes.where(F.greatest("toxic", "plain") > cutoff).count() > MAX_NODES:
+        cutoff *= 2
+    cut = lambda c: F.when(F.col(c) <= cutoff, F.col(c)).otherwise(most)
+    sums = [f(c) for c in ("toxic", "plain") for f in (lambda c: F.sum(c).alias(f"{c}_n"), lambda c: F.sum(cut(c)).alias(f"{c}_r"))]
+    parents = nodes.groupBy("level", "parent").agg(*sums, F.max(F.greatest("toxic", "plain")).alias("most"))
+    kept = parents.where(F.col("most") > cutoff)
+    spare = lambda c: F.coalesce(F.try_divide(f"{c}_r", f"{c}_n"), F.lit(1.0))
+    likelihood = lambda c: F.coalesce(F.try_divide(F.col(c) - cut(c), f"{c}_n"), F.lit(0.0)) + spare(c) * F.col("low")
     ratio = F.log(likelihood("toxic")) - F.log(likelihood("plain"))
-    seen = nodes.join(parents, ["level", "parent"]).select("node", ratio.cast("float").alias("llr")).toPandas()
-    unseen = parents.select("parent", (F.log(spare("toxic")) - F.log(spare("plain"))).cast("float").alias("llr")).toPandas()
+    seen = nodes.where(F.greatest("toxic", "plain") > cutoff).join(kept, ["level", "parent"]).join(pieces, ["level", "piece"])
+    seen = seen.select("node", ratio.alias("llr")).toPandas()
+    unseen = kept.select("parent", (F.log(spare("toxic")) - F.log(spare("plain"))).alias("llr")).toPandas()
     model = {}
     for name, keys, value in (("nodes", seen["node"], seen["llr"]), ("parents", unseen["parent"], unseen["llr"])):
         keys = keys.to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        model[name], model[f"{name}_llr"] = keys[order], value.to_numpy(np.float32)[order]
+        model[name], model[f"{name}_llr"] = keys[order], value.to_numpy(np.float64)[order]
     return model if len(model["nodes"]) else None
 
 
@@ -118,10 +145,10 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, keys[place] == wanted
 
 
-def ratios(model: dict[str, np.ndarray], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the sum of its tokens' log-likelihood ratios, that of their parts above STRONG; its tokens."""
-    sums, sizes = [], []
-    for chain, counts in _tokens(column):
+def differences(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
+    """Of each text: how much more likely the toxic model finds it than the ordinary one, in logarithms per token."""
+    found = [np.zeros(0)]
+    for chain, _, counts in _tokens(column):
         # Each kind of token is looked up once, in order of its hash.
         kinds, first, inverse = np.unique(chain[-1], return_index=True, return_inverse=True)
         value = np.zeros(len(kinds))
@@ -132,72 +159,61 @@ def ratios(model: dict[str, np.ndarray], column: pa.Array) -> tuple[np.ndarray,
             value[left[there]] += model["nodes_llr"][at[there]]
             at, known = _find(model["parents"], parent[~there])
             value[left[~there]] += np.where(known, model["parents_llr"][at], 0)
+            # What follows a node that is not kept is as likely in both models.
             left, parent = left[there], own[there]
-        strong = np.maximum(value - STRONG, 0)
-        total = np.concatenate([np.zeros((1, 2)), np.cumsum(np.stack([value, strong], axis=1)[inverse], axis=0)])
+        mixed = np.log1p(EPSILON * np.expm1(np.minimum(value, _HIGHEST)))
+        total = np.concatenate([[0.0], np.cumsum(mixed[inverse])])
         ends = np.cumsum(counts)
-        sums.append(total[ends] - total[ends - counts])
-        sizes.append(counts)
-    return (np.concatenate(sums), np.concatenate(sizes)) if sums else (np.zeros((0, 2)), np.zeros(0, np.int64))
+        found.append((total[ends] - total[ends - counts]) / np.maximum(counts, 1))
+    return np.concatenate(found)
 
 
-def _features(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    mean = sums / np.maximum(sizes, 1)[:, None]
-    return np.stack([mean[:, 0], mean[:, 1], np.sqrt(mean[:, 1]), np.log1p(sizes), np.ones(len(sizes))], axis=1)
-
-
-def calibrate(sums: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression on the ratios per token, and the length."""
-    x = _features(sums, sizes)
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    scale[-1] = 1
-    x = x / scale
-    theta = np.zeros(x.shape[1])
-    weight = weight / weight.mean()
-    for _ in range(50):
+def calibrate(difference: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Scale, slope (0 at least) and offset of a ridge logistic regression on asinh(difference / scale)."""
+    scale = max(float(np.median(np.abs(difference))), 1e-9)
+    x = np.stack([np.arcsinh(difference / scale), np.ones(len(difference))], axis=1)
+    theta, weight = np.zeros(2), weight / weight.mean()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         curve = weight * np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * curve[:, None]) + 0.1 * np.eye(x.shape[1]), x.T @ (weight * (toxic - p)) - 0.1 * theta)
-        theta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(x.T @ (x * curve[:, None]) + 0.01 * np.eye(2), x.T @ (weight * (toxic - p)) - 0.01 * theta)
+        theta += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
             break
-    return theta / scale
+    return scale, max(0.0, float(theta[0])), float(theta[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of `docs`."""
+def score(docs: DataFrame, labels: DataFrame, sizes: tuple[int, int] = (SAMPLE_PLAIN, SAMPLE_TOXIC)) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted, difference), one for each row of `docs`."""
     spark = docs.sparkSession
     ship(spark)
-    chosen, share = sample_labels(labels, size)
+    chosen, share = sample_labels(labels, sizes)
+    # About 7,500 ids.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"), "calibrates")
     sample = stage(sample, "labelled")
     model = train(sample.where("NOT calibrates").select("text", "toxic")) if len(share) == 2 else None
     flat = float(max(share)) if len(share) == 1 else 0.0
-    theta = np.zeros(5)
+    scale, slope, offset, held = 1.0, 0.0, 0.0, None
     if model is not None:
         held = spark.sparkContext.broadcast(model)
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sums, sizes = ratios(held.value, batch.column(0))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(sizes)], names=["toxic", "plain", "strong", "sizes"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(differences(held.value, batch.column(0)))], names=["toxic", "difference"])
 
-        rows = sample.where("calibrates").select("text", "toxic").mapInArrow(measured, "toxic long, plain double, strong double, sizes long").toPandas()
-        rows = rows.sort_values(["toxic", "plain", "strong", "sizes"])
+        rows = sample.where("calibrates").select("text", "toxic").mapInArrow(measured, "toxic long, difference double").toPandas()
+        rows = rows.sort_values(["toxic", "difference"])
         if rows["toxic"].nunique() == 2:
             weight = 1 / rows["toxic"].map(share).to_numpy(float)
-            theta = calibrate(rows[["plain", "strong"]].to_numpy(), rows["sizes"].to_numpy(), rows["toxic"].to_numpy(float), weight)
+            scale, slope, offset = calibrate(rows["difference"].to_numpy(), rows["toxic"].to_numpy(float), weight)
+    trained = model is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                value = np.full(batch.num_rows, flat)
-            else:
-                value = 1 / (1 + np.exp(-np.clip(_features(*ratios(held.value, batch.column(2))) @ theta, -30, 30)))
+            difference = differences(held.value, batch.column(2)) if trained else np.zeros(batch.num_rows)
+            value = 1 / (1 + np.exp(-np.clip(slope * np.arcsinh(difference / scale) + offset, -30, 30))) if trained else np.full(batch.num_rows, flat)
             predicted = (value >= 0.5).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array(predicted)], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array(predicted), pa.array(difference)], names=["doc_id", "held_out", "score", "predicted", "difference"])
 
-    if model is not None:
-        model = {"held": np.zeros(0)}  # the closure carries the broadcast handle only
     rows = docs.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, difference double")
