@@ -539,6 +539,31 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_clashing_columns_and_many_equal_vectors(spark):
+    """A third of all rows are one vector; columns have the operator's own names."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).tolist(), "x", 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, signs string, score double")
+    want = []
+    for i, v, *_ in rows[::20]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w, *_ in rows if j != i)[:20]
+        want += [(i, k, j, pytest.approx(-x)) for k, (x, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect())) == want
+
+
+def test_bounds_hold(spark):
+    """Bytes bound every inner product for certain, signs nearly all."""
+    rng = np.random.default_rng(4)
+    for d in (3, 64, 100):
+        x, q = rng.normal(size=(2000, d)) * rng.lognormal(size=(2000, 1)), rng.normal(size=d)
+        turn = neighbours.rotation(d)
+        codes, true = neighbours.encode(x, turn), x @ q
+        value, off = neighbours.estimate(q @ turn, codes, np.ascontiguousarray(codes.signs.T), np.bitwise_count(codes.signs).sum(axis=1, dtype=np.int64))
+        assert (np.abs(value - true) <= off).mean() >= 0.99
+        middle = codes.scale * (codes.small @ (q @ turn))
+        assert (np.abs(middle - true) <= codes.missed * np.linalg.norm(q)).all()
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
     whole = sorted(map(tuple, neighbours.nearest(vectors, F.col("vec_id") % 20 == 0).collect()))
