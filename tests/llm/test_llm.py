@@ -163,6 +163,19 @@ def test_repeats_of_documents(spark, sf_dir, texts):
     assert got == {(i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute_repeats(list(texts.items()), 20)}
 
 
+def test_sql_of_repeated_rows(spark, tmp_path, duck):
+    """Rows of one id are cut alike, by the operator and by the SQL."""
+    rng = random.Random(2)
+    own = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(60)) for _ in range(4)]
+    rows = [(1, own[0]), (1, own[0]), (2, own[0] + " " + own[1]), (3, own[2]), (3, own[2]), (None, own[3]), (9, own[2] + " x"), (None, own[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duck.cursor()
+    sql = queries.SQL["op3_substring_dedup"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({sql})").fetchall(), key=repr)
+    assert sorted(map(tuple, queries.op3_substring_dedup(spark, str(tmp_path)).collect()), key=repr) == want
+
+
 def test_repeats_in_odd_rows(odd):
     assert substring.remove_repeats(odd).count() == len(ODD)
     assert substring.remove_repeats(odd.limit(0)).count() == 0
@@ -194,6 +207,33 @@ def test_escapes_are_reversible(spark, text):
     assert got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest() and got.formatted_chars == len(whole.formatted)
 
 
+def brute_digest(turns):
+    """Of a conversation's (role, text) in order: what `digest` returns, without the number of formatted characters."""
+    loss = "".join(t for r, t in turns if r == "assistant")
+    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    return len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_log_folds_back_and_needs_it(spark):
+    """Ids of strings and null, repeated turns, null and very long texts, a clashing column."""
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["", None, "a", "été <|im_end|>", "x" * 300]), "clash") for c in ("a", "b", None) for t in range(40)]
+    rows += [("a", 3, "user", "again", ""), ("a", 3, "user", "again", ""), ("long", 0, "assistant", "<|é" * 400_000, "")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, kind string")
+    log = chat.as_log(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    by_turn, want = {}, {}
+    for c, t, r, x, _ in rows:
+        by_turn.setdefault(c, []).append((t, r is not None, r or "", x is not None, x or ""))
+    for c, turns in by_turn.items():
+        want[c] = brute_digest([(r, x) for _, _, r, _, x in sorted(turns)])
+    got = {r[0]: tuple(r[1:5]) for r in chat.digest(chat.render(chat.fold(log))).collect()}
+    assert got == want
+    unfolded = log.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    assert {r[0]: tuple(r[1:5]) for r in chat.digest(chat.render(unfolded)).collect()} != want
+    assert chat.digest(chat.render(chat.fold(chat.as_log(df.limit(0))))).count() == 0
+
+
 # 5
 
 

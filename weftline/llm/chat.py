@@ -58,6 +58,32 @@ def as_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Dat
     return rows.select(*columns, F.lit("message").alias("kind"), "role", "text")
 
 
+def as_log(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """A log, as a chat service would have written it, that folds to a table with one row per turn.
+
+    By a hash of the turn, its text comes whole, streamed in three deltas, as an edit of another text, or after a
+    regeneration that discards another text and a message logged behind it. The same turns give the same log.
+    """
+    kind, text, role = F.pmod(F.xxhash64("conv_id", "message", "text"), F.lit(4)), F.coalesce("text", F.lit("")), F.col("role")
+    third = F.ceil(F.length(text) / 3).cast("int")
+    other = F.concat(F.reverse(text), F.lit("?"))
+
+    def event(step, kind, role, text, message=F.col("message")):
+        return F.struct((F.col("message") * 8 + step).alias("seq"), message.alias("message"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    def streamed(step):
+        return [event(step + i, "delta", F.lit(None).cast("string"), F.substr(text, third * i + 1, third if i < 2 else F.length(text))) for i in range(3)]
+
+    nobody, nothing = F.lit(None).cast("string"), F.lit("")
+    log = (
+        F.when(kind == 0, F.array(event(0, "message", role, text)))
+        .when(kind == 1, F.array(event(0, "message", role, nothing), *streamed(1)))
+        .when(kind == 2, F.array(event(0, "message", role, other), event(1, "edit", nobody, text)))
+        .otherwise(F.array(event(0, "message", role, other), event(1, "message", role, other, F.col("message") + 1), event(2, "regenerate", nobody, nothing), *streamed(3)))
+    )
+    return as_events(rows, conv, turn).select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Rows (conv_id, message, role, text) of the final messages."""
     kind = F.coalesce("kind", F.lit("message"))
@@ -99,7 +125,10 @@ _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + "\n",
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the output."""
+    """Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the output.
+
+    conv_id keeps its type; null is a conversation, too.
+    """
     ship(pieces.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +154,11 @@ def digest(pieces: DataFrame) -> DataFrame:
                 state[3].update(trained.encode())
                 state[4] += len(piece)
             if done:
-                yield pa.RecordBatch.from_pylist(done, schema=wire)
+                yield pa.RecordBatch.from_pylist(done, schema=wire(batch))
         if now is not none:
-            yield pa.RecordBatch.from_pylist([row()], schema=wire)
+            yield pa.RecordBatch.from_pylist([row()], schema=wire(batch))
 
     kinds = {"n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long"}
-    wire = pa.schema([("conv_id", pa.int64()), *[(k, pa.string() if v == "string" else pa.int64()) for k, v in kinds.items()]])
-    ordered = pieces.withColumn("conv_id", F.col("conv_id").cast("long")).repartition("conv_id").sortWithinPartitions("conv_id", "message")
-    return ordered.mapInArrow(run, "conv_id long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    wire = lambda batch: pa.schema([("conv_id", batch.schema.field(0).type), *[(k, pa.string() if v == "string" else pa.int64()) for k, v in kinds.items()]])
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "message")
+    return ordered.mapInArrow(run, f"conv_id {pieces.schema['conv_id'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))

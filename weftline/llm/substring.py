@@ -11,7 +11,8 @@ row of 4-byte hashes and 2-byte position gaps. A block that is frequent everywhe
 then, however many rows hold it. Buckets follow the size of the input.
 
 Defined results: a null text has no words. Rows of one doc_id and equal text count as one document written twice: all
-are cut alike. Where rows of one doc_id differ in text, "earlier" compares (doc_id, start). A null doc_id comes last.
+are cut alike. Where rows of one doc_id differ in text, "earlier" compares (doc_id, start). A null doc_id comes last,
+together with the largest long.
 Other columns are ignored. Ids must be integers.
 """
 
