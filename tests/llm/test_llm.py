@@ -86,6 +86,47 @@ def test_mix_meets_targets(spark, sf_dir, texts):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 2 + 0.01 * want[s]
 
 
+def test_large_budgets_are_fitted():
+    """Budgets beyond the program's steps, too, come as near as their documents allow."""
+    got = mixing.fit_counts(np.array([40_000_000]), np.array([2]), 35_000_000)
+    assert got.tolist() == [1]
+    sizes, counts = np.array([90_000_001, 31_000_003, 7_000_019, 1_300_021, 17]), np.array([3, 5, 9, 20, 10])
+    for budget in (50_000_000, 123_456_789, 400_000_000):
+        got = mixing.fit_counts(sizes, counts, budget)
+        assert (got <= counts).all() and abs(int((got * sizes).sum()) - budget) <= 1_300_021
+
+
+def test_mix_is_the_same_over_layouts(spark):
+    """Repeated and null ids: the rows taken do not depend on how the table is dealt out."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join("ab" for _ in range(rng.randint(0, 4))) + rng.choice(["", " c"]), "en", rng.choice("xy"), i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows, DOC).withColumns({"__row": F.lit(1), "copies": F.lit("clash"), "doc": F.lit(2)})
+    takes = [sorted(map(str, mixing.mixed_rows(x).collect())) for x in (df.repartition(7), df.coalesce(1).orderBy("text"))]
+    assert takes[0] == takes[1]
+    sizes = Counter()
+    for r in mixing.mix(df).collect():
+        sizes[r.source] += r.size * r.copies
+    totals = {r.source: r.target for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    # Documents of one word stand by, so each target is met to a word.
+    assert all(abs(sizes[s] - totals[s]) <= 1 for s in totals)
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_stages_with_clashing_columns(spark, sf_dir, step):
+    """Columns named like the stages' own stay as they are; an empty table gives no rows."""
+    import corpus_pipeline
+
+    extra = ["__row", "__id", "__runs", "__th", "__doc", "doc", "ids_", "th", "copies", "times", "a", "b", "runs", "node", "size"]
+    text = "one two three four five six seven eight nine ten password=secret99 " * 3
+    rows = [(i, f"{text} {' '.join(f'w{i}x{k}' for k in range(120))}", "en", "a", 1) for i in range(6)]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(c) for c in extra})
+    name, run = corpus_pipeline.STAGES[step]
+    out = run(spark, df, sf_dir)
+    found = out.collect()
+    assert out.columns[: len(df.columns)] == df.columns and all(r[c] == c for r in found for c in extra)
+    assert len(found) >= 6 and run(spark, df.limit(0), sf_dir).count() == 0
+
+
 def test_mix_of_odd_rows(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r.copies == 0 for r in rows if r.size == 0)
@@ -124,7 +165,9 @@ def test_ids_and_round_trip(docs, texts, odd):
     for frame, held in ((docs, texts), (odd, None)):
         encoded = pieces.encode(frame, chunk=512).select("doc_id", "text", "ids")
         rows = encoded.collect()
-        assert len(rows) == frame.count()
+        assert len(rows) == frame.count() and pieces.encode(frame.limit(0)).count() == 0
+        clash = pieces.encode(frame.withColumn("ids", F.lit("clash")), chunk=512, keep=("doc_id", "ids"))
+        assert clash.columns == ["doc_id", "text", "ids"] and clash.count() == len(rows)
         assert all(r.ids == model.library.encode(r.text or "") for r in rows)
         assert all(r.decoded == (r.text or "") for r in pieces.decode(encoded, keep=("text",)).collect())
 
@@ -658,6 +701,8 @@ def test_language_model_of_odd_rows(odd):
     model = lm.train(odd)
     rows = lm.score(odd, model, keep=("doc_id",)).collect()
     assert len(rows) == len(ODD) and all(r.score <= 0 for r in rows) and lm.perplexity(lm.score(odd, model)).count() == len(ODD)
+    again = lm.score(odd.withColumn("score", F.lit("clash")), model, keep=("doc_id", "score"))
+    assert again.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and again.count() == len(ODD)
     nothing = lm.train(odd.limit(0))
     assert {r.score for r in lm.score(odd, nothing).collect()} == {0.0}
 

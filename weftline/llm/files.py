@@ -20,7 +20,7 @@ def _local(uri: str) -> str | None:
 def _remote(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:

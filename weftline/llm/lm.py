@@ -313,8 +313,12 @@ def _score_pack(model: Model, tokens: np.ndarray, begins: np.ndarray) -> tuple[n
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (*keep, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`."""
+    """Rows (*keep, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
+
+    Kept columns of these names give way to the new ones.
+    """
     ship(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
     rows = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ Only counts by (source, length) and by (source, length, hash range) leave the do
 hash ranges of about `RANGE_ROWS` rows, so no task ranks more than such a range.
 
 Defined results: a null text has size 0; sizes of 0 are never taken; a null source is a source of its own, last in
-order; repeated rows are ranked next to each other. An empty table gives an empty mix.
+order; documents of equal hash go by id, then by the kept columns, so rows that still tie are alike and the mix does not
+depend on the table's layout. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
-from weftline.llm.text import word_count
+from weftline.llm.text import whole, word_count
 from weftline.session import ship
 
 RANGE_ROWS = 20_000
-#: Tokens that the knapsack program fills, about, and the most it is run on.
-RESERVE, MOST = 32_768, 1 << 24
+#: Tokens that the knapsack program fills, about (or 4 of the longest documents), and the most steps it counts in; beyond, a step is several tokens.
+RESERVE, MOST = 32_768, 1 << 23
 
 
 def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
@@ -38,7 +39,7 @@ def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
     taken = np.zeros(len(sizes), np.int64)
     # Beyond twice the budget, taking nothing is nearer; beyond one largest item, some item can be left out.
     top = min(2 * budget, budget + int(sizes.max(initial=0)))
-    reached, via = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int64)
+    reached, via = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int32)
     reached[0] = True
     items: list[tuple[int, int, int]] = []
     for i in np.argsort(sizes, kind="stable"):
@@ -62,6 +63,19 @@ def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def nearest_counts(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
+    """`knapsack` for any budget: a large one is filled in steps of several tokens, and what that leaves, again."""
+    step = -(-min(2 * budget, budget + int(sizes.max(initial=0))) // MOST)
+    if step <= 1:
+        return knapsack(sizes, spare, budget)
+    taken = knapsack(np.maximum(1, np.rint(sizes / step).astype(np.int64)), spare, round(budget / step))
+    left = budget - int((taken * sizes).sum())
+    fits = np.flatnonzero((sizes < 2 * left) & (taken < spare))
+    if left > 0 and taken.any() and len(fits):
+        taken[fits] += nearest_counts(sizes[fits], (spare - taken)[fits], left)
+    return taken
+
+
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take for a sum near `budget`; sizes are distinct and positive."""
     if budget <= 0:
@@ -70,7 +84,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return counts.copy()
     order = np.argsort(-sizes, kind="stable")
     size, count = sizes[order], counts[order]
-    reserve = min(budget, RESERVE)
+    reserve = min(budget, max(RESERVE, 4 * int(size[0])))
     ideal = np.cumsum(size * count) * ((budget - reserve) / max(1, int((size * count).sum())))
     taken, used = np.zeros(len(size), np.int64), 0
     for i in range(len(size)):
@@ -81,9 +95,9 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         taken[i] += more
         used += int(more * size[i])
     left = budget - used
-    if 0 < left <= MOST:
-        fits = np.flatnonzero((size < 2 * left) & (taken < count))
-        taken[fits] += knapsack(size[fits], (count - taken)[fits], left)
+    fits = np.flatnonzero((size < 2 * left) & (taken < count))
+    if left > 0 and len(fits):
+        taken[fits] += nearest_counts(size[fits], (count - taken)[fits], left)
     out = np.empty(len(size), np.int64)
     out[order] = taken
     return out
@@ -130,7 +144,7 @@ def mix(
     how often the mix takes the document.
     """
     ship(docs.sparkSession)
-    sized = docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("order"))
+    sized = docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
     sized = stage(sized, "sizes")
     bits = max(0, math.ceil(math.log2(max(1, sized.count()) / RANGE_ROWS)))
     unsigned = F.col("order").bitwiseXOR(F.lit(-(1 << 63)))
@@ -148,17 +162,20 @@ def mix(
     ranges = ranges.select("r.source", "r.size", "r.range", "source_size", "target", "rounds", (F.col("picked") - F.col("before")).alias("first"))
     same = F.expr("d.source <=> r.source AND d.size = r.size AND d.range = r.range")
     found = sized.withColumn("order", unsigned).alias("d").join(ranges.alias("r"), same).select("d.*", "source_size", "target", "rounds", "first")
-    rank = F.row_number().over(W.partitionBy("source", "size", "range").orderBy("order"))
+    # Rows that tie even by the kept columns are alike in all that is returned.
+    rank = F.row_number().over(W.partitionBy("source", "size", "range").orderBy("order", "doc_id", *keep))
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.when(rank <= F.col("first"), 1).otherwise(0)).otherwise(0)
     return found.select("doc_id", *keep, "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the mix takes, each as often as it takes it."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("__row", row)
-    taken = mix(keyed, keep=("__row",), **options).groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__times"))
-    found = keyed.join(taken.where("__copies > 0"), "__row")
-    once, repeated = found.where("__times = 1"), found.where("__times > 1").dropDuplicates(["__row"])
-    rows = once.unionByName(repeated).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keys = {"__row": F.xxhash64(*columns), "__twin": F.xxhash64(F.lit(1), *columns)}
+    keyed = docs.select(whole(docs).alias("doc"), *[c.alias(k) for k, c in keys.items()])
+    sized = docs.select("doc_id", "text", "source", *[c.alias(k) for k, c in keys.items()])
+    taken = mix(sized, keep=tuple(keys), **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
+    found = keyed.join(taken.where("copies > 0"), list(keys))
+    once, repeated = found.where("times = 1"), found.where("times > 1").dropDuplicates(list(keys))
+    rows = once.unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("doc.*")

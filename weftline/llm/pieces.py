@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
+from weftline.llm.text import whole
 from weftline.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -202,13 +203,14 @@ def settle(matrices: list[np.ndarray]) -> list[int]:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows (*keep, text, ids array<int>), one for each row of `docs`."""
+    """Rows (*keep, text, ids array<int>), one for each row of `docs`; a kept column named ids gives way to the new one."""
     ship(docs.sparkSession)
-    columns = list(dict.fromkeys([*keep, "text"]))
+    columns = [c for c in dict.fromkeys([*keep, "text"]) if c != "ids"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     size = F.coalesce(F.length("text"), F.lit(0))
     small, giant = docs.where(size < chunk), docs.where(size >= chunk)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         at = columns.index("text")
         for batch in batches:
@@ -232,8 +234,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, *, keep
 
     names = ("a", "b", "chunk", "origin", "low", "high", "total", "part")
     wire = pa.schema([(n, pa.string() if n == "part" else pa.int64()) for n in names])
-    keyed = giant.select(*columns, F.xxhash64("text").alias("__a"), F.xxhash64("text", F.lit(1)).alias("__b"))
-    texts = keyed.groupBy(F.col("__a").alias("a"), F.col("__b").alias("b")).agg(F.any_value("text").alias("text"))
+    keyed = giant.select(whole(giant).alias("doc"), F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+    texts = keyed.groupBy("a", "b").agg(F.any_value("doc.text").alias("text"))
     chunks = texts.mapInArrow(cut, "a long, b long, chunk long, origin long, low long, high long, total long, part string")
     chunks = stage(chunks.repartition("a", "b", "chunk"), "chunks")
 
@@ -272,11 +274,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK, *, keep
 
     traced = chunks.join(chosen, ["a", "b", "chunk"]).select("a", "b", "chunk", "origin", "part", "into", "out").mapInArrow(back, "a long, b long, chunk long, ids array<int>")
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]))
-    encoded = traced.groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(ordered.alias("ids"))
-    long = keyed.join(encoded, ["__a", "__b"]).select(*[F.col(f"`{c}`") for c in columns], "ids")
-    rows = small.select(*[F.col(f"`{c}`") for c in columns])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["ids array<int>"])
-    return rows.mapInArrow(whole, schema).unionByName(long)
+    encoded = traced.groupBy("a", "b").agg(ordered.alias("ids"))
+    long = keyed.join(encoded, ["a", "b"]).select("doc.*", "ids")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema] + ["ids array<int>"])
+    return small.mapInArrow(at_once, schema).unionByName(long)
 
 
 def decode(rows: DataFrame, model_path: str = MODEL, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

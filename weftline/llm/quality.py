@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
-from weftline.llm.text import words
+from weftline.llm.text import whole, words
 
 LANGUAGES = ("en", "de", "fr", "es")
 MIN_CHARS, MIN_WORDS = 200, 100
@@ -137,7 +137,9 @@ def judge(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose verdict is kept; every row of equal text and language is judged alike."""
-    row = F.xxhash64("doc_id", "text", "lang")
-    judged = judge(docs.withColumn("__row", row), keep=("__row",)).where("kept").select("__row").distinct()
-    return docs.withColumn("__row", row).join(judged, "__row", "left_semi").drop("__row")
+    """The rows of `docs` whose verdict is kept; every row of equal text and language is judged alike.
+
+    Each row goes with its measures into the staged table, so no text is shuffled.
+    """
+    packed = docs.select("doc_id", "text", "lang", whole(docs).alias("__doc"))
+    return judge(packed, keep=("__doc",)).where("kept").select("__doc.*")

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
+from weftline.llm.text import whole
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "ident", "blob", "endpoint")
@@ -115,11 +116,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     runs = spans.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     before = F.coalesce(F.lag("end").over(W.partitionBy("doc_id", "th").orderBy("start")), F.lit(0))
     runs = runs.withColumn("before", before).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before"))).alias("__runs"))
-    rows = docs.withColumn("__th", F.xxhash64("text")).alias("d").join(runs.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.__th = r.th"), "left")
-    text = F.col("d.text")
+    rows = docs.select(whole(docs).alias("doc"), F.xxhash64("text").alias("text_hash")).alias("d")
+    rows = rows.join(runs.alias("r"), F.expr("d.doc.doc_id <=> r.doc_id AND d.text_hash = r.th"), "left")
+    text = F.col("d.doc.text")
     pieces = F.transform("__runs", lambda x: F.substring(text, x["before"].cast("int") + 1, (x["start"] - x["before"]).cast("int")))
     rest = F.substring(text, F.element_at("__runs", -1)["end"].cast("int") + 1, F.length(text))
     masked = F.when(F.col("__runs").isNull(), text).otherwise(F.concat(F.array_join(F.concat(pieces, F.array(rest)), mask)))
-    columns = [masked.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    columns = [masked.alias(c) if c == "text" else F.col(f"d.doc.`{c}`").alias(c) for c in docs.columns]
     rows = rows.select(*columns)
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows

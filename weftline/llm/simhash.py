@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from weftline.llm import sets
 from weftline.llm.components import components
 from weftline.llm.staging import fresh_path, stage
+from weftline.llm.text import whole
 from weftline.llm.words import mix
 from weftline.session import ship
 
@@ -395,7 +396,7 @@ def _marked_sets(docs: DataFrame, shingle: int, words: int, folder: str) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "__row", "node", "at", "sent", "marks"])
         writer.close()
 
-    rows = docs.select(F.col("__id").alias("doc_id"), "__row", "text")
+    rows = docs.select(F.col("__id").alias("doc_id"), "__row", "doc.text")
     return rows.mapInArrow(run, "doc_id long, __row long, node long, at long, sent binary, marks binary")
 
 
@@ -405,7 +406,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Of rows that repeat in all columns one is kept. Texts of equal sets, such as null and blank ones, are copies.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__row": row})
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__id"), row.alias("__row"), whole(docs).alias("doc"))
     folder = fresh_path(docs.sparkSession, "shingles")
     marked = stage(_marked_sets(keyed, shingle, similar_cover(docs.count())[0], folder), "sets")
     distinct = marked.groupBy("node").agg(F.min(F.struct("at", "sent", "marks")).alias("m")).select("node", "m.*")
@@ -418,4 +419,4 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     best = best.select(F.col("best.doc_id").alias("__id"), "best.__row", "best.__times")
     kept = keyed.join(best, ["__id", "__row"])
     once, repeated = kept.where("__times = 1"), kept.where("__times > 1").dropDuplicates(["__id", "__row"])
-    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(repeated).select("doc.*")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir` with its file system; only where it is unset (tests), one of our own."""
+    """The folder in `spark.checkpoint.dir` with its file system; only for a local master may it be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = getattr(spark.sparkContext, "_weftline_shared", None)
         if folder is None:

@@ -2,7 +2,7 @@ r"""Spark expressions on words `[^\x20\x09-\x0D]+`, without Python."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import BLANKS
@@ -10,6 +10,11 @@ from weftline.llm.words import BLANKS
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of `df` as one, so that no other column can have the name of one of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def word_count(text: Column) -> Column:
     """The number of words; 0 for a null text. The pieces between blanks, less an empty one at either end."""
     text = F.coalesce(text, F.lit(""))
