@@ -21,6 +21,24 @@ def first_object(text: Column) -> Column:
     return F.when(bare.startswith("{"), bare).otherwise(F.when(block == "", bare).otherwise(block))
 
 
+def balanced_object(text: Column) -> Column:
+    """JSON text out of prose or code fences: all of it where it is JSON, else from the first brace to the one that closes
+    it; null where there is none. Braces inside strings count."""
+    bare = F.trim(F.regexp_replace(text, r"(?m)^```[a-zA-Z]*\s*|\s*```\s*$", ""))
+    after = F.regexp_extract(bare, r"(?s)\{.*", 0)
+    # One piece up to each brace; the depth behind it; the pieces up to the first depth of zero.
+    pieces = F.regexp_extract_all(after, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    state = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(0).alias("end")),
+        lambda s, x: F.struct(
+            (s["depth"] + F.when(x.endswith("{"), 1).otherwise(-1)).alias("depth"), (s["size"] + F.length(x)).alias("size"),
+            F.when((s["end"] == 0) & x.endswith("}") & (s["depth"] == 1), s["size"] + F.length(x)).otherwise(s["end"]).alias("end"),
+        ),
+    )
+    block = F.when(state["end"] > 0, F.substr(after, F.lit(1), state["end"]))
+    return F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(block)
+
+
 def parse_judge(text: Column, axes: dict[str, int]) -> Column:
     """A struct (scores map<string,int>, verdict, rationale, parsed).
 

@@ -24,9 +24,11 @@ def token_estimate(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("long")
 
 
-def prompt_tokens(texts: Column) -> Column:
-    """The estimate summed over an array of texts."""
-    return F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + token_estimate(x))
+def prompt_tokens(texts: Column, *more: Column) -> Column:
+    """A quarter of the characters of an array of texts and of further texts (names, arguments, tools) together, at least 1."""
+    inside = F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
+    total = reduce(lambda a, b: a + F.coalesce(F.length(b), F.lit(0)), more, inside)
+    return F.greatest(F.lit(1), F.floor(total / 4)).cast("long")
 
 
 def looks_like_system_prompt(text: Column) -> Column:
@@ -43,7 +45,7 @@ def scrub(text: Column, names: tuple[str, ...] = ()) -> Column:
     for name in sorted({n for n in names if n}, key=lambda n: (-len(n), n)):
         text = F.regexp_replace(text, r"(?i)\b\Q" + name + r"\E\b", "[…]")
     text = F.regexp_replace(text, r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", "[…]")
-    return F.trim(F.regexp_replace(text, r" {2,}", " "))
+    return F.regexp_replace(F.regexp_replace(text, r" {2,}", " "), r"(?U)^\s+|\s+$", "")
 
 
 def render_template(template: Column, values: dict[str, Column]) -> Column:
@@ -91,23 +93,44 @@ def html_text(html: Column) -> Column:
     return tidy(F.regexp_replace(html, r"[ \t]+", " "))
 
 
-def html_links(html: Column, base: Column) -> Column:
-    """Distinct absolute http(s) links, without fragments, resolved against the page's address."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)["']"""), F.lit(1))
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.when(F.regexp_extract(base, r"^(https?://[^?#]*/)[^/]*$", 1) == F.concat(F.regexp_extract(base, r"^(https?:/)", 1), F.lit("/")), F.concat(origin, F.lit("/")))
-    folder = F.coalesce(folder, F.when(base.rlike(r"^https?://[^/?#]+/"), F.regexp_extract(base, r"^(https?://[^/?#]+/(?:[^?#]*/)?)", 1)), F.concat(origin, F.lit("/")))
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its `.` and `..` steps."""
+    steps = F.split(F.substring(path, 2, 1 << 20), "/", -1)
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolve_link(link: Column, base: Column) -> Column:
+    """A link as an absolute http(s) address, relative to its page's; null for other schemes. Fragments go."""
+    link = F.regexp_replace(F.trim(link), r"#.*$", "")
+    scheme, origin = F.regexp_extract(base, r"^(https?:)", 1), F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    page = F.regexp_extract(base, r"^https?://[^/?#]+(/[^?#]*)", 1)
+    page = F.when(page == "", "/").otherwise(page)
+    whole = (
+        F.when(link.rlike(r"(?i)^https?://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(origin, page, link))
+        .when(link == "", F.concat(origin, page))
+        .otherwise(F.concat(origin, F.regexp_extract(page, r"^(.*/)", 1), link))
+    )
+    head = F.regexp_extract(whole, r"(?i)^(https?://[^/?#]+)", 1)
+    path, asked = F.regexp_extract(whole, r"(?i)^https?://[^/?#]+([^?]*)", 1), F.regexp_extract(whole, r"(\?.*)$", 1)
+    return F.when(head != "", F.concat(F.lower(head), F.when(path == "", "/").otherwise(_without_dots(path)), asked))
 
-    def resolve(x: Column) -> Column:
-        return (
-            F.when(x.rlike(r"(?i)^https?://"), x)
-            .when(x.startswith("//"), F.concat(F.regexp_extract(base, r"^(https?:)", 1), x))
-            .when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-            .when(x.startswith("/"), F.concat(origin, x))
-            .otherwise(F.concat(folder, x))
-        )
 
-    return F.array_distinct(F.filter(F.transform(found, resolve), F.isnotnull))
+def html_links(html: Column, base: Column) -> Column:
+    """Distinct absolute http(s) links of the anchors' attributes, without fragments, resolved against the page's address."""
+    anchors = F.regexp_extract_all(html, F.lit(r"(?i)<a(\s[^>]*)>"), F.lit(1))
+    attribute = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = lambda x: F.concat(*[F.regexp_extract(x, attribute, i) for i in (1, 2, 3)])
+    found = F.filter(F.transform(anchors, value), lambda x: (x != "") & ~x.startswith("#"))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: resolve_link(x, base)), F.isnotnull))
 
 
 def is_identifier(name: Column) -> Column:
@@ -134,17 +157,23 @@ def clean_arguments(text: Column) -> Column:
 
 # Verbs and stages that make a function a risk.
 SENSITIVE_VERBS = (
-    "apply approve execute run create update delete cancel refund waive reset issue transfer escalate grant revoke "
-    "disable enable override submit confirm process initiate pay adjust modify remove assign close terminate suspend "
-    "activate deploy rollback settle provision decommission release push send set add link restore retry topup book "
-    "reserve swap publish enforce commit amend"
-).split()
+    "apply", "approve", "execute", "run", "create", "update", "delete", "cancel", "refund", "waive", "reset", "issue",
+    "transfer", "escalate", "grant", "revoke", "disable", "enable", "override", "submit", "confirm", "process",
+    "initiate", "pay", "adjust", "modify", "remove", "assign", "close", "terminate", "suspend", "activate", "deploy",
+    "rollback", "settle", "provision", "decommission", "release", "push", "send", "set", "add", "link", "restore",
+    "retry", "topup", "book", "reserve", "swap", "publish", "enforce", "commit", "amend",
+)
 SENSITIVE_STAGES = (
-    "approve approval execute escalate bulk delete cancel payment billing provision deploy rollback terminate settle "
-    "remediation recover recovery execution change_execute decommission enforcement activation"
-).split()
-EXPORT_VERBS = "export bulk list search download dump stream".split()
-EXPORT_STAGES = "export bulk report reporting snapshot audit search_reporting".split()
+    "approve", "approval", "execute", "escalate", "bulk", "delete", "cancel", "payment", "billing", "provision",
+    "deploy", "rollback", "terminate", "settle", "remediation", "recover", "recovery", "execution", "change_execute",
+    "decommission", "enforcement", "activation",
+)
+EXPORT_VERBS = (
+    "export", "bulk", "list", "search", "download", "dump", "stream",
+)
+EXPORT_STAGES = (
+    "export", "bulk", "report", "reporting", "snapshot", "audit", "search_reporting",
+)
 
 
 def risk_class(name: Column, stage: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -32,10 +35,6 @@ def split_frozen(ids: DataFrame, frozen: DataFrame, key: str = "conversation_id"
     return ids.join(frozen, key, "left_anti"), ids.join(frozen, key, "left_semi")
 
 
-def _quoted(text: Column) -> Column:
-    return F.get_json_object(F.to_json(F.struct(text.alias("v"))), "$.v")
-
-
 def json_message(role: Column, content: Column) -> Column:
     """One message as JSON with blanks after separators; null content is left out."""
     string = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
@@ -78,23 +77,28 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^a-z0-9._-]+", "-")
 
 
-def upload_batches(rows: DataFrame, order: str, size: int = 100) -> DataFrame:
-    """Numbers rows in order and puts them into batches; the global order costs one range sort, the number one scan.
+def upload_batches(rows: DataFrame, order: str, size: int = 100, part_rows: int = 1_000_000) -> DataFrame:
+    """Numbers rows in order and puts them into batches; nulls first.
 
-    Row numbers come from partition sizes, so no single task sees all rows.
+    Rows are cut into about `part_rows` by fixed bounds (a sample's, 1,023 at most), so that counting and numbering agree
+    however Spark deals them out; each part is ranked by itself behind the number of rows before it. Rows of an equal key
+    stay in one part and are numbered in any order.
     """
-    ordered = rows.orderBy(order).withColumn("__part", F.spark_partition_id())
-    counts = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}
-    before, offsets = 0, []
-    for part in sorted(counts):
-        offsets += [F.lit(part), F.lit(before)]
-        before += counts[part]
-    if not offsets:
-        return rows.withColumns({"place": F.lit(0).cast("long"), "batch": F.lit(0).cast("long")})
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1 + F.element_at(F.create_map(*offsets), F.col("__part"))
-    return ordered.withColumn("place", place.cast("long")).withColumn("batch", F.floor(F.col("place") / size)).drop("__part")
+    n = rows.count()
+    parts = min(1024, math.ceil(n / part_rows))
+    key, bounds = F.col(order), []
+    if parts > 1:
+        # About 64 keys for each part, chosen by hash.
+        known = rows.where(key.isNotNull()).select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(max(1, n // (64 * parts)))) == 0)
+        sampled = known.agg(F.array_sort(F.collect_set("k"))).first()[0]
+        bounds = [sampled[len(sampled) * i // parts] for i in range(1, parts)] if len(sampled) >= parts else sampled
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)), F.lit(0)) if bounds else F.lit(0)
+    marked = rows.withColumn("__part", F.when(key.isNull(), 0).otherwise(part))
+    before = marked.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy(key.asc_nulls_first())) - 1 + F.col("__before")
+    # One row for each part.
+    placed = marked.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("place", place.cast("long"))
+    return placed.withColumn("batch", F.floor(F.col("place") / size)).drop("__part", "__before")
 
 
 def import_plan(incoming: DataFrame, existing: DataFrame, overwrite: bool) -> DataFrame:

@@ -1,18 +1,26 @@
 """Graphs: cleaning, bounded search, layout and walks over nodes and edges tables.
 
-Rounds are joins; the tables of a round are cut from their lineage by checkpoint() where a folder is set.
+Rounds are joins; the tables of a round are cut from their lineage by checkpoint().
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df
+    """`df` without its lineage. The folder is the session's; only with a local master may it be unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-graph-"))
+    return df.checkpoint()
 
 
 def clean_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,14 +46,21 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int
     return seen if max_nodes is None else seen.orderBy("depth", "id").limit(max_nodes)
 
 
-def layers(nodes: DataFrame, edges: DataFrame, start: object, rounds: int = 60) -> DataFrame:
-    """Rows (id, depth, place): longest path from the start, within `rounds` steps; orphans behind all others."""
+def layers(nodes: DataFrame, edges: DataFrame, start: object, rounds: int | None = None) -> DataFrame:
+    """Rows (id, depth, place): longest path from the start; orphans behind all others.
+
+    A path has fewer steps than there are nodes; where one is longer, the graph has a cycle, and a ValueError says so.
+    With `rounds`, longer paths count up to that many steps instead.
+    """
+    most = nodes.count() if rounds is None else rounds
     depth = nodes.where(F.col("id") == F.lit(start)).select("id").withColumn("depth", F.lit(0))
     front = depth
-    for i in range(1, rounds + 1):
+    for i in range(1, most + 1):
         front = _cut(front.join(edges, front["id"] == edges["source"]).select(edges["target"].alias("id")).distinct().withColumn("depth", F.lit(i)))
         if front.isEmpty():
             break
+        if rounds is None and i == most:
+            raise ValueError("the graph has a cycle: a path is longer than the number of nodes")
         depth = _cut(depth.unionByName(front).groupBy("id").agg(F.max("depth").alias("depth")))
     behind = depth.agg((F.max("depth") + 1).alias("behind"))
     placed = nodes.select("id").join(depth, "id", "left").join(F.broadcast(behind)).select("id", F.coalesce("depth", "behind").alias("depth"))

@@ -1,13 +1,15 @@
 """Validators: each gives rows (conversation_id, validator, axis, verdict, score), in one scan without a shuffle.
 
-Only the n-gram validator counts across rows of its own making; its shuffle is on (conversation_id, gram).
+The n-gram validator counts inside each row, by sorted hashes of the runs.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def language_rule(detected: Column, primary: Column, policy: Column, confidence:
     mixed = policy.isin("intra-sentential", "rojak", "inter-sentential") & detected.isin("en", "zh", "ta")
     relatives = detected.isin("ms", "id") & primary.isin("ms", "id")
     verdict = F.when(detected.isNull(), "warn").when(detected == primary, "pass").when(mixed | relatives, "warn").otherwise("fail")
-    return F.array(_row("langid", "language", verdict, confidence))
+    return F.array(_row("langid", "language-fidelity", verdict, confidence))
 
 
 def register_rule(
@@ -74,9 +76,10 @@ def register_rule(
 
 
 def _compiles(pattern: str) -> bool:
+    """Whether Spark's own expressions take the pattern; those that they do not take are passed over."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+    except (IllegalArgumentException, Py4JJavaError):
         return False
     return True
 
@@ -85,21 +88,43 @@ def repetition(texts: DataFrame, n: int = 5, threshold: float = 0.3) -> DataFram
     """Rows (conversation_id, verdict, score, ratio, gram, times, grams) from (conversation_id, text).
 
     The share of the most frequent of a text's n-word runs: above 0.5 fails, above the threshold warns. Fewer than 30
-    words pass with score 1. Of equally frequent runs, the one seen first is named.
+    words pass with score 1. Of equally frequent runs, the one seen first is named. Runs are told apart by 64-bit hashes.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    base = texts.select("conversation_id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice("words", i, n), " "))
-    listed = F.when(F.size("words") >= 30, grams).otherwise(F.array().cast("array<string>"))
-    each = base.select("conversation_id", F.posexplode_outer(listed).alias("pos", "gram"))
-    counted = each.groupBy("conversation_id", "gram").agg(F.count("pos").alias("times"), F.min("pos").alias("first"))
-    best = counted.groupBy("conversation_id").agg(F.max_by(F.struct("gram", "times"), F.struct("times", -F.col("first"))).alias("best"), F.sum("times").alias("grams"))
-    ratio = F.try_divide(F.col("best.times"), F.col("grams"))
+    none = F.array().cast("array<bigint>")
+    rows = texts.select("conversation_id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    # Generators hold what lies below them fixed: each array is made once, not once per use.
+    rows = rows.select("conversation_id", F.inline(F.array(F.struct("words"))))
+    hashes = F.transform(F.slice("words", 1, F.size("words") - (n - 1)), lambda x, i: F.xxhash64(x, *[F.get("words", i + k) for k in range(1, n)]))
+    rows = rows.select("conversation_id", "words", F.inline(F.array(F.struct(F.when(F.size("words") >= 30, hashes).otherwise(none).alias("h")))))
+    # Longs that hold a hash's high bits over its place in the low ones sort fast; equal neighbours are compared whole.
+    bits = F.length(F.bin(F.size("h")))
+    packed = "sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, b), b) | cast(i AS bigint)))"
+    several = F.size("h") > F.size(F.array_distinct("h"))
+    rows = rows.withColumn("b", bits).select("conversation_id", "words", "h", "b", F.inline(F.array(F.struct(F.when(several, F.expr(packed)).alias("placed")))))
+    twice = "filter(placed, (x, i) -> coalesce(shiftright(x, b) = shiftright(get(placed, i - 1), b), false) OR coalesce(shiftright(x, b) = shiftright(get(placed, i + 1), b), false))"
+    rows = rows.withColumn("placed", F.expr(twice))
+    zero = F.lit(0)
+    start = F.struct(F.lit(None).cast("long").alias("x"), zero.alias("run"), zero.alias("begin"), F.lit(1).alias("times"), zero.alias("first"))
+
+    def step(s: Column, e: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), "b") - 1
+        upper = lambda x: F.call_function("shiftright", x, "b")
+        place = e.bitwiseAND(mask).cast("int")
+        again = F.coalesce((upper(s["x"]) == upper(e)) & (F.get("h", s["x"].bitwiseAND(mask).cast("int")) == F.get("h", place)), F.lit(False))
+        run, begin = F.when(again, s["run"] + 1).otherwise(1), F.when(again, s["begin"]).otherwise(place)
+        first = F.when(run > s["times"], begin).when(run == s["times"], F.least(begin, s["first"])).otherwise(s["first"])
+        return F.struct(e.alias("x"), run.alias("run"), begin.alias("begin"), F.greatest(run, s["times"]).alias("times"), first.alias("first"))
+
+    best = F.coalesce(F.aggregate("placed", start, step), start)
+    rows = rows.select("conversation_id", "words", F.size("h").cast("long").alias("grams"), F.inline(F.array(best)))
+    times = F.when(F.col("grams") > 0, F.col("times")).otherwise(0).cast("long")
+    ratio = F.try_divide(times, F.col("grams"))
     verdict = F.when(F.col("grams") == 0, "pass").when(ratio > 0.5, "fail").when(ratio > threshold, "warn").otherwise("pass")
     warned = F.coalesce(ratio > threshold, F.lit(False))
-    return best.select(
+    return rows.select(
         "conversation_id", verdict.alias("verdict"), F.coalesce(1 - ratio, F.lit(1.0)).alias("score"), F.round(ratio, 3).alias("ratio"),
-        F.when(warned, F.col("best.gram")).alias("gram"), F.col("best.times").alias("times"), "grams",
+        F.when(warned, F.array_join(F.slice("words", F.col("first") + 1, n), " ")).alias("gram"), times.alias("times"), "grams",
     )
 
 

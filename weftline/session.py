@@ -52,9 +52,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame, text: str = "text") -> int:
-    """Catalyst's estimate of the bytes `df` reads, without a job; where it knows none, the texts are measured."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < UNKNOWN_BYTES:
+    """Catalyst's estimate of the bytes a filtered scan reads, without a job; of all other plans the texts are measured.
+
+    A join's estimate is the product of its sides', which says nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known = int(str(plan.stats().sizeInBytes()))
+    kinds = {line.lstrip(" :+-").split(" ")[0] for line in plan.treeString().splitlines()}
+    if known < UNKNOWN_BYTES and kinds <= {"Filter", "Project", "Relation", "LogicalRelation", "RelationV2", "LocalRelation"}:
         return known
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 

@@ -32,8 +32,12 @@ def parse_string_rows(rows: DataFrame, messages: str = "messages", functions: st
 
 
 def checkpoint_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines keyed by conversation_id: the last line of each wins, bad lines are ignored."""
-    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"), F.monotonically_increasing_id().alias("at"))
+    """JSON lines keyed by conversation_id: the last line of each wins, bad lines are ignored.
+
+    Last is by the files' times, then their names, then the place in the file; within a file's part, lines keep their order.
+    """
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"), at.alias("at"))
     lines = lines.select(F.try_variant_get("v", "$.conversation_id", "string").alias("conversation_id"), "v", "at").where("conversation_id IS NOT NULL")
     return lines.groupBy("conversation_id").agg(F.max_by(F.to_json("v"), "at").alias("line"))
 
