@@ -601,3 +601,6 @@ def distinct_languages(spark, sf):
 SELECT doc_id FROM (SELECT doc_id, lower(concat_ws(' ', source, text)) AS t FROM {documents}) WHERE contains(t, 'license')""")
 def text_search(spark, sf):
     return selection.search(table(spark, sf, "documents"), "LICENSE", "source", "text").select("doc_id")
+
+
+from weftline.plans import runs  # noqa: E402, F401  registers its queries here
