@@ -180,7 +180,7 @@ def risk_class(name: Column, stage: Column) -> Column:
     """sensitive, exfil or safe, by a function's first word and its stage."""
     verb = F.lower(F.split_part(F.coalesce(name, F.lit("")), F.lit("_"), F.lit(1)))
     stage = F.lower(F.coalesce(stage, F.lit("")))
-    return F.when(verb.isin(SENSITIVE_VERBS) | stage.isin(SENSITIVE_STAGES), "sensitive").when(verb.isin(EXPORT_VERBS) | stage.isin(EXPORT_STAGES), "exfil").otherwise("safe")
+    return F.when(verb.isin(*SENSITIVE_VERBS) | stage.isin(*SENSITIVE_STAGES), "sensitive").when(verb.isin(*EXPORT_VERBS) | stage.isin(*EXPORT_STAGES), "exfil").otherwise("safe")
 
 
 def usage_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:

@@ -103,12 +103,14 @@ def called_functions(spark, sf):
 
 @query("""
 WITH l AS (SELECT l_orderkey AS conversation_id, l_linenumber AS ordinal, CAST(sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS block,
-    CASE WHEN l_linenumber % 3 = 1 THEN NULL ELSE concat('ref-', l_suppkey % 5) END AS id FROM {lineitem} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+    CASE WHEN l_linenumber % 3 = 1 THEN NULL ELSE concat('ref-', l_suppkey % 5) END AS id FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY 1, 2) k WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
 SELECT a.conversation_id, a.ordinal, coalesce(string_agg(DISTINCT b.id, ',' ORDER BY b.id), '') AS pool
 FROM l a LEFT JOIN l b ON b.conversation_id = a.conversation_id AND b.block = a.block AND b.ordinal < a.ordinal WHERE a.block >= 1 GROUP BY 1, 2""")
 def ids_known_so_far(spark, sf):
     user = F.col("l_linenumber") % 3 == 1
-    rows = table(spark, sf, "lineitem").select(
+    # The table repeats line numbers of an order; a conversation's ordinals are its own.
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
+    rows = lines.select(
         F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("ordinal"), F.when(user, "user").otherwise("tool").alias("role"),
         F.format_string('{"ref": {"id": "ref-%d"}, "n": 1}', (F.col("l_suppkey") % 5).cast("int")).alias("content"),
     )
