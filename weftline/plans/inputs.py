@@ -21,11 +21,13 @@ BASE = {
         UNION ALL SELECT item, judge, split, 'tone', tone FROM ({judged}) c WHERE tone IS NOT NULL""",
     "candidates": """SELECT o_orderkey AS seq, o_totalprice AS score, o_orderpriority AS cell,
         CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS hash FROM {orders}""",
+    # Every line is a call on one side at least: missing ones were expected only, extra ones predicted only.
+    "sided": """SELECT *, CASE WHEN l_partkey % 7 = 0 THEN 'missing' WHEN l_linenumber > 5 THEN 'extra' ELSE 'both' END AS side FROM {lineitem}""",
     "expected": """SELECT l_orderkey AS row, l_orderkey % 3 AS turn, l_linenumber AS place, concat(l_returnflag, l_linestatus) AS name,
-        CAST(l_partkey AS VARCHAR(20)) AS arguments FROM {lineitem} WHERE l_linenumber <= 5""",
+        CAST(l_partkey AS VARCHAR(20)) AS arguments FROM ({sided}) s WHERE side <> 'extra'""",
     "predicted": """SELECT l_orderkey AS row, l_orderkey % 3 AS turn, l_linenumber AS place,
         CASE WHEN l_suppkey % 5 = 0 THEN 'XX' ELSE concat(l_returnflag, l_linestatus) END AS name,
-        CAST(l_partkey AS VARCHAR(20)) AS arguments FROM {lineitem} WHERE l_partkey % 7 <> 0""",
+        CAST(l_partkey AS VARCHAR(20)) AS arguments FROM ({sided}) s WHERE side <> 'missing'""",
     "calls": """SELECT l_orderkey AS row, l_orderkey % 3 AS turn,
         CASE WHEN l_partkey % 7 = 0 THEN 'missing' WHEN l_partkey % 11 = 0 THEN 'extra' ELSE 'match' END AS type,
         (l_partkey % 7 <> 0 AND l_partkey % 11 <> 0 AND l_suppkey % 5 <> 0) AS func_match,
@@ -33,8 +35,8 @@ BASE = {
         0.25 * (l_linenumber % 5) AS similarity, l_orderkey % 13 = 0 AS api_failed FROM {lineitem}""",
     "jobs": """SELECT o_orderkey AS job_id, o_custkey % 50 AS run_id, CAST(floor(o_totalprice) AS BIGINT) AS tokens,
         CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status FROM {orders}""",
-    "edges": """SELECT CAST(c_custkey AS BIGINT) AS source, (c_custkey * 7 + 3) % 150 AS target, 0 AS place FROM {customer} WHERE c_custkey <= 150
-        UNION ALL SELECT c_custkey, (c_custkey * 3 + 11) % 150, 1 FROM {customer} WHERE c_custkey <= 150""",
+    "edges": """SELECT CAST(c_custkey AS BIGINT) AS source, CAST((c_custkey * 7 + 3) % n AS BIGINT) AS target, 0 AS place FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) k
+        UNION ALL SELECT c_custkey, CAST((c_custkey * 3 + 11) % n AS BIGINT), 1 FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) l""",
     "all_edges": """SELECT CAST(c_custkey AS BIGINT) AS source, CAST((c_custkey * 7 + 3) % n AS BIGINT) AS target, 0 AS place FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) k
         UNION ALL SELECT c_custkey, CAST((c_custkey * 3 + 11) % n AS BIGINT), 1 FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {customer}) l
         UNION ALL SELECT CAST(c_nationkey AS BIGINT), c_custkey, 2 FROM {customer}""",

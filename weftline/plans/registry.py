@@ -603,4 +603,4 @@ def text_search(spark, sf):
     return selection.search(table(spark, sf, "documents"), "LICENSE", "source", "text").select("doc_id")
 
 
-from weftline.plans import runs  # noqa: E402, F401  registers its queries here
+from weftline.plans import runs, tools  # noqa: E402, F401  register their queries here
