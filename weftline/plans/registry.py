@@ -127,12 +127,13 @@ def _hits(words):
 _RESULTS = f"""
 WITH {_REPLIES}, {_GRAMS},
 r AS (
-  SELECT conversation_id, 'schema' AS validator, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'fail' WHEN length(text) > 50000 THEN 'warn' ELSE 'pass' END AS verdict FROM x
-  UNION ALL SELECT conversation_id, 'langid', CASE WHEN conversation_id % 3 = 0 THEN 'pass' ELSE 'warn' END FROM x
-  UNION ALL SELECT conversation_id, 'register-compliance', 'fail' FROM x WHERE {_hits(validators.PARTICLES)}
-  UNION ALL SELECT conversation_id, 'register-compliance', 'fail' FROM x WHERE {_hits(validators.SHORTCUTS)}
-  UNION ALL SELECT conversation_id, 'register-compliance', 'pass' FROM x WHERE NOT {_hits(validators.PARTICLES)} AND NOT {_hits(validators.SHORTCUTS)}
-  UNION ALL SELECT conversation_id, 'ngram-repetition', verdict FROM rep)
+  SELECT conversation_id, 'schema' AS validator, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'fail' WHEN length(text) > 50000 THEN 'warn' ELSE 'pass' END AS verdict,
+    CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AND length(text) <= 50000 THEN 1.0 END AS score FROM x
+  UNION ALL SELECT conversation_id, 'langid', CASE WHEN conversation_id % 3 = 0 THEN 'pass' ELSE 'warn' END, 1.0 FROM x
+  UNION ALL SELECT conversation_id, 'register-compliance', 'fail', NULL FROM x WHERE {_hits(validators.PARTICLES)}
+  UNION ALL SELECT conversation_id, 'register-compliance', 'fail', NULL FROM x WHERE {_hits(validators.SHORTCUTS)}
+  UNION ALL SELECT conversation_id, 'register-compliance', 'pass', 1.0 FROM x WHERE NOT {_hits(validators.PARTICLES)} AND NOT {_hits(validators.SHORTCUTS)}
+  UNION ALL SELECT conversation_id, 'ngram-repetition', verdict, score FROM rep)
 """
 
 
@@ -145,9 +146,9 @@ def validate_replies(spark, sf):
 
 @query(_RESULTS + """
 SELECT validator, count(*) AS total, avg(CAST(verdict = 'pass' AS INT)) AS pass_rate, avg(CAST(verdict = 'warn' AS INT)) AS warn_rate,
-  avg(CAST(verdict = 'fail' AS INT)) AS fail_rate FROM r GROUP BY 1""")
+  avg(CAST(verdict = 'fail' AS INT)) AS fail_rate, round(CAST(avg(score) AS DOUBLE), 9) AS mean_score FROM r GROUP BY 1""")
 def validator_rates(spark, sf):
-    return validators.validator_rollup(validators.run_validators(_replies(spark, sf))).drop("mean_score")
+    return validators.validator_rollup(validators.run_validators(_replies(spark, sf))).withColumn("mean_score", F.round("mean_score", 9))
 
 
 @query("WITH x AS (SELECT doc_id AS conversation_id, text FROM {documents}), " + _GRAMS + " SELECT * FROM rep")
@@ -288,33 +289,42 @@ def tool_call_metrics(spark, sf):
     return scoring.call_metrics(calls)
 
 
+# A predicted call's arguments count as broken JSON where their number is divisible by three; the name XX is in no
+# library; every fifth row is out of context.
 _EVAL = """
 WITH e AS (SELECT row, turn, list(name) AS names, count(*) AS n FROM {expected} x GROUP BY 1, 2),
-p AS (SELECT row, turn, list(name) AS names, count(*) AS n FROM {predicted} y GROUP BY 1, 2),
+p AS (SELECT row, turn, list(name) AS names, count(*) AS n, count(*) FILTER (WHERE CAST(arguments AS BIGINT) % 3 <> 0) AS jv, count(*) FILTER (WHERE name = 'XX') AS h FROM {predicted} y GROUP BY 1, 2),
 t AS (SELECT coalesce(e.row, p.row) AS row, coalesce(e.names, []) AS ref_names, coalesce(p.names, []) AS model_names,
-  coalesce(e.n, 0) AS ref_count, coalesce(p.n, 0) AS model_count FROM e FULL JOIN p USING (row, turn)),
+  coalesce(e.n, 0) AS ref_count, coalesce(p.n, 0) AS model_count, coalesce(jv, 0) AS jv, coalesce(h, 0) AS h FROM e FULL JOIN p USING (row, turn)),
+b AS (SELECT *, len(list_intersect(ref_names, model_names)) AS common, ref_count > 0 AND model_count > 0 AS both_sides, row % 5 = 0 AS outside FROM t),
 a AS (SELECT sum(least(ref_count, model_count)) AS tp, sum(greatest(model_count - ref_count, 0)) AS fp, sum(greatest(ref_count - model_count, 0)) AS fn,
-  sum(CASE WHEN ref_count > 0 AND model_count > 0 THEN len(list_intersect(ref_names, model_names)) ELSE 0 END) AS stp,
-  sum(CASE WHEN ref_count > 0 AND model_count > 0 THEN len(list_distinct(model_names)) - len(list_intersect(ref_names, model_names)) ELSE 0 END) AS sfp,
-  sum(CASE WHEN ref_count > 0 AND model_count > 0 THEN len(list_distinct(ref_names)) - len(list_intersect(ref_names, model_names)) ELSE 0 END) AS sfn,
-  count(*) FILTER (WHERE ref_count > 0) AS parallel, count(*) FILTER (WHERE ref_count > 0 AND ref_count = model_count) AS same FROM t),
-r AS (SELECT round(tp / (tp + fp), 4) AS p, round(tp / (tp + fn), 4) AS c, round(stp / (stp + sfp), 4) AS sp, round(stp / (stp + sfn), 4) AS sc, round(same / parallel, 4) AS m FROM a)
+  sum(CASE WHEN both_sides THEN common ELSE 0 END) AS stp,
+  sum(CASE WHEN both_sides THEN len(list_distinct(model_names)) - common ELSE 0 END) AS sfp,
+  sum(CASE WHEN both_sides THEN len(list_distinct(ref_names)) - common ELSE 0 END) AS sfn,
+  sum(CASE WHEN both_sides THEN common / greatest(ref_count, model_count) END) / count(*) FILTER (WHERE both_sides) AS na,
+  sum(jv) / sum(model_count) AS j, sum(h) / sum(model_count) AS h, count(*) FILTER (WHERE outside AND model_count = 0) / count(*) FILTER (WHERE outside) AS refusal,
+  count(*) FILTER (WHERE ref_count > 0) AS parallel, count(*) FILTER (WHERE ref_count > 0 AND ref_count = model_count) AS same FROM b),
+r AS (SELECT *, round(tp / (tp + fp), 4) AS p, round(tp / (tp + fn), 4) AS c, round(stp / (stp + sfp), 4) AS sp, round(stp / (stp + sfn), 4) AS sc, round(same / parallel, 4) AS m FROM a)
 SELECT p AS tool_call_precision, c AS tool_call_recall, round(2 * p * c / (p + c), 4) AS tool_call_f1, sp AS name_set_precision, sc AS name_set_recall,
-  round(2 * sp * sc / (sp + sc), 4) AS name_set_f1, m AS parallel_count_match FROM r"""
+  round(2 * sp * sc / (sp + sc), 4) AS name_set_f1, m AS parallel_count_match, round(na, 4) AS name_accuracy, round(j, 4) AS json_valid_rate,
+  round(h, 4) AS hallucination_rate, round(refusal, 4) AS refusal_rate FROM r"""
 
 
 @query(_EVAL)
 def evaluator_metrics(spark, sf):
-    side = lambda n, a: inputs(spark, sf, n).groupBy("row", "turn").agg(F.collect_list("name").alias(f"{a}_names"), F.count("*").alias(f"{a}_count"))
-    turns = side("expected", "ref").join(side("predicted", "model"), ["row", "turn"], "full")
-    none = F.array().cast("array<string>")
-    turns = turns.select("row", *[F.coalesce(f"{a}_names", none).alias(f"{a}_names") for a in ("ref", "model")], *[F.coalesce(f"{a}_count", F.lit(0)).alias(f"{a}_count") for a in ("ref", "model")])
-    ref, model = F.col("ref_count"), F.col("model_count")
+    side = lambda n: inputs(spark, sf, n).select("row", "turn", "name", "arguments", F.lit(n == "predicted").alias("model"))
+    model = F.col("model")
+    turns = side("expected").unionByName(side("predicted")).groupBy("row", "turn").agg(
+        F.collect_list(F.when(~model, F.col("name"))).alias("ref_names"), F.collect_list(F.when(model, F.col("name"))).alias("model_names"),
+        F.count_if(~model).alias("ref_count"), F.count_if(model).alias("model_count"),
+        F.count_if(model & (F.col("arguments").cast("long") % 3 != 0)).alias("json_valid"), F.count_if(model & (F.col("name") == "XX")).alias("hallucinated"),
+    )
+    a, b = F.col("ref_count"), F.col("model_count")
     turns = turns.withColumns({
-        "tp": F.least(ref, model), "fp": F.greatest(model - ref, F.lit(0)), "fn": F.greatest(ref - model, F.lit(0)), "name_matches": F.lit(0),
-        "json_valid": model, "hallucinated": F.lit(0), "out_of_context": F.lit(False),
+        "tp": F.least(a, b), "fp": F.greatest(b - a, F.lit(0)), "fn": F.greatest(a - b, F.lit(0)), "out_of_context": F.col("row") % 5 == 0,
+        "name_matches": F.size(F.array_intersect("ref_names", "model_names")),
     })
-    return scoring.evaluator_metrics(turns).select("tool_call_precision", "tool_call_recall", "tool_call_f1", "name_set_precision", "name_set_recall", "name_set_f1", "parallel_count_match")
+    return scoring.evaluator_metrics(turns)
 
 
 @query("""
@@ -541,6 +551,27 @@ SELECT l_orderkey, l_linenumber, CAST(accuracy AS INTEGER) AS accuracy, CAST(ton
   CASE WHEN least(accuracy - 1, tone - 1) / 4 >= 0.6 THEN 'pass' WHEN least(accuracy - 1, tone - 1) / 4 >= 0.3 THEN 'warn' ELSE 'fail' END AS verdict, true AS parsed FROM s"""
 
 
+@query(r"""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 6 AS k, l_partkey % 8 AS a, l_suppkey % 6 AS b FROM lineitem),
+v AS (SELECT *, CASE k WHEN 0 THEN greatest(1, least(5, a)) WHEN 1 THEN greatest(1, least(5, a)) WHEN 2 THEN greatest(1, least(5, a)) WHEN 3 THEN 1 ELSE 0 END AS accuracy,
+  CASE k WHEN 0 THEN greatest(1, least(5, b)) WHEN 1 THEN greatest(1, least(5, b)) WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS tone FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(accuracy AS INTEGER) AS accuracy, CAST(tone AS INTEGER) AS tone, k < 4 AS parsed,
+  CASE WHEN k = 0 THEN 'warn' WHEN k >= 4 THEN 'fail' WHEN (least(accuracy, tone) - 1) / 4 >= 0.6 THEN 'pass' WHEN (least(accuracy, tone) - 1) / 4 >= 0.3 THEN 'warn' ELSE 'fail' END AS verdict FROM v""")
+def malformed_judgements(spark, sf):
+    """Fences and a verdict, quoted and fractional numbers in prose, a missing axis, a list for scores, and no JSON at all."""
+    k, a, b = F.col("l_linenumber") % 6, (F.col("l_partkey") % 8).cast("int"), (F.col("l_suppkey") % 6).cast("int")
+    answer = (
+        F.when(k == 0, F.format_string('```json\n{"scores": {"accuracy": %d, "tone": "%d"}, "verdict": "warn"}\n```', a, b))
+        .when(k == 1, F.format_string('So: {"scores": {"accuracy": %d.7, "tone": "%d"}} indeed', a, b))
+        .when(k == 2, F.format_string('{"scores": {"accuracy": %d}, "verdict": "superb"}', a))
+        .when(k == 3, '{"scores": [1]}')
+        .when(k == 4, "no json")
+    )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf, "lineitem").select(*keys, judge.parse_judge(answer, {"accuracy": 5, "tone": 5}).alias("j"))
+    return rows.select(*keys, F.col("j.scores")["accuracy"].alias("accuracy"), F.col("j.scores")["tone"].alias("tone"), "j.verdict", "j.parsed")
+
+
 @query("""
 SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'sensitive' WHEN 3 THEN 'sensitive' WHEN 1 THEN 'exfil' WHEN 4 THEN 'exfil' ELSE 'safe' END AS risk FROM part""")
 def function_risk(spark, sf):
