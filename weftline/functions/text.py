@@ -105,7 +105,7 @@ def _without_dots(path: Column) -> Column:
 
 
 def resolve_link(link: Column, base: Column) -> Column:
-    """A link as an absolute http(s) address, relative to its page's; null for other schemes. Fragments go."""
+    """A link as an absolute http(s) address, relative to its page's; null for other schemes. Fragments and default ports go."""
     link = F.regexp_replace(F.trim(link), r"#.*$", "")
     scheme, origin = F.regexp_extract(base, r"^(https?:)", 1), F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     page = F.regexp_extract(base, r"^https?://[^/?#]+(/[^?#]*)", 1)
@@ -120,8 +120,9 @@ def resolve_link(link: Column, base: Column) -> Column:
         .otherwise(F.concat(origin, F.regexp_extract(page, r"^(.*/)", 1), link))
     )
     head = F.regexp_extract(whole, r"(?i)^(https?://[^/?#]+)", 1)
+    head = F.regexp_replace(F.regexp_replace(F.lower(head), r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
     path, asked = F.regexp_extract(whole, r"(?i)^https?://[^/?#]+([^?]*)", 1), F.regexp_extract(whole, r"(\?.*)$", 1)
-    return F.when(head != "", F.concat(F.lower(head), F.when(path == "", "/").otherwise(_without_dots(path)), asked))
+    return F.when(head != "", F.concat(head, F.when(path == "", "/").otherwise(_without_dots(path)), asked))
 
 
 def html_links(html: Column, base: Column) -> Column:
