@@ -15,7 +15,7 @@ def _print(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, label) for every node of `edges` (a, b), both long: label is the smallest node reachable.
+    """Rows (node, label) for every node of `edges` (a, b), both long or both strings: label is the smallest node reachable.
 
     Each round is two aggregations and two joins against one row per node, so no hub meets its neighbours pairwise,
     and is written to the shared folder. The number of rounds grows with the logarithm of the longest chain.

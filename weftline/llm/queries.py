@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, lm, mixing, neighbours, pieces, quality, secrets, simhash, substring, toxicity
+from weftline.llm import chat, lm, mixing, neighbours, pieces, quality, secrets, simhash, substring, toxicity, urls
 from weftline.session import table
 
 
@@ -70,6 +70,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, keep=("doc_id", "held_out"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_url_filter": op11_url_filter,
 }
 
 def _quality_sql() -> str:
@@ -162,7 +167,38 @@ s AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known
 SELECT x.doc_id, x.held AS held_out, n_tokens, n_known, train_tokens, base_score, score FROM x JOIN s USING (rid)"""
 
 
+def _urls_sql() -> str:
+    """The method over absolute links, and over those that begin with a slash."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+    attribute = lambda n: f"replace(regexp_extract(tag, '(?i)[\\s\"''/]{n}\\s*=\\s*[\"'']?([^\"''>]*)', 1), '&amp;', '&')"
+    lower = lambda c: f"translate({c}, '{urls.UPPER}', '{urls.LOWER}')"
+    rest = "CASE WHEN contains({0}, '://') THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+    parts = lambda c: f"{lower(f'regexp_extract({rest.format(c)}, $$^[^/?#]*$$)')} AS host, regexp_extract({rest.format(c)}, '^[^/?#]*([^?#]*)', 1) AS path"
+    same = lambda c: f"""CASE WHEN regexp_matches({c}, '(?i)^https?://[^/?#]') THEN regexp_replace(regexp_replace({lower(f"regexp_extract({c}, '^[^/?#]*//[^/?#]*')")}, '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1')
+      || CASE WHEN regexp_extract({c}, '//[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({c}, '//[^/?#]*([^?#]*)', 1) END || regexp_extract({c}, '[?][^#]*') END"""
+    fits = "(x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path)"
+    best = "(SELECT arg_min(struct_pack(verdict := r.verdict, rule := r.host || r.path), (-length(r.host || r.path), r.verdict, r.host || r.path)) FROM r WHERE {0})".format(fits)
+    return rf"""
+WITH RECURSIVE r(verdict, host, path) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS u, coalesce(html, '') AS html FROM pages),
+x AS (SELECT rid, page_id, {parts("u")}, {same("u")} AS node, html FROM p),
+o AS (SELECT x.* EXCLUDE (html), {best} AS own FROM x),
+t AS (SELECT node, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script|style|noscript|template|textarea)\b[^>]*>.*?</(script|style|noscript|template|textarea)\s*>', ' ', 'g'), '{urls.TAG}')) AS tag FROM x WHERE node IS NOT NULL),
+h AS (SELECT node, trim(CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(lower({attribute("rel")}), '(^|\s)canonical(\s|$)') THEN {attribute("href")}
+  WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim({attribute("http-equiv")})) = 'refresh' THEN regexp_extract({attribute("content")}, '(?i)url\s*=\s*(.*)', 1) END) AS href FROM t),
+f AS (SELECT node, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN regexp_extract(node, '^[^/?#]*//[^/?#]*') || href ELSE href END AS href FROM h WHERE href <> ''),
+l AS (SELECT node AS a, {same("href")} AS b FROM f),
+e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+w(node, other) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.other),
+c AS (SELECT node, min(other) AS label FROM w GROUP BY node),
+k AS (SELECT DISTINCT label FROM (SELECT label, {parts("node")} FROM c) x WHERE {best}.verdict = 'block'
+  UNION SELECT label FROM c JOIN o USING (node) WHERE own.verdict = 'block')
+SELECT page_id, host, path, own.rule AS rule, coalesce(own.verdict, CASE WHEN k.label IS NOT NULL THEN 'block' END, 'allow') AS verdict, c.label AS alias_class
+FROM o LEFT JOIN c ON c.node = o.node LEFT JOIN k ON k.label = c.label"""
+
+
 SQL = {
+    "op11_url_filter": _urls_sql(),
     "op10_lm_scoring": _language_model_sql(),
     "op3_substring_dedup": r"""
 WITH x AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
