@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, lm, mixing, neighbours, pieces, quality, secrets, simhash, substring, toxicity, urls
+from weftline.llm import chat, lm, mixing, neighbours, pieces, quality, repair, secrets, simhash, substring, toxicity, urls
 from weftline.session import table
 
 
@@ -74,6 +74,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_url_filter": op11_url_filter,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 def _quality_sql() -> str:
@@ -142,6 +148,56 @@ SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FIL
 FROM x LEFT JOIN k USING (rid) GROUP BY rid, doc_id"""
 
 
+#: One row `t.t`: the table of CRC-32.
+_CRC_TABLE = "SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END, n) AS c FROM range(256) r(n))"
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of an ASCII text, with `_CRC_TABLE` as t."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a // 256, t.t[xor(a, b) % 256 + 1]), 4294967295), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """The best path from every grammar state, row by row from the last; paths are (cost, edits, repaired lines)."""
+    path = lambda c, a, t: f"struct_pack(c := {c}, a := {a}, t := {t})"
+    more = "CASE fault WHEN 't' THEN 5 ELSE 0 END"
+    nexts = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+    role = {"u": "user", "a": "assistant"}
+    reads, stays = [], []
+    for q, arcs in nexts.items():
+        ways = [path(f"2 + v[{q + 1}].c", f"'D' || v[{q + 1}].a", f"v[{q + 1}].t")]
+        for out, to in arcs:
+            then = f"v[{to + 1}]"
+            ways.append(f"CASE WHEN fault NOT IN ('b', 'd') AND ini = '{out}' THEN {path(f'{more} + {then}.c', f"'K' || {then}.a", f"chr(10) || role || ':' || text || {then}.t")} END")
+            if out in role:
+                ways.append(f"CASE WHEN fault NOT IN ('b', 'd') THEN {path(f'1 + {more} + {then}.c', f"'R' || {then}.a", f"chr(10) || '{role[out]}:' || text || {then}.t")} END")
+                stays.append((q, to, role[out]))
+        reads.append(f"list_min([{', '.join(ways)}])")
+    insert = lambda v: "[" + ", ".join(f"list_min([r[{q + 1}], {path(f'5 + {v}[{to + 1}].c', f"'I' || {v}[{to + 1}].a", f"chr(10) || '{out}:' || {v}[{to + 1}].t")}])" for q, to, out in stays) + "]"
+    none = path("0", "''", "''")
+    end = f"[{none}, {path('10', "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")}, {path('5', "'I'", "chr(10) || 'assistant:'")}, {none}]"
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, t),
+d AS (SELECT conv_id, turn, md5(role || chr(10) || text) AS key, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM x WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key, copy) AS i, rtrim(text, {blanks}) AS bare, substr(role, 1, 1) AS ini FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o),
+w(conv_id, i, v) AS (
+  SELECT conv_id, max(i), {end} FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i - 1, {insert("u")} FROM (SELECT *, {insert("r")} AS u FROM (
+    SELECT w.conv_id, w.i, [{", ".join(reads)}] AS r FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i))),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(w.v[1].c, 0) AS BIGINT) AS cost, coalesce(w.v[1].a, '') AS audit, sha256(coalesce(substr(w.v[1].t, 2), '')) AS repaired_sha256
+FROM a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.i = 0"""
+
+
 def _language_model_sql() -> str:
     d = lambda k: f"least({k} - 0.05, greatest(0.05, {k} - {k + 1} * (n1 / (n1 + 2 * n2)) * n{k + 1} / n{k}))"
     kinds = lambda c: ", ".join(f"greatest(1, count(*) FILTER (WHERE {c} = {k})) AS n{k}" for k in (1, 2, 3, 4))
@@ -198,6 +254,7 @@ FROM o LEFT JOIN c ON c.node = o.node LEFT JOIN k ON k.label = c.label"""
 
 
 SQL = {
+    "op12_conversation_repair": _repair_sql(),
     "op11_url_filter": _urls_sql(),
     "op10_lm_scoring": _language_model_sql(),
     "op3_substring_dedup": r"""
