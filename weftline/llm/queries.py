@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, lm, mixing, neighbours, pieces, quality, repair, secrets, simhash, substring, toxicity, urls
+from weftline.llm import chat, lm, mixing, neighbours, pieces, quality, repair, secrets, simhash, substring, toxicity, trie, urls
 from weftline.session import table
 
 
@@ -79,6 +79,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(rows), rows)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return trie.trie(trie.rebuilt(trie.ordered_turns(rows)), rows)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -92,6 +97,7 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_url_filter": op11_url_filter,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 def _quality_sql() -> str:
@@ -198,6 +204,26 @@ SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.i = 0"""
 
 
+def _trie_sql() -> str:
+    """A node's key is the hashes of all its turns, one after the other."""
+    return rf"""
+WITH t AS ({_CRC_TABLE}),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(10) || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {trie.GROUP} AS base, {_crc("CAST(conv_id AS VARCHAR)")} % {trie.SHARED} AS h FROM (SELECT DISTINCT conv_id FROM o), t),
+b AS (SELECT conv_id, 1 AS part, pos, role, text FROM o JOIN c USING (conv_id) WHERE pos > h
+  UNION ALL SELECT c.conv_id, 0, pos, role, text FROM c JOIN o ON o.conv_id = c.base WHERE pos <= h),
+i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, strlen(text) AS bytes, md5(length(role) || ':' || role || text) AS said FROM b),
+p AS (SELECT conv_id, depth, bytes, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM i UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM p GROUP BY key, depth),
+k AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CAST(n_children IS NULL AS INT) AS leaf, (n_convs - 1) * bytes AS saved FROM n LEFT JOIN k USING (key)),
+s AS (SELECT p.key, sum(leaf) AS n_leaves, sum(saved) AS saved FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY 1),
+e AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, depth) AS key FROM p GROUP BY conv_id) GROUP BY key)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN v a ON v.depth > 0 AND a.key = left(v.key, length(v.key) - 32)"""
+
+
 def _language_model_sql() -> str:
     d = lambda k: f"least({k} - 0.05, greatest(0.05, {k} - {k + 1} * (n1 / (n1 + 2 * n2)) * n{k + 1} / n{k}))"
     kinds = lambda c: ", ".join(f"greatest(1, count(*) FILTER (WHERE {c} = {k})) AS n{k}" for k in (1, 2, 3, 4))
@@ -254,6 +280,7 @@ FROM o LEFT JOIN c ON c.node = o.node LEFT JOIN k ON k.label = c.label"""
 
 
 SQL = {
+    "op13_prefix_trie": _trie_sql(),
     "op12_conversation_repair": _repair_sql(),
     "op11_url_filter": _urls_sql(),
     "op10_lm_scoring": _language_model_sql(),
