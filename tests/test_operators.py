@@ -160,17 +160,21 @@ def test_graph_cleaning_and_layers(spark):
     assert {(r.id, r.kind) for r in n.collect()} == {("s", "start"), ("t", "intent"), ("u", "end"), ("o", "end")}
     assert e.count() == 3
     assert {(r.id, r.depth) for r in graphs.layers(n, e, "s").collect()} == {("s", 0), ("t", 1), ("u", 2), ("o", 3)}
-    cycle = spark.createDataFrame([("s", "t", 0), ("t", "s", 0)], "source string, target string, place int")
-    assert graphs.layers(n, cycle, "s", rounds=5).count() == 4
 
 
 def test_walks_stop(spark):
-    edges = spark.createDataFrame([("a", "b", 0, "x"), ("a", "c", 1, "y"), ("b", "a", 0, "z")], "source string, target string, place int, label string")
-    starts = spark.createDataFrame([(1, "a"), (2, "a")], "walk int, node string")
-    choices = spark.createDataFrame([(2, 0, "y")], "walk int, step int, label string")
-    got = graphs.walk(edges, choices, starts, max_steps=5, max_visits=2).collect()
-    assert sorted(r.node for r in got if r.walk == 2) == ["a", "c"]
-    assert len([r for r in got if r.walk == 1]) == 4
+    nodes = spark.createDataFrame([("a", "condition", None), ("b", "action", None), ("c", "end", None), ("g", "condition", 1)], "id string, kind string, max_attempts int")
+    edges = spark.createDataFrame(
+        [("a", "b", 0, "x"), ("a", "c", 1, "y"), ("b", "a", 0, "z"), ("g", "g", 0, "again"), ("g", "c", 1, "Give_Up")], "source string, target string, place int, label string"
+    )
+    starts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "g"), (4, "c")], "walk int, node string")
+    choices = spark.createDataFrame([(2, 0, "y"), (1, 2, "none such")], "walk int, step int, label string")
+    got = sorted(map(tuple, graphs.walk(nodes, edges, choices, starts, max_steps=5, max_visits=2).collect()))
+    assert got == [
+        (1, 0, "a", 1, "x", "unchosen"), (1, 1, "b", 1, "z", "first"), (1, 2, "a", 2, "x", "unknown"), (1, 3, "b", 2, "z", "guard"),
+        (2, 0, "a", 1, "y", "chosen"), (2, 1, "c", 1, None, "end"), (3, 0, "g", 1, "again", "unchosen"), (3, 1, "g", 2, "Give_Up", "exhausted"),
+        (3, 2, "c", 1, None, "end"), (4, 0, "c", 1, None, "end"),
+    ]
 
 
 def test_delete_outcomes(spark):
@@ -361,9 +365,59 @@ def test_repetition_by_brute_force(spark):
         assert (r.grams, r.times) == (len(grams), times) and r.gram == (top if grams and times / len(grams) > 0.05 else None)
 
 
-def test_layers_say_when_a_path_goes_round(spark):
-    nodes = spark.createDataFrame([(i,) for i in range(70)], "id long")
-    chain = spark.createDataFrame([(i, i + 1) for i in range(69)], "source long, target long")
-    assert graphs.layers(nodes, chain, 0).agg(F.max("depth")).first()[0] == 69
+def plain_layers(nodes, edges, start):
+    """By the longest path over a depth-first order; None where the start leads to a cycle."""
+    near = {}
+    for a, b in edges:
+        if a in nodes and b in nodes:
+            near.setdefault(a, []).append(b)
+    state, order = {}, []
+    todo = [(start, 0)]
+    while todo:
+        x, i = todo.pop()
+        state[x] = 1
+        if i < len(near.get(x, [])):
+            todo.append((x, i + 1))
+            y = near[x][i]
+            if state.get(y) == 1:
+                return None
+            if y not in state:
+                todo.append((y, 0))
+        else:
+            state[x] = 2
+            order.append(x)
+    depth = {start: 0}
+    for x in reversed(order):
+        for y in near.get(x, []):
+            depth[y] = max(depth.get(y, 0), depth[x] + 1)
+    behind = max(depth.values()) + 1
+    return {x: depth.get(x, behind) for x in nodes}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_layers_of_graphs_with_several_paths(spark, seed):
+    """Half of them have cycles, of which the start leads to some only."""
+    rng = random.Random(seed)
+    nodes = list(range(40))
+    edges = [(a, b) for a, b in ((rng.randrange(45), rng.randrange(45)) for _ in range(60)) if a < b or (seed % 2 and a > 30)] + [(0, 1), (0, 1)]
+    want = plain_layers(nodes, edges, 0)
+    frames = spark.createDataFrame([(n,) for n in [*nodes, 3]], "id long"), spark.createDataFrame(edges, "source long, target long")
+    if want is None:
+        with pytest.raises(ValueError, match="cycle"):
+            graphs.layers(*frames, 0)
+    else:
+        assert {r.id: r.depth for r in graphs.layers(*frames, 0).collect()} == want
+
+
+def test_layers_of_a_hundred_thousand_nodes(spark):
+    """A long cycle is told at once; cycles that the start does not lead to are left aside."""
+    nodes = spark.range(100_000)
+    down = nodes.where("id >= 1").select(F.floor(F.col("id") / 10).alias("source"), F.col("id").alias("target"))
+    apart = spark.range(200_000, 210_000)
+    ring = apart.select(F.col("id").alias("source"), F.when(F.col("id") == 209_999, 200_000).otherwise(F.col("id") + 1).alias("target"))
+    more = spark.createDataFrame([(200_000, 77)], "source long, target long")
+    both, edges = nodes.unionAll(apart), down.unionAll(ring).unionAll(more)
+    got = graphs.layers(both, edges, 0).groupBy("depth").count().collect()
+    assert {r.depth: r["count"] for r in got} == {0: 1, 1: 9, 2: 90, 3: 900, 4: 9000, 5: 90_000, 6: 10_000}
     with pytest.raises(ValueError, match="cycle"):
-        graphs.layers(nodes.limit(3), spark.createDataFrame([(0, 1), (1, 0)], "source long, target long"), 0)
+        graphs.layers(both, edges.unionAll(spark.createDataFrame([(5, 200_000)], "source long, target long")), 0)

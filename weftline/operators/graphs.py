@@ -5,22 +5,11 @@ Rounds are joins; the tables of a round are cut from their lineage by checkpoint
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """`df` without its lineage. The folder is the session's; only with a local master may it be unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-graph-"))
-    return df.checkpoint()
+from weftline.session import cut
 
 
 def clean_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,31 +28,64 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int
     front = seen
     for depth in range(1, max_depth + 1):
         step = front.join(edges, front["id"] == edges["source"]).select(edges["target"].alias("id")).distinct()
-        front = _cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
         if front.isEmpty():
             break
     return seen if max_nodes is None else seen.orderBy("depth", "id").limit(max_nodes)
 
 
-def layers(nodes: DataFrame, edges: DataFrame, start: object, rounds: int | None = None) -> DataFrame:
-    """Rows (id, depth, place): longest path from the start; orphans behind all others.
+def _peel(nodes: DataFrame, edges: DataFrame, depth: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Takes away nodes to which no edge is left, round by round: those taken, as (id, depth), those left, as (id), and the rounds.
 
-    A path has fewer steps than there are nodes; where one is longer, the graph has a cycle, and a ValueError says so.
-    With `rounds`, longer paths count up to that many steps instead.
+    `depth` (id, depth) has the nodes that are at a depth of their own accord. A node is as deep as the deepest edge to it says,
+    null where no edge comes from a node with a depth. A round reads the edges of the nodes just taken, and for the nodes that
+    these meet the edges still waited for; it takes as many rounds as there are layers.
     """
-    most = nodes.count() if rounds is None else rounds
-    depth = nodes.where(F.col("id") == F.lit(start)).select("id").withColumn("depth", F.lit(0))
-    front = depth
-    for i in range(1, most + 1):
-        front = _cut(front.join(edges, front["id"] == edges["source"]).select(edges["target"].alias("id")).distinct().withColumn("depth", F.lit(i)))
-        if front.isEmpty():
-            break
-        if rounds is None and i == most:
-            raise ValueError("the graph has a cycle: a path is longer than the number of nodes")
-        depth = _cut(depth.unionByName(front).groupBy("id").agg(F.max("depth").alias("depth")))
-    behind = depth.agg((F.max("depth") + 1).alias("behind"))
-    placed = nodes.select("id").join(depth, "id", "left").join(F.broadcast(behind)).select("id", F.coalesce("depth", "behind").alias("depth"))
+    waits = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
+    front = cut(nodes.join(waits, "id", "left_anti").join(depth, "id", "left").select("id", "depth"))
+    taken, open_, rounds = front, None, 0
+    while not front.isEmpty():
+        rounds += 1
+        met = front.join(edges, front["id"] == edges["source"]).groupBy(edges["target"].alias("id")).agg(F.count("*").alias("seen"), F.max(front["depth"] + 1).alias("depth"))
+        if open_ is not None:
+            met = met.unionAll(open_).groupBy("id").agg(F.sum("seen").alias("seen"), F.max("depth").alias("depth"))
+        met = cut(met.join(waits, "id").select("id", "seen", "depth", (F.col("seen") == F.col("n")).alias("free")))
+        own = depth.withColumnRenamed("depth", "own")
+        front = cut(met.where("free").join(own, "id", "left").select("id", F.greatest("depth", "own").alias("depth")))
+        open_ = met.where("NOT free").select("id", "seen", "depth")
+        taken = taken.unionAll(front)
+        if rounds % 16 == 0:
+            taken = cut(taken)
+    taken = cut(taken)
+    return taken, cut(nodes.join(taken, "id", "left_anti").select("id")), rounds
+
+
+def layers(nodes: DataFrame, edges: DataFrame, start: object) -> DataFrame:
+    """Rows (id, depth, place): longest path from the start; orphans behind all others. Ids are not null; edges from or to
+    ids that are no node do not count, repeated ones and repeated nodes count once.
+
+    By topological peeling, in as many rounds as the graph has layers, with few of the nodes in each. Where the start
+    leads to a cycle, its paths have no longest, and a ValueError says so: what peeling from both ends leaves over is
+    on cycles or between two, and the start leads there if it is there itself or an edge from a node with a depth is.
+    Cycles that the start does not lead to are left aside.
+    """
+    nodes = nodes.select("id").distinct()
+    ends = edges.select("source", "target").distinct()
+    ends = cut(ends.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi"))
+    first = nodes.where(F.col("id") == F.lit(start)).select("id", F.lit(0).alias("depth"))
+    taken, left, _ = _peel(nodes, ends, first)
+    if not left.isEmpty():
+        inner = ends.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi")
+        back = inner.select(F.col("source").alias("target"), F.col("target").alias("source"))
+        _, core, _ = _peel(left, cut(back), first.where("false"))
+        led = taken.where("depth IS NOT NULL").select(F.col("id").alias("source")).join(ends, "source").join(core.withColumnRenamed("id", "target"), "target", "left_semi")
+        if not led.isEmpty() or not core.where(F.col("id") == F.lit(start)).isEmpty():
+            raise ValueError("the start leads to a cycle: its paths have no longest")
+        open_ = cut(ends.join(core.withColumnRenamed("id", "source"), "source", "left_anti").join(core.withColumnRenamed("id", "target"), "target", "left_anti"))
+        taken = _peel(nodes.join(core, "id", "left_anti"), open_, first)[0]
+    behind = (taken.agg(F.max("depth")).first()[0] or 0) + 1
+    placed = nodes.join(taken, "id", "left").select("id", F.coalesce("depth", F.lit(behind)).alias("depth"))
     return placed.withColumn("place", F.row_number().over(W.partitionBy("depth").orderBy("id")) - 1)
 
 
@@ -72,21 +94,51 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]).alias("targets"))
 
 
-def walk(edges: DataFrame, choices: DataFrame, starts: DataFrame, max_steps: int = 60, max_visits: int = 12) -> DataFrame:
-    """Replays many walks at once: rows (walk, step, node). A choice (walk, step, label) takes the edge of its label,
-    else the first edge is taken; walks end at nodes without edges, after `max_steps`, or at a node's 13th visit."""
-    order = W.partitionBy("source").orderBy("place")
-    ranked = edges.withColumn("first", F.row_number().over(order) == 1)
-    now = starts.select("walk", F.lit(0).alias("step"), F.col("node"))
-    log = now
-    for step in range(max_steps - 1):
-        asked = now.join(choices.where(F.col("step") == step).select("walk", "label"), "walk", "left")
-        out = asked.join(ranked.withColumnRenamed("label", "edge_label"), asked["node"] == ranked["source"])
-        best = out.groupBy("walk").agg(F.max_by("target", F.struct(F.coalesce(F.col("label") == F.col("edge_label"), F.lit(False)), F.col("first"))).alias("node"))
-        visits = log.groupBy("walk", "node").agg(F.count("*").alias("visits"))
-        now = best.join(visits, ["walk", "node"], "left").where(f"coalesce(visits, 0) < {max_visits}").select("walk", F.lit(step + 1).alias("step"), "node")
-        now = _cut(now)
-        if now.isEmpty():
+# Labels of the edges that a condition takes when its attempts are used up.
+EXHAUSTED = ("exhausted", "max_retries", "max_attempts", "failed", "escalated", "give_up", "gave_up", "timeout")
+
+
+def walk(nodes: DataFrame, edges: DataFrame, choices: DataFrame, starts: DataFrame, max_steps: int = 60, max_visits: int = 12) -> DataFrame:
+    """Replays many walks at once: rows (walk, step, node, attempt, label, reason), attempt counting the visits of the node.
+
+    `nodes` has id, kind and max_attempts, `edges` source, place, target and label, `choices` walk, step and label, `starts` walk and node.
+    At a condition the edge of the chosen label is taken, the first of all where the choice is missing or unknown; beyond
+    max_attempts (where it is above 0) the first edge with a label of `EXHAUSTED`, where there is one. Other nodes take
+    the first edge. reason says which: first, chosen, unchosen, unknown or exhausted; label is that of the edge taken. A
+    walk ends at a node of kind end, without edges or with an edge to no node (reason end), after `max_steps` (steps), and before a
+    node's visit after `max_visits`: the row of the step before says guard. Labels of choices are compared as they stand.
+
+    Each walk carries its own visits (at most `max_steps` entries), so no round reads the log; a round is a join with the
+    nodes and one with the choices of its step.
+    """
+    out = edges.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("place", "target", "label"))).alias("out"))
+    graph = cut(nodes.select("id", "kind", "max_attempts").join(out, F.col("id") == F.col("source"), "left").drop("source"))
+    counts = "map<string,int>"
+    now = starts.select("walk", "node", F.map_from_arrays(F.array(F.col("node").cast("string")), F.array(F.lit(1))).cast(counts).alias("visits"))
+    log = None
+    for step in range(max_steps):
+        here = now.join(graph, F.col("node") == F.col("id")).join(choices.where(F.col("step") == step).select("walk", F.col("label").alias("asked"), F.lit(True).alias("any")), "walk", "left")
+        condition, first = F.col("kind") == "condition", F.try_element_at("out", F.lit(1))
+        named = lambda test: F.try_element_at(F.filter("out", test), F.lit(1))
+        spent, chosen = named(lambda e: F.lower(e["label"]).isin(*EXHAUSTED)), named(lambda e: e["label"] == F.col("asked"))
+        attempt = F.try_element_at("visits", F.col("node").cast("string"))
+        used_up = condition & (F.col("max_attempts") > 0) & (attempt > F.col("max_attempts")) & spent.isNotNull()
+        ends = (F.col("kind") == "end") | first.isNull()
+        reason = F.when(ends, "end").when(~condition, "first").when(used_up, "exhausted").when(F.col("asked").isNull(), "unchosen").when(chosen.isNull(), "unknown").otherwise("chosen")
+        taken = F.when(used_up, spent).when(condition, F.coalesce(chosen, first)).otherwise(first)
+        rows = here.select("walk", F.lit(step).alias("step"), "node", attempt.alias("attempt"), reason.alias("reason"), F.when(~ends, taken).alias("edge"), "visits")
+        there = rows.join(graph.select(F.col("id").alias("next"), F.lit(True).alias("there")), F.col("edge.target") == F.col("next"), "left")
+        visit = F.coalesce(F.try_element_at("visits", F.col("next").cast("string")), F.lit(0)) + 1
+        stop = F.when((F.col("reason") == "end") | F.col("there").isNull(), "end").when(visit > max_visits, "guard").when(F.lit(step + 1 == max_steps), "steps").otherwise(F.col("reason"))
+        done = cut(there.select("walk", "step", "node", "attempt", F.col("edge.label").alias("label"), stop.alias("reason"), "next", visit.alias("visit"), "visits"))
+        part = done.select("walk", "step", "node", "attempt", "label", "reason")
+        log = part if log is None else log.unionAll(part)
+        if step % 8 == 7:
+            log = cut(log)
+        on = done.where("reason NOT IN ('end', 'guard', 'steps')")
+        if on.isEmpty():
             break
-        log = _cut(log.unionByName(now))
+        key = F.col("next").cast("string")
+        others = F.map_filter("visits", lambda k, v: k != key)
+        now = on.select("walk", F.col("next").alias("node"), F.map_concat(others, F.map_from_arrays(F.array(key), F.array("visit"))).alias("visits"))
     return log

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.language import LanguageModel, detect
+
 # Manglish particles and shortcuts that formal Malay forbids.
 PARTICLES = ["lah", "lor", "leh", "meh", "kot", "wei", "doh", "weh", "eh", "mah", "deh", "geh", "bah"]
 SHORTCUTS = ["tak", "je", "dah", "mcm", "byk", "dgn", "pd", "utk", "yg", "tu", "ni", "kt", "sbb", "skrg", "jgn", "tgk", "btw", "tq", "thx"]
@@ -50,7 +52,7 @@ def language_rule(detected: Column, primary: Column, policy: Column, confidence:
     mixed = policy.isin("intra-sentential", "rojak", "inter-sentential") & detected.isin("en", "zh", "ta")
     relatives = detected.isin("ms", "id") & primary.isin("ms", "id")
     verdict = F.when(detected.isNull(), "warn").when(detected == primary, "pass").when(mixed | relatives, "warn").otherwise("fail")
-    return F.array(_row("langid", "language-fidelity", verdict, confidence))
+    return F.array(_row("langid", "language-fidelity", verdict, confidence, F.when(detected.isNull(), "no_detection")))
 
 
 def register_rule(
@@ -128,12 +130,18 @@ def repetition(texts: DataFrame, n: int = 5, threshold: float = 0.3) -> DataFram
     )
 
 
+def with_language(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """`texts` with detected and confidence; both null where a text has no letters."""
+    found = texts.withColumn("__found", detect(F.col("text"), model))
+    return found.withColumns({"detected": F.col("__found.language"), "confidence": F.col("__found.confidence")}).drop("__found")
+
+
 def run_validators(texts: DataFrame, primary: str = "ms", policy: str = "none", allow_particles: bool = False, formal: bool = True) -> DataFrame:
-    """All four validators over (conversation_id, text, detected): a union of rows, none cut short by another."""
+    """All four validators over (conversation_id, text, detected, confidence): a union of rows, none cut short by another."""
     lit = F.lit
     rules = F.concat(
         schema_rule(F.col("text")),
-        language_rule(F.col("detected"), lit(primary), lit(policy), lit(1.0)),
+        language_rule(F.col("detected"), lit(primary), lit(policy), F.col("confidence")),
         register_rule(F.coalesce("text", lit("")), lit(primary), lit(allow_particles), lit(formal)),
     )
     rows = texts.select("conversation_id", F.inline(rules))

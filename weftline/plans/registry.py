@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import judge, text
+from weftline.functions import judge, language, text
 from weftline.operators import blocks, dashboard, datasets, graphs, lifecycle, scoring, selection, validators
 from weftline.plans.inputs import inputs, sql_of
 from weftline.session import table
@@ -114,9 +114,42 @@ _GRAMS = (
 _REPLIES = "x AS (SELECT conversation_id, arg_max(content, ordinal) AS text FROM {messages} m WHERE role = 'assistant' GROUP BY 1)"
 
 
+def _language_model(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+    return language.train(language.sampled(docs, "doc_id"))
+
+
+# Trigram buckets of {t}, a model of the sampled documents, and for rows x (id, text) the likeliest language.
+_BUCKETS = r"""list_transform(range(1, len({c}) - 1), lambda i: (unicode({c}[i]) * 6151 + unicode({c}[i + 1]) * 97 + unicode({c}[i + 2])) % 8191)"""
+_PLAIN = r"trim(regexp_replace(lower(coalesce({t}, '')), '[^\p{{L}}]+', ' ', 'g'))"
+_CHARS = "CASE WHEN " + _PLAIN + " = '' THEN [] ELSE regexp_extract_all(' ' || " + _PLAIN + " || ' ', '(?s).') END"
+
+
+def _detected(key: str) -> str:
+    return f"""
+ln AS (SELECT lang, count(*) AS n FROM {{documents}} WHERE lang IS NOT NULL GROUP BY 1),
+ls AS (SELECT lang, {_CHARS.format(t="text")} AS c FROM {{documents}} JOIN ln USING (lang) WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) < least(4294967296, {language.SAMPLE_ROWS} * 4294967296 // n)),
+lc AS (SELECT lang, b, count(*) AS c FROM (SELECT lang, unnest({_BUCKETS.format(c="c")}) AS b FROM ls) GROUP BY ALL),
+lt AS (SELECT lang, sum(c) + 0.5 * 8191 AS n FROM lc GROUP BY 1),
+lx AS (SELECT {key}, b, count(*) AS c FROM (SELECT {key}, unnest({_BUCKETS.format(c="c")}) AS b FROM (SELECT {key}, {_CHARS.format(t="text")} AS c FROM x)) GROUP BY ALL),
+lg AS (SELECT {key}, lt.lang, sum(lx.c * ln((coalesce(lc.c, 0) + 0.5) / lt.n)) AS l FROM lx CROSS JOIN lt LEFT JOIN lc ON lc.lang = lt.lang AND lc.b = lx.b GROUP BY ALL),
+lm AS (SELECT *, max(l) OVER (PARTITION BY {key}) AS top FROM lg),
+lang AS (SELECT {key}, arg_max(lang, (l, -ascii(lang))) AS detected, 1 / sum(exp(l - top)) AS confidence FROM lm GROUP BY 1)"""
+
+
 def _replies(spark, sf):
-    found = blocks.closing_replies(inputs(spark, sf, "messages"))
-    return found.select("conversation_id", F.col("reply").alias("text"), F.when(F.col("conversation_id") % 3 == 0, "ms").otherwise("id").alias("detected"))
+    found = blocks.closing_replies(inputs(spark, sf, "messages")).select("conversation_id", F.col("reply").alias("text"))
+    return validators.with_language(found, _language_model(spark, sf))
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, text FROM {{documents}}), {_detected("doc_id")}
+SELECT doc_id, detected, round(confidence, 6) AS confidence, CASE WHEN detected IS NULL THEN 'warn' WHEN detected = 'fr' THEN 'pass' WHEN detected = 'en' THEN 'warn' ELSE 'fail' END AS verdict
+FROM x LEFT JOIN lang USING (doc_id)""")
+def document_languages(spark, sf):
+    docs = validators.with_language(table(spark, sf, "documents").select("doc_id", "text"), _language_model(spark, sf))
+    rule = validators.language_rule(F.col("detected"), F.lit("fr"), F.lit("rojak"), F.col("confidence"))
+    return docs.select("doc_id", "detected", F.round("confidence", 6).alias("confidence"), F.element_at(rule, 1)["verdict"].alias("verdict"))
 
 
 def _hits(words):
@@ -125,11 +158,11 @@ def _hits(words):
 
 
 _RESULTS = f"""
-WITH {_REPLIES}, {_GRAMS},
+WITH {_REPLIES}, {_GRAMS}, {_detected("conversation_id")},
 r AS (
   SELECT conversation_id, 'schema' AS validator, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'fail' WHEN length(text) > 50000 THEN 'warn' ELSE 'pass' END AS verdict,
     CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AND length(text) <= 50000 THEN 1.0 END AS score FROM x
-  UNION ALL SELECT conversation_id, 'langid', CASE WHEN conversation_id % 3 = 0 THEN 'pass' ELSE 'warn' END, 1.0 FROM x
+  UNION ALL SELECT conversation_id, 'langid', CASE WHEN detected IS NULL OR detected = 'en' THEN 'warn' ELSE 'fail' END, confidence FROM x LEFT JOIN lang USING (conversation_id)
   UNION ALL SELECT conversation_id, 'register-compliance', 'fail', NULL FROM x WHERE {_hits(validators.PARTICLES)}
   UNION ALL SELECT conversation_id, 'register-compliance', 'fail', NULL FROM x WHERE {_hits(validators.SHORTCUTS)}
   UNION ALL SELECT conversation_id, 'register-compliance', 'pass', 1.0 FROM x WHERE NOT {_hits(validators.PARTICLES)} AND NOT {_hits(validators.SHORTCUTS)}
@@ -141,14 +174,14 @@ r AS (
 SELECT conversation_id, CASE WHEN bool_or(verdict = 'fail') THEN 'rejected' ELSE 'accepted' END AS status,
   count(*) FILTER (WHERE verdict = 'fail') AS fails, count(*) FILTER (WHERE verdict = 'warn') AS warns FROM r GROUP BY 1""")
 def validate_replies(spark, sf):
-    return validators.accept(validators.run_validators(_replies(spark, sf)))
+    return validators.accept(validators.run_validators(_replies(spark, sf), policy="rojak"))
 
 
 @query(_RESULTS + """
 SELECT validator, count(*) AS total, avg(CAST(verdict = 'pass' AS INT)) AS pass_rate, avg(CAST(verdict = 'warn' AS INT)) AS warn_rate,
   avg(CAST(verdict = 'fail' AS INT)) AS fail_rate, round(CAST(avg(score) AS DOUBLE), 9) AS mean_score FROM r GROUP BY 1""")
 def validator_rates(spark, sf):
-    return validators.validator_rollup(validators.run_validators(_replies(spark, sf))).withColumn("mean_score", F.round("mean_score", 9))
+    return validators.validator_rollup(validators.run_validators(_replies(spark, sf), policy="rojak")).withColumn("mean_score", F.round("mean_score", 9))
 
 
 @query("WITH x AS (SELECT doc_id AS conversation_id, text FROM {documents}), " + _GRAMS + " SELECT * FROM rep")

@@ -214,31 +214,61 @@ def graph_edges(spark, sf):
     return _graph(spark, sf)[1].select("source", "target", "place")
 
 
-@query("""
-SELECT id, d AS depth, CAST(row_number() OVER (PARTITION BY d ORDER BY id) - 1 AS INTEGER) AS place FROM (
-  SELECT id, CAST(CASE WHEN id % 10 = 7 THEN (SELECT max(length(bin(c_custkey + 1))) FROM {customer} WHERE (c_custkey + 1) % 10 <> 7) ELSE length(bin(id)) - 1 END AS INTEGER) AS d
-  FROM (SELECT CAST(c_custkey + 1 AS BIGINT) AS id FROM {customer}))""")
+_DAG = """n AS (SELECT CAST(c_custkey + 1 AS BIGINT) AS id FROM {customer} UNION ALL SELECT CAST(-n_nationkey - 1 AS BIGINT) FROM {nation}),
+e AS (SELECT id AS source, id * 2 AS target FROM n WHERE id > 0 UNION ALL SELECT id, id * 3 FROM n WHERE id > 0 UNION ALL SELECT id, id * 2 + 1 FROM n WHERE id > 0 AND id % 3 = 0
+  UNION ALL SELECT CAST(-n_nationkey - 1 AS BIGINT), CAST(-((n_nationkey + 1) % 25) - 1 AS BIGINT) FROM {nation} UNION ALL SELECT CAST(-n_nationkey - 1 AS BIGINT), CAST(8 * (n_nationkey + 1) AS BIGINT) FROM {nation})"""
+
+
+def _dag(spark, sf, part):
+    text = "WITH " + _DAG + f" SELECT * FROM {part}"
+    for name in ("customer", "nation"):
+        text = text.replace("{" + name + "}", f"parquet.`{sf}/{name}.parquet`")
+    return spark.sql(text)
+
+
+@query(f"""
+WITH RECURSIVE {_DAG},
+f AS (SELECT source, target FROM e WHERE target IN (SELECT id FROM n)),
+w(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT f.target, depth + 1 FROM w JOIN f ON f.source = w.id),
+m AS (SELECT id, max(depth) AS depth FROM w GROUP BY id),
+d AS (SELECT id, coalesce(depth, (SELECT max(depth) + 1 FROM m)) AS depth FROM n LEFT JOIN m USING (id))
+SELECT id, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY depth ORDER BY id) - 1 AS INTEGER) AS place FROM d""")
 def graph_layers(spark, sf):
-    """A tree over all customers with as many layers as the largest key has bits; keys that end in 7 hang on nothing."""
-    nodes = table(spark, sf, "customer").select((F.col("c_custkey") + 1).cast("long").alias("id"))
-    # Of each layer, all nodes hang on its smallest key's parent; keys that are powers of two never end in 7.
-    parent = F.expr("shiftleft(1L, length(bin(id)) - 2)")
-    edges = nodes.where("id > 1 AND id % 10 <> 7").select(parent.alias("source"), F.col("id").alias("target"))
-    return graphs.layers(nodes, edges, 1)
+    """Many paths lead to most customers; a circle of nations leads to some of them, and nothing to it."""
+    return graphs.layers(_dag(spark, sf, "n"), _dag(spark, sf, "e"), 1)
 
 
-@query("""
-WITH RECURSIVE w AS (SELECT CAST(s_suppkey AS BIGINT) AS walk, 0 AS step, CAST(1 AS BIGINT) AS node FROM {supplier}
-  UNION ALL SELECT walk, step + 1, node * 2 + CASE WHEN step = walk % 4 THEN 1 ELSE 0 END FROM w WHERE node < 16)
-SELECT walk, step, node FROM w""")
+_CHOICES = "SELECT CAST(l_suppkey AS BIGINT) AS walk, CAST(l_linenumber - 1 AS INTEGER) AS step, min(CASE l_partkey % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'retry' WHEN 2 THEN 'odd' END) AS label FROM {lineitem} GROUP BY 1, 2"
+
+
+@query(f"""
+WITH RECURSIVE c AS ({_CHOICES}),
+w AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS walk, 0 AS step, CAST(s_nationkey AS BIGINT) AS node, [CAST(s_nationkey AS BIGINT)] AS path, 1 AS attempt, '' AS label, '' AS reason, CAST(0 AS BIGINT) AS target, 0 AS done FROM {{supplier}}
+  UNION ALL
+  SELECT walk, step + done, CASE WHEN done = 1 THEN target ELSE node END, CASE WHEN done = 1 THEN list_append(path, target) ELSE path END, attempt, label, CASE WHEN done = 1 THEN '' WHEN reason <> 'end' AND visit > 4 THEN 'guard' WHEN reason <> 'end' AND step = 14 THEN 'steps' ELSE reason END, target,
+    1 - done FROM (
+    SELECT *, len(list_filter(path, lambda x: x = target)) + 1 AS visit FROM (
+      SELECT walk, step, node, path, done, CASE WHEN done = 1 THEN '' ELSE CASE WHEN r = 'end' THEN NULL WHEN r = 'exhausted' THEN 'Exhausted' WHEN r = 'chosen' THEN asked ELSE 'go' END END AS label,
+        CASE WHEN done = 1 THEN reason ELSE r END AS reason, a AS attempt,
+        CASE WHEN done = 1 THEN t WHEN r = 'exhausted' THEN 24 WHEN r = 'chosen' AND asked = 'retry' THEN (node + 1) % 25 ELSE (node * 7 + 3) % 25 END AS target FROM (
+        SELECT *, CASE WHEN node = 24 THEN 'end' WHEN node % 3 <> 0 THEN 'first' WHEN node % 4 > 0 AND a > node % 4 AND node % 2 = 0 THEN 'exhausted' WHEN asked IS NULL THEN 'unchosen' WHEN asked IN ('go', 'retry') THEN 'chosen' ELSE 'unknown' END AS r FROM (
+          SELECT w.walk, w.step, w.node, w.path, w.done, w.reason, w.target AS t, c.label AS asked, len(list_filter(w.path, lambda x: x = w.node)) AS a
+          FROM w LEFT JOIN c ON c.walk = w.walk AND c.step = w.step WHERE w.reason NOT IN ('end', 'guard', 'steps')))))
+)
+SELECT walk, step, node, CAST(attempt AS INTEGER) AS attempt, label, reason FROM w WHERE done = 1""")
 def graph_walks(spark, sf):
-    """One walk for each supplier down a tree of halves; a choice at one step takes the second branch."""
-    inner = spark.range(1, 16).select(F.col("id").alias("source"))
-    edges = inner.select("source", (F.col("source") * 2).alias("target"), F.lit(0).alias("place"), F.lit("left").alias("label"))
-    edges = edges.unionByName(inner.select("source", (F.col("source") * 2 + 1).alias("target"), F.lit(1).alias("place"), F.lit("right").alias("label")))
-    walks = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("walk"))
-    choices = walks.select("walk", (F.col("walk") % 4).cast("int").alias("step"), F.lit("right").alias("label"))
-    return graphs.walk(edges, choices, walks.withColumn("node", F.lit(1).cast("long")), max_steps=8)
+    """A walk for each supplier from its nation over a graph of all nations, with loops, conditions and limited attempts."""
+    k = F.col("n_nationkey").cast("long")
+    nations = table(spark, sf, "nation")
+    kind = F.when(k == 24, "end").when(k % 3 == 0, "condition").otherwise("intent")
+    nodes = nations.select(k.alias("id"), kind.alias("kind"), (k % 4).cast("int").alias("max_attempts"))
+    edge = lambda place, target, label: F.struct(F.lit(place).alias("place"), target.cast("long").alias("target"), F.lit(label).alias("label"))
+    own = F.filter(F.array(edge(0, (k * 7 + 3) % 25, "go"), edge(1, (k + 1) % 25, "retry"), F.when(k % 2 == 0, edge(2, F.lit(24), "Exhausted"))), F.isnotnull)
+    edges = nations.select(k.alias("source"), F.inline(own))
+    starts = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("walk"), F.col("s_nationkey").cast("long").alias("node"))
+    choices = spark.sql(_CHOICES.replace("{lineitem}", f"parquet.`{sf}/lineitem.parquet`"))
+    return graphs.walk(nodes, edges, choices, starts, max_steps=15, max_visits=4)
 
 
 # --- profiles, versions, events --------------------------------------------------------------------------------------
