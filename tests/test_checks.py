@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import language
-from weftline.operators import schemas, validators
+from weftline.operators import linting, redteam, schemas, scoring, validators
 from weftline.session import table
 
 
@@ -173,3 +173,118 @@ def test_odd_schemas_and_examples(spark):
     deep = spark.createDataFrame([(9, 1, "[" * 40 + "]" * 40)], "tool long, example long, value string")
     with pytest.raises(ValueError, match="deeper"):
         schemas.example_breaches(tools, deep)
+
+
+# transcripts
+
+MESSAGE = "conversation_id long, ordinal int, role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, payload boolean, agent string, off_topic boolean"
+
+
+def said(c, i, role, content=None, calls=None, of=None, payload=None, agent=None, off=None):
+    return (c, i, role, content, [(k, n, a) for k, n, a in calls] if calls is not None else None, of, payload, agent, off)
+
+
+DENIED = '{"error": {"http_status": 403}}'
+
+
+def plain_attempts(rows, forbidden):
+    """The machine of each function, message by message."""
+    state, owner, out = {}, {}, []
+    for c, i, role, content, calls, of, *_ in sorted(rows, key=lambda r: (r[0], r[1])):
+        if role == "assistant":
+            for place, (k, n, _) in enumerate(calls or []):
+                if n in forbidden:
+                    out.append({"key": (c, i, place, k, n), "outcome": "open", "repeat": state.get((c, n)) == "denied"})
+                    owner.setdefault((c, k), out[-1])
+        elif role == "tool" and (call := owner.get((c, of))) and call["outcome"] == "open":
+            call["outcome"] = "denied" if "403" in (content or "") else "slipped"
+            if call["outcome"] == "denied":
+                state[(c, call["key"][4])] = "denied"
+    return sorted((*x["key"], x["outcome"], x["repeat"]) for x in out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_attempts_against_a_state_machine(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(30):
+        ids = []
+        for i in range(rng.randrange(1, 14)):
+            if rng.random() < 0.5:
+                made = [(f"{c}-{i}-{j}", rng.choice(["delete_x", "export_y", "get_z"]), "{}") for j in range(rng.randrange(3))]
+                ids += [m[0] for m in made]
+                rows.append(said(c, i, "assistant", "", made))
+            elif ids:
+                rows.append(said(c, i, "tool", rng.choice([DENIED, "{}", None]), of=ids.pop(rng.randrange(len(ids)))))
+    functions = spark.createDataFrame([("delete_x", None, "{}"), ("export_y", None, "{}"), ("get_z", None, "{}")], "name string, stage string, parameters string")
+    none = spark.createDataFrame([], "conversation_id long, name string")
+    df = spark.createDataFrame(rows, MESSAGE)
+    found = redteam.attempts(df, functions, none)
+    got = sorted((r.conversation_id, r.ordinal, r.place, r.id, r.name, r.outcome, r.repeat) for r in found.collect())
+    assert got == plain_attempts(rows, {"delete_x", "export_y"}) and {g[6] for g in got} == {True, False}
+
+
+def test_red_team_of_odd_conversations(spark, tmp_path):
+    rows = [
+        said(1, 0, "system", "s"), said(1, 1, "assistant", None), said(2, 0, "user", None), said(2, 3, "user", "x", payload=True), said(2, 5, "assistant", "", []),
+        said(3, 0, "tool", "no json", of=None), said(3, 1, "assistant", "", [("a", "delete_x", None), ("a", "delete_x", "{bad")]), said(3, 2, "tool", DENIED, of="a"), said(3, 3, "tool", "{}", of="a"),
+    ]
+    df = spark.createDataFrame(rows, MESSAGE)
+    functions = spark.createDataFrame([("delete_x", "read", '{"required": ["q"]}')], "name string, stage string, parameters string")
+    tried = redteam.attempts(df, functions, spark.createDataFrame([(3, "delete_x"), (3, "delete_x")], "conversation_id long, name string"))
+    assert sorted((r.place, r.outcome) for r in tried.collect()) == [(0, "denied"), (1, "open")]
+    found = redteam.summary(df, tried)
+    got = {r.conversation_id: (r.refusal_turns, len(r.attempted), r.n_denied, r.attack_turn_index, r.refused) for r in found.collect()}
+    assert got == {1: ([1], 0, 0, 0, True), 2: ([2], 0, 0, 1, True), 3: ([], 2, 1, 0, False)}
+    rules = sorted(r.rule for r in redteam.lint(df, functions, tried, spark.createDataFrame([(2,)], "conversation_id long")).collect())
+    assert rules == ["arguments_not_json", "content_not_json", "forbidden_call", "forbidden_call", "missing_required", "missing_required", "no_vocative", "unpaired_result"]
+    columns = "row_idx long, conversation_id long, domain string, workflow string, shared_entities string, functions string, attack_type string, attack_strategy string, threat_class string, severity string, tone string, target_behavior string"
+    scenarios = spark.createDataFrame([(9 - i, i, *["v"] * 10) for i in (3, 2, 7)], columns)
+    redteam.write_kept_rows(redteam.kept_rows(scenarios, df, found), str(tmp_path / "rows"))
+    files = sorted((tmp_path / "rows").glob("part-*.parquet"))
+    kept = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert [r.row_idx for r in kept] == [2, 6, 7] and [r.messages == "[]" for r in kept] == [True, False, False] and [r.refused for r in kept] == [None, False, True]
+    assert json.loads(kept[1].metadata)["attempted"] == [{"function": "delete_x", "kind": "sensitive"}] * 2
+    assert redteam.summary(df.limit(0), tried.limit(0)).count() == 0
+
+
+def test_extra_lint_of_odd_conversations(spark):
+    rows = [
+        said(1, 0, "user", None), said(2, 0, "user", "Vanakkam nandri ROMBA", off=True), said(2, 1, "assistant", agent="a"), said(2, 2, "tool", '{"error": {}}'),
+        said(2, 3, "assistant", agent="b"), said(2, 4, "assistant"), said(2, 5, "assistant", agent="a"), said(2, 6, "user", "", off=True), said(2, 7, "tool", '{"http_status": 500}'), said(2, 8, "tool", '{"status_code": 404}'),
+    ]
+    df = spark.createDataFrame(rows, MESSAGE)
+    profiles = spark.createDataFrame([(1, "mandarin"), (2, "tamil"), (3, "tamil")], "conversation_id long, profile string")
+    got = sorted((r.conversation_id, r.rule, r.found) for r in linting.lint_extra(df, profiles).collect())
+    assert got == [(1, "agent_edges", 0), (1, "api_errors", 0), (1, "mandarin", 0), (1, "off_topic", 0)]
+    assert sorted((r.source, r.target, r.times) for r in linting.agent_edges(df).collect()) == [("a", "b", 1), ("b", "a", 1)]
+    assert linting.lint_extra(df.limit(0), profiles).count() == 0
+
+
+def test_keyed_ids_are_distinct(spark):
+    df = spark.createDataFrame([('{"id": "a", "x": {"id": "a", "order_id": "b"}, "y": {"id": "c"}}',)], "t string")
+    assert [tuple(r) for r in df.select(linting.keyed_ids(F.col("t"))).first()[0]] == [("id", "a"), ("order_id", "b"), ("id", "c")]
+
+
+# scores and runs
+
+
+def test_failed_requests_miss_every_call(spark):
+    call = "row int, place int, name string, arguments string"
+    expected = spark.createDataFrame([(1, 0, "f", "{}"), (1, 1, "g", "{}"), (2, 0, "f", "{}")], call)
+    predicted = spark.createDataFrame([(1, 0, "f", "{}"), (2, 0, "f", "{}"), (2, 1, "h", "{}")], call)
+    failed = spark.createDataFrame([(1,), (1,)], "row int")
+    got = sorted((r.row, r.place, r.type, r.func_match, r.api_failed) for r in scoring.match_calls(expected, predicted, ["row"], failed).collect())
+    assert got == [(1, 0, "missing", False, True), (1, 1, "missing", False, True), (2, 0, "match", True, False), (2, 1, "extra", False, False)]
+
+
+def test_metrics_of_nothing_and_of_lone_splits(spark):
+    items = spark.createDataFrame([("a", "pass", {"x": 2.0}), (None, None, None)], "split string, verdict string, scores map<string,double>")
+    checks = spark.createDataFrame([('b"', "k", "fail", None)], "split string, kind string, verdict string, score double")
+    calls = spark.createDataFrame([], "split string, row long, turn long, type string, func_match boolean, correct long, total long, accuracy double, similarity double, api_failed boolean")
+    got = json.loads(scoring.metrics_document(items, checks, calls, {"x": 4}, {}).first().document)
+    assert list(got) == ["kind", "splits", "overall"] and list(got["splits"]) == ["", "a", 'b"'] and got["overall"]["totalItems"] == 2
+    assert got["splits"]["a"] == {"axes": {"x": 0.5}, "validators": {}, "functionCall": None, "verdictCounts": {"pass": 1, "warn": 0, "fail": 0}, "totalItems": 1}
+    assert got["splits"]['b"']["validators"] == {"k": {"total": 1, "passRate": 0.0, "warnRate": 0.0, "failRate": 1.0, "meanScore": None}}
+    empty = json.loads(scoring.metrics_document(items.limit(0), checks.limit(0), calls, {"x": 4}, {"n": 1}).first().document)
+    assert empty["splits"] == {} and empty["overall"]["n"] == 1

@@ -7,6 +7,7 @@ Calls and results are matched by hash joins on (conversation_id, id).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VOCATIVES = ("Encik", "Puan", "Sir", "Madam")
@@ -78,10 +79,10 @@ def harvested_ids(content: Column) -> Column:
 
 
 def keyed_ids(content: Column) -> Column:
-    """(key, value) of the string fields named id, or ending in _id, _ref, _token, _number or _no."""
+    """(key, value) of the string fields named id, or ending in _id, _ref, _token, _number or _no; each pair once, at its first place."""
     pattern = r'(?i)"(id|(?:[^"\\])*_(?:id|ref|token|number|no))"\s*:\s*"((?:[^"\\]|\\.)+)"'
     text = F.when(F.try_parse_json(content).isNotNull(), content).otherwise("")
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
+    return F.array_distinct(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value")))
 
 
 def id_propagation(ids: Column, reference: Column, model: Column) -> Column:
@@ -142,3 +143,51 @@ def lint_library(functions: DataFrame, originals: DataFrame, entities: DataFrame
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+# Words that show a profile's language in Latin letters.
+MARKERS = {
+    "tamil": ("Vanakkam", "Nandri", "Romba", "Aiyo", "Aiyoyo", "Aiyaa", "appadi", "seri"),
+    "mandarin": ("Ni hao", "Zao", "Wan an", "Xie xie", "Hao de", "Dui", "Bu hao", "bu xing", "Ai yaa"),
+}
+SCRIPTS = {"tamil": r"\p{IsTamil}", "mandarin": r"\p{IsHan}"}
+#: Least numbers: API errors, off-topic turns, edges between agents, markers by profile.
+LEAST = {"api_errors": 3, "off_topic": 2, "agent_edges": 2, "tamil": 3, "mandarin": 2}
+
+
+def agent_edges(messages: DataFrame) -> DataFrame:
+    """Rows (conversation_id, source, target, times): how often one agent's assistant message is followed by another agent's.
+
+    Messages have agent; those of other roles or without an agent do not come between.
+    """
+    spoken = messages.where("role = 'assistant' AND agent IS NOT NULL")
+    before = F.lag("agent").over(W.partitionBy("conversation_id").orderBy("ordinal"))
+    steps = spoken.select("conversation_id", before.alias("source"), F.col("agent").alias("target")).where("source <> target")
+    return steps.groupBy("conversation_id", "source", "target").agg(F.count("*").alias("times"))
+
+
+def language_marks(text: Column, profile: str) -> Column:
+    """How many of a profile's markers stand in a text, in either case, and runs of letters of its script."""
+    markers = [F.when(F.contains(F.lower(text), F.lit(m.lower())), 1).otherwise(0) for m in MARKERS[profile]]
+    runs = F.size(F.regexp_extract_all(text, F.lit(SCRIPTS[profile] + "+"), F.lit(0)))
+    return sum(markers[1:], markers[0]) + runs
+
+
+def lint_extra(messages: DataFrame, profiles: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
+    """Rows (conversation_id, rule, found): what each conversation has too little of, beside `lint_transcripts`.
+
+    Messages have agent and off_topic (of user messages); `profiles` has conversation_id and profile. Rules: api_errors, off_topic,
+    agent_edges (distinct), and for profiles tamil and mandarin the marks of the language in all user messages together, texts
+    in its own script included. Null counts as none; a conversation without messages is not judged.
+    """
+    least = LEAST | (least or {})
+    errors = transcript_metadata(messages).select("conversation_id", "api_errors")
+    user = F.col("role") == "user"
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(user, F.struct("ordinal", F.coalesce("content", F.lit("")).alias("c"))))), lambda x: x["c"]), " ")
+    per = messages.groupBy("conversation_id").agg(F.count_if(user & F.col("off_topic")).alias("off_topic"), said.alias("said"))
+    edges = agent_edges(messages).groupBy("conversation_id").agg(F.count("*").alias("agent_edges"))
+    rows = per.join(errors, "conversation_id").join(edges, "conversation_id", "left").join(profiles.select("conversation_id", "profile"), "conversation_id", "left")
+    rule = lambda name, found: F.when(found < least[name], F.struct(F.lit(name).alias("rule"), found.cast("long").alias("found")))
+    checks = [rule(n, F.coalesce(F.col(n), F.lit(0))) for n in ("api_errors", "off_topic", "agent_edges")]
+    checks += [F.when(F.col("profile") == p, rule(p, language_marks(F.col("said"), p))) for p in MARKERS]
+    return rows.select("conversation_id", F.inline(F.filter(F.array(*checks), F.isnotnull)))

@@ -150,3 +150,44 @@ def result_rows(items: DataFrame, turns: DataFrame) -> DataFrame:
     """Benchmark results to append: one conversation row per item and one detail row per turn, in one shape."""
     whole = items.select("run", "item", F.lit("chat-replay").alias("kind"), F.lit(None).cast("long").alias("turn"), "verdict")
     return whole.unionByName(turns.select("run", "item", F.lit("chat-replay-turn").alias("kind"), F.col("turn").cast("long").alias("turn"), "verdict"))
+
+
+def listed_judges(groups: DataFrame) -> DataFrame:
+    """Rows (group_id, place, provider_id, model) from groups (group_id, judges): a JSON list of objects with
+    providerCredentialId and model, as JSON or as a JSON string that holds it. Entries that are no object or lack either go."""
+    parsed = F.try_parse_json("judges")
+    inner = F.coalesce(F.try_parse_json(F.try_variant_get(parsed, "$", "string")), parsed)
+    rows = groups.select("group_id", F.posexplode(F.try_variant_get(inner, "$", "array<variant>")).alias("place", "judge"))
+    text = lambda path: F.try_variant_get("judge", path, "string")
+    entries = rows.select("group_id", "place", text("$.providerCredentialId").alias("provider_id"), text("$.model").alias("model"))
+    return entries.where("coalesce(provider_id, '') <> '' AND coalesce(model, '') <> ''")
+
+
+def run_metadata(runs: DataFrame, benchmarks: DataFrame, providers: DataFrame, groups: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """What a benchmark's run needs, one row a run: (run_id, benchmark_id, kind, project_id, candidate, model, group_name, judges,
+    consensus_method, rubric_name, axes).
+
+    runs: run_id, benchmark_id, provider_id, model, group_id, judge_provider_id, judge_model, consensus_method, rubric_id; benchmarks:
+    benchmark_id, kind, project_id; providers: provider_id, name; groups: group_id, name, judges (JSON); rubrics: rubric_id, name, axes
+    (JSON). Ids of providers are strings. A run without its benchmark or provider has no row. judges are (provider_id, name, model), those of the
+    group in its order whose provider exists, repeats included; where none is left the run's own judge, if its provider exists; else empty. No or an empty
+    consensus method is median; a rubric without a list of axes has none. Ids are unique in their tables.
+    """
+    named = providers.select("provider_id", F.col("name").alias("provider_name"))
+    judge = lambda model: F.struct("provider_id", F.col("provider_name").alias("name"), F.col(model).alias("model"))
+    hydrated = listed_judges(groups).join(named, "provider_id").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", judge("model").alias("j")))).alias("listed"))
+    listed = groups.select("group_id", F.col("name").alias("group_name")).join(hydrated, "group_id", "left")
+    own = named.withColumnsRenamed({"provider_id": "judge_provider_id", "provider_name": "judge_name"})
+    parsed = F.try_parse_json("axes")
+    axes = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.try_variant_get(F.try_parse_json(F.try_variant_get(parsed, "$", "string")), "$", "array<variant>"), F.array().cast("array<variant>"))
+    scales = rubrics.select("rubric_id", F.col("name").alias("rubric_name"), F.transform(axes, lambda a: F.struct(F.coalesce(F.try_variant_get(a, "$.key", "string"), F.lit("axis")).alias("key"), F.greatest(F.lit(1), F.coalesce(F.try_variant_get(a, "$.scale", "int"), F.lit(5))).alias("scale"))).alias("axes"))
+    rows = runs.join(benchmarks.select("benchmark_id", "kind", "project_id"), "benchmark_id").join(named.withColumnRenamed("provider_name", "candidate"), "provider_id")
+    rows = rows.join(listed, "group_id", "left").join(own, "judge_provider_id", "left").join(scales, "rubric_id", "left")
+    single = F.array(F.struct(F.col("judge_provider_id").alias("provider_id"), F.col("judge_name").alias("name"), F.col("judge_model").alias("model")))
+    none = F.array().cast("array<struct<provider_id:string,name:string,model:string>>")
+    judges = F.when(F.col("listed").isNotNull(), F.transform("listed", lambda x: x["j"])).when(F.col("judge_name").isNotNull(), single).otherwise(none)
+    return rows.select(
+        "run_id", "benchmark_id", "kind", "project_id", "candidate", "model", "group_name", judges.alias("judges"),
+        F.when(F.coalesce("consensus_method", F.lit("")) == "", "median").otherwise(F.col("consensus_method")).alias("consensus_method"), "rubric_name",
+        F.coalesce("axes", F.array().cast(scales.schema["axes"].dataType)).alias("axes"),
+    )

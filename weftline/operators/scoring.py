@@ -76,26 +76,38 @@ def calibration_drift(expected: DataFrame, actual: DataFrame, keys: list[str], t
     return items, both.agg(F.max("delta").alias("max_delta"), F.avg("delta").alias("mean_delta"), F.count("*").alias("n_deltas"))
 
 
-def match_calls(expected: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected against predicted calls by place (*keys, place, name, arguments): match, missing or extra."""
+def match_calls(expected: DataFrame, predicted: DataFrame, keys: list[str], failed: DataFrame | None = None) -> DataFrame:
+    """Expected against predicted calls by place (*keys, place, name, arguments): match, missing or extra.
+
+    Of the turns in `failed` (*keys), whose request failed, every expected call is missing, with api_failed, and no predicted one counts.
+    """
+    lost = None if failed is None else failed.select(*keys).distinct().withColumn("api_failed", F.lit(True))
+    predicted = predicted if lost is None else predicted.join(lost, keys, "left_anti")
     both = expected.select(*keys, "place", F.col("name").alias("expected_name"), F.col("arguments").alias("expected_arguments"), F.lit(True).alias("e"))
     both = both.join(predicted.select(*keys, "place", F.col("name").alias("predicted_name"), F.col("arguments").alias("predicted_arguments"), F.lit(True).alias("p")), [*keys, "place"], "full")
     kind = F.when(F.col("p").isNull(), "missing").when(F.col("e").isNull(), "extra").otherwise("match")
-    return both.withColumn("type", kind).withColumn("func_match", (kind == "match") & F.col("expected_name").eqNullSafe(F.col("predicted_name"))).drop("e", "p")
+    both = both.withColumn("type", kind).withColumn("func_match", (kind == "match") & F.col("expected_name").eqNullSafe(F.col("predicted_name"))).drop("e", "p")
+    return both if lost is None else both.join(lost, keys, "left").withColumn("api_failed", F.coalesce("api_failed", F.lit(False)))
+
 
+def call_metrics(calls: DataFrame, split: str | None = None) -> DataFrame:
+    """One row of metrics from calls (row, turn, type, func_match, correct, total, accuracy, similarity, api_failed).
 
-def call_metrics(calls: DataFrame) -> DataFrame:
-    """One row of metrics from calls (row, turn, type, func_match, correct, total, accuracy, similarity, api_failed)."""
+    With `split`, a row for each of its values, and one over all with overall = 1.
+    """
     valid = calls.where("NOT api_failed")
     good = (F.col("type") == "match") & (F.col("accuracy") == 1.0)
-    turns = valid.groupBy("row", "turn").agg(
+    by = [] if split is None else [split]
+    turns = valid.groupBy(*by, "row", "turn").agg(
         F.bool_and(good).alias("perfect"), F.count("*").alias("n"), F.count_if("func_match").alias("functions"),
         F.sum("correct").alias("correct"), F.sum("total").alias("total"), F.sum("similarity").alias("similarity"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     total = F.sum("n")
-    return turns.agg(
-        F.coalesce(total, F.lit(0)).alias("total_calls"), F.count("*").alias("total_turns"), F.coalesce(F.sum("total"), F.lit(0)).alias("total_params"),
+    grouped = turns.groupBy() if split is None else turns.groupingSets([[split], []], split)
+    overall = [] if split is None else [F.grouping(split).alias("overall")]
+    return grouped.agg(
+        *overall, F.coalesce(total, F.lit(0)).alias("total_calls"), F.count("*").alias("total_turns"), F.coalesce(F.sum("total"), F.lit(0)).alias("total_params"),
         share(F.sum("functions"), total).alias("function_accuracy"), share(F.sum("correct"), F.sum("total")).alias("parameter_accuracy"),
         share(F.count_if("perfect"), F.count("*")).alias("turn_level_parameter_accuracy"), share(F.sum("similarity"), total).alias("argument_similarity"),
     )
@@ -134,3 +146,42 @@ def evaluator_metrics(turns: DataFrame) -> DataFrame:
 def confusion(reference_calls: Column, model_calls: Column) -> Column:
     """TP, FP, FN or TN by whether either side called a tool."""
     return F.when((reference_calls > 0) & (model_calls > 0), "TP").when(model_calls > 0, "FP").when(reference_calls > 0, "FN").otherwise("TN")
+
+
+def metrics_document(items: DataFrame, validations: DataFrame, calls: DataFrame, scales: dict[str, int], totals: dict[str, float]) -> DataFrame:
+    """One row (document): the metrics of a run as one JSON text, by split and over all, keys in a fixed order.
+
+    `items` has split, verdict and scores (map of axis to score), `validations` split, kind, verdict and score, `calls` what
+    `call_metrics` takes and split; `totals` are further fields of the overall part. Each part comes of one pass of grouping
+    sets over (split) and (). A split that has calls or validations only is there, with nulls and zeros; without calls functionCall
+    is null; a null split is named by the empty string. Means are rounded to 9 places.
+    """
+    named = lambda df: df.withColumn("split", F.coalesce("split", F.lit("")))
+    items, validations, calls = named(items), named(validations), named(calls)
+    whole = F.grouping("split").alias("overall")
+    mean = lambda c: F.round(c, 9)
+    axes = [mean(F.avg(F.try_element_at("scores", F.lit(a))) / s).alias(a) for a, s in scales.items()]
+    verdicts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("pass", "warn", "fail")]
+    judged = items.groupingSets([["split"], []], "split").agg(whole, F.struct(*axes).alias("axes"), F.struct(*verdicts).alias("verdictCounts"), F.count("*").alias("totalItems"))
+    rate = lambda v: mean(F.avg((F.col("verdict") == v).cast("double"))).alias(f"{v}Rate")
+    rates = F.struct(F.count("*").alias("total"), rate("pass"), rate("warn"), rate("fail"), mean(F.avg("score")).alias("meanScore"))
+    checked = validations.groupingSets([["split", "kind"], ["kind"]], "split", "kind").agg(F.grouping("split").alias("overall"), rates.alias("r"))
+    checked = checked.groupBy("split", "overall").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "r")))).alias("validators"))
+    made = call_metrics(calls, "split")
+    made = made.where("total_calls > 0").select("split", "overall", F.struct(*[mean(F.col(c).cast("double")).alias(c) if c.endswith(("accuracy", "similarity")) else F.col(c) for c in made.columns if c not in ("split", "overall")]).alias("functionCall"))
+    same = lambda a, b: (a["split"].eqNullSafe(b["split"])) & (a["overall"] == b["overall"])
+    keys = judged.select("split", "overall").unionAll(checked.select("split", "overall")).unionAll(made.select("split", "overall")).distinct().alias("k")
+    rows = keys.join(judged, same(keys, judged), "left").join(checked, same(keys, checked), "left").join(made, same(keys, made), "left")
+    zero, none = F.struct(*[F.lit(0).cast("long").alias(v) for v in ("pass", "warn", "fail")]), F.struct(*[F.lit(None).cast("double").alias(a) for a in scales])
+    empty = F.create_map().cast(checked.schema["validators"].dataType)
+    fields = [F.coalesce("axes", none).alias("axes"), F.coalesce("validators", empty).alias("validators"), "functionCall", F.coalesce("verdictCounts", zero).alias("verdictCounts"), F.coalesce("totalItems", F.lit(0)).alias("totalItems")]
+    rows = rows.select(F.col("k.split").alias("split"), F.col("k.overall").alias("overall"), F.struct(*fields).alias("part"))
+    more = [F.lit(c).alias(n) for n, c in totals.items()]
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    name = F.regexp_extract(F.to_json(F.struct(F.col("split").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    splits = F.array_sort(F.collect_list(F.when(F.col("overall") == 0, F.struct("split", F.concat(name, F.lit(":"), text("part")).alias("text")))))
+    parts = rows.groupBy().agg(F.array_join(F.transform(splits, lambda x: x["text"]), ",").alias("splits"), F.max(F.when(F.col("overall") == 1, text("part"))).alias("overall"))
+    # The totals stand behind the overall part's own fields.
+    after = F.lit("}") if not totals else F.concat(F.when(F.col("overall").isNull(), "").otherwise(","), F.substring(text(F.struct(*more)), 2, 1 << 30))
+    inner = F.concat(F.regexp_replace(F.coalesce("overall", F.lit("{}")), r"\}$", ""), after)
+    return parts.select(F.concat(F.lit('{"kind":"chat-replay","splits":{'), "splits", F.lit('},"overall":'), inner, F.lit("}")).alias("document"))
