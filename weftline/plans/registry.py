@@ -667,4 +667,4 @@ def text_search(spark, sf):
     return selection.search(table(spark, sf, "documents"), "LICENSE", "source", "text").select("doc_id")
 
 
-from weftline.plans import checks, runs, tools  # noqa: E402, F401  register their queries here
+from weftline.plans import checks, runs, stored, tools  # noqa: E402, F401  register their queries here
