@@ -13,11 +13,13 @@ rows. Anchors that are home to very many fingerprints are split: homes are dealt
 part; homes go to half of the other parts as replicas too, so that any two of them meet. Equal fingerprints are merged
 before all this.
 
-`keep_one` takes the same covering for near copies by the exact Jaccard similarity of word shingles. A similarity of
-0.8 differs in about 15 of 100 fingerprint bits, too many for one covering, so each text's set of shingles has several
-independent fingerprints, as many as see a pair at exactly 0.8 with a probability of `RECALL` (and nearly all from 0.85
-up). What meets at an anchor is a candidate only: a link counts if the two sets, read from the shared folder (`sets`),
-have a Jaccard similarity of 0.8 or more.
+`keep_one` removes near copies by the exact Jaccard similarity of word shingles, 0.8 or more. Such sets differ in about 15
+of 100 fingerprint bits, too many for a covering whose rows a text would not grow with the table; so candidates come
+from `BANDS` keys a text, each of the least hashes of its shingles under `BAND_ROWS` functions, whatever the table's size.
+A pair at exactly 0.8 has an equal key with a probability of 0.992, one at 0.85 of 0.9997; texts that share
+a fifth of their shingles meet once in 15,000 pairs. Texts with equal keys are compared as homes of one anchor are, hot keys
+split alike: if their fingerprints differ in at most `NEAR_BITS` bits, a link counts if the two sets, read from
+the shared folder (`sets`), have a similarity of 0.8 or more. A text sends `BANDS` rows of 20 bytes.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other. Repeated rows share a
 fingerprint. A component whose ids are all null has a null component_id.
@@ -26,7 +28,7 @@ fingerprint. A component whose ids are all null has a null component_id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -51,10 +53,10 @@ SLOT_ROWS, PACK_ROWS = 10_000, 8192
 #: Homes of an anchor that is split, and such anchors at most.
 HOT_HOMES, MAX_HOT = 20_000, 10_000
 _PAIRS, _CHECKS = 500_000, 4096
-#: For links at a Jaccard similarity of 0.8: how likely one is seen, and the bits of its first fingerprints that may
-#: differ. Sets of this similarity have a cosine of 8/9; more bits differ in about 1 of 20,000 pairs.
-RECALL, NEAR_BITS = 0.99, 22
-_APART = math.acos(8 / 9) / math.pi
+#: Candidates for a Jaccard similarity of 0.8: keys of a text, and least hashes in each.
+BANDS, BAND_ROWS = 26, 8
+#: Bits of the fingerprints of candidates that may differ. At 0.8 more differ in about 1 of 20,000 pairs.
+NEAR_BITS = 22
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -71,19 +73,31 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64)
 
 
-def fingerprint_words(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """Independent fingerprints of some hashes; the first is that of the hashes as they are."""
-    counts = np.zeros((words, 64), np.int64)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes: each bit that more than half of them have."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         some = hashes[at : at + 65536]
-        for k in range(words):
-            other = mix(some + np.uint64(k * _STEP % (1 << 64))) if k else some
-            counts[k] += np.unpackbits(other.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+_FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """The keys, of 48 bits, of a set of shingle hashes; an empty set has keys as well."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 1024):
+        np.minimum(least, (mix(grams[at : at + 1024])[None, :] * _FACTORS[:, None]).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix(keys * np.uint64(_STEP) + column)
+    return keys >> np.uint64(16)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
-    return int(fingerprint_words(shingle_hashes(text, shingle))[0])
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,14 +124,6 @@ def cover(n: int) -> list[Block]:
     return list(combinations(ranges, take))
 
 
-def similar_cover(n: int) -> tuple[int, list[Block]]:
-    """For links at 0.8 among n texts: fingerprints per text, and the blocks of each, as wide as those of `cover`."""
-    width = max(15, min(sum(w for _, w in block) for block in cover(n)))
-    blocks = [((low, width),) for low in range(0, 65 - width, width)]
-    seen = (1 - _APART) ** width + width * _APART * (1 - _APART) ** (width - 1)
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - seen) / len(blocks)), blocks
-
-
 def _syndrome(word: np.ndarray) -> np.ndarray:
     """Of 15-bit words: the XOR of the numbers 1 to 15 of the bits that are set; zero for the code's own words."""
     out = np.zeros(word.shape, np.int64)
@@ -167,11 +173,23 @@ def anchors(fps: np.ndarray, block: Block, number: int = 0) -> tuple[np.ndarray,
     return np.concatenate(keys), who, np.arange(len(who)) < len(fps)
 
 
-def _all_anchors(marks: np.ndarray, blocks: list[Block]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """`anchors` of each block of each column of fingerprints, with keys of their own."""
-    for k in range(marks.shape[1]):
+Spread = Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def _anchors_of(blocks: list[Block]) -> Spread:
+    """`anchors` of each block of fingerprints, with keys of their own."""
+
+    def run(marks: np.ndarray):
         for number, block in enumerate(blocks):
-            yield anchors(np.ascontiguousarray(marks[:, k]), block, k * len(blocks) + number)
+            yield anchors(np.ascontiguousarray(marks[:, 0]), block, number)
+
+    return run
+
+
+def _by_band(marks: np.ndarray):
+    """Of band keys: each is an anchor, and every row is at home at each of its own."""
+    for k in range(marks.shape[1]):
+        yield marks[:, k].astype(np.int64), np.arange(len(marks)), np.ones(len(marks), bool)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +216,14 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _deal(slots: int, hot: dict[int, int], blocks: list[Block]):
-    """Map side: what each row sends, packed byte by byte, for the slots of its anchors, `slots` for each block."""
+def _deal(slots: int, hot: dict[int, int], spread_out: Spread):
+    """Map side: what each row sends, packed byte by byte, for the slots of its anchors, `slots` for each block or band."""
     hot_keys = np.array(sorted(hot), np.int64)
     parts = np.array([hot[k] for k in sorted(hot)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sent, marks in _packs(batches):
-            for number, (keys, who, own) in enumerate(_all_anchors(marks, blocks)):
+            for number, (keys, who, own) in enumerate(spread_out(marks)):
                 if len(hot_keys):
                     place = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
                     n = np.where(hot_keys[place] == keys, parts[place], 1)
@@ -316,9 +334,11 @@ def _link_similar(folder: str):
             able = held.able(a, b)
             a, b = a[able], b[able]
             while len(a):
-                alike = np.array([sets.alike(held.grams(x), held.grams(y)) for x, y in zip(a[:_CHECKS].tolist(), b[:_CHECKS].tolist(), strict=True)])
-                _merge(label, a[:_CHECKS][alike], b[:_CHECKS][alike])
-                a, b = a[_CHECKS:], b[_CHECKS:]
+                n = held.fitting(a[:_CHECKS], b[:_CHECKS])
+                grams = held.grams(np.unique(np.concatenate([a[:n], b[:n]])))
+                alike = np.array([sets.alike(grams[x], grams[y]) for x, y in zip(a[:n].tolist(), b[:n].tolist(), strict=True)])
+                _merge(label, a[:n][alike], b[:n][alike])
+                a, b = a[n:], b[n:]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
         return _forest(nodes, label)
@@ -326,23 +346,23 @@ def _link_similar(folder: str):
     return run
 
 
-def _links(rows: DataFrame, blocks: list[Block], words: int, n: int, link) -> DataFrame:
-    """Rows (a, b): what `link` finds in the slots of rows (sent, marks), of which there are n with `words` fingerprints."""
-    limit = max(HOT_HOMES, len(blocks) * words * n // MAX_HOT)
+def _links(rows: DataFrame, spread_out: Spread, groups: int, n: int, link) -> DataFrame:
+    """Rows (a, b): what `link` finds in the slots of n rows (sent, marks), whose marks have `groups` blocks or bands."""
+    limit = max(HOT_HOMES, groups * n // MAX_HOT)
     hot: dict[int, int] = {}
     if n > limit:
 
         def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [keys[own] for keys, _, own in _all_anchors(_columns(batch)[1], blocks)] if batch.num_rows else [np.empty(0, np.int64)]
+                found = [keys[own] for keys, _, own in spread_out(_columns(batch)[1])] if batch.num_rows else [np.empty(0, np.int64)]
                 keys, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["anchor", "n"])
 
         crowded = rows.mapInArrow(homes, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-        # No more than blocks * words * n / limit <= MAX_HOT anchors can be that crowded.
+        # No more than groups * n / limit <= MAX_HOT anchors can be that crowded.
         hot = {r["anchor"]: math.ceil(r["n"] / limit) for r in crowded.where(F.col("n") > limit).collect()}
     slots = max(1, math.ceil(n / (3 * SLOT_ROWS)))
-    dealt = rows.mapInArrow(_deal(slots, hot, blocks), "slot long, keys binary, sent binary, own binary")
+    dealt = rows.mapInArrow(_deal(slots, hot, spread_out), "slot long, keys binary, sent binary, own binary")
     return dealt.groupBy("slot").applyInArrow(link, "a long, b long").distinct()
 
 
@@ -351,7 +371,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > MAX_BITS:
         raise ValueError(f"the blocks find links of up to {MAX_BITS} bits")
     n = distinct.count()
-    return _links(distinct.select(F.col("fp").alias("sent"), F.col("fp").alias("marks")), cover(n), 1, n, _link(max_bits))
+    blocks = cover(n)
+    return _links(distinct.select(F.col("fp").alias("sent"), F.col("fp").alias("marks")), _anchors_of(blocks), len(blocks), n, _link(max_bits))
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,18 +390,17 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_
 
 
 def similar_links(distinct: DataFrame, folder: str) -> DataFrame:
-    """Rows (a, b) of places of sets that connect those of a similarity of 0.8 or more; `distinct` has (at, marks)."""
-    n = distinct.count()
-    words, blocks = similar_cover(n)
-    return _links(distinct.select("sent", "marks"), blocks, words, n, _link_similar(folder))
+    """Rows (a, b) of places of sets that connect those of a similarity of 0.8 or more; `distinct` has (sent, marks)."""
+    return _links(distinct.select("sent", "marks"), _by_band, BANDS, distinct.count(), _link_similar(folder))
 
 
-def _marked_sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
+def _marked_sets(docs: DataFrame, shingle: int, folder: str) -> DataFrame:
     """Rows (doc_id, __row, node, at, sent, marks): node names a text's set, `at` is its place in the shared folder."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, places = sets.Writer(folder, TaskContext.get().partitionId()), {}
+        # Each attempt of a task has files of its own; only what the attempt that counts has written is referred to.
+        writer, places = sets.Writer(folder, TaskContext.get().taskAttemptId()), {}
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
@@ -388,35 +408,36 @@ def _marked_sets(docs: DataFrame, shingle: int, words: int, folder: str) -> Data
                 node = int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 7)).view(np.int64))
                 if node not in places:
                     places[node] = writer.add(grams)
-                marks = fingerprint_words(grams, words)
-                sent = np.array([places[node], marks[0]], np.uint64)
-                rows.append((node, places[node], sent.tobytes(), marks.tobytes()))
+                sent = np.array([places[node], fingerprint_of(grams)], np.uint64)
+                rows.append((node, places[node], sent.tobytes(), band_keys(grams).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "__row", "node", "at", "sent", "marks"])
         writer.close()
 
-    rows = docs.select(F.col("__id").alias("doc_id"), "__row", "doc.text")
-    return rows.mapInArrow(run, "doc_id long, __row long, node long, at long, sent binary, marks binary")
+    rows = docs.select(F.col("doc.doc_id").alias("doc_id"), "__row", "doc.text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, __row long, node long, at long, sent binary, marks binary")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of `docs`, one for each group of near copies: its smallest doc_id (nulls last, then by row hash).
 
-    Of rows that repeat in all columns one is kept. Texts of equal sets, such as null and blank ones, are copies.
+    Ids may be of any type that has an order. Of rows that repeat in all columns one is kept. Texts of equal sets, such as null
+    and blank ones, are copies. `docs` may be any plan: a task that runs again leaves files that nobody refers to.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__id"), row.alias("__row"), whole(docs).alias("doc"))
+    keyed = docs.select(row.alias("__row"), whole(docs).alias("doc"))
     folder = fresh_path(docs.sparkSession, "shingles")
-    marked = stage(_marked_sets(keyed, shingle, similar_cover(docs.count())[0], folder), "sets")
+    marked = stage(_marked_sets(keyed, shingle, folder), "sets")
     distinct = marked.groupBy("node").agg(F.min(F.struct("at", "sent", "marks")).alias("m")).select("node", "m.*")
     distinct = stage(distinct, "distinct")
     found = components(similar_links(distinct, folder)).withColumnRenamed("node", "__node")
     rows = marked.groupBy("node", "doc_id", "__row").agg(F.count("*").alias("__times"))
-    best = rows.groupBy("node").agg(F.min(F.struct("doc_id", "__row", "__times")).alias("best"))
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "__times")).alias("best"))
     best = best.join(distinct.select("node", "at"), "node").join(found, F.col("at") == F.col("__node"), "left")
     best = best.groupBy(F.coalesce("label", "at").alias("component")).agg(F.min("best").alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__id"), "best.__row", "best.__times")
-    kept = keyed.join(best, ["__id", "__row"])
+    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.__row").alias("__best"), "best.__times")
+    kept = keyed.join(best, (F.col("__row") == F.col("__best")) & F.col("doc.doc_id").eqNullSafe(F.col("__id"))).drop("__best")
     once, repeated = kept.where("__times = 1"), kept.where("__times > 1").dropDuplicates(["__id", "__row"])
     return once.unionByName(repeated).select("doc.*")
