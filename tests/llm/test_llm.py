@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -511,7 +512,7 @@ def brute_toxicity(texts, toxic):
     """Each text's difference, by dictionaries over the pieces themselves."""
 
     def chain(word):
-        for level, (low, high) in enumerate(((0, 4), (4, 6), (6, 8), (8, None))):
+        for level, (low, high) in enumerate(((0, 5), (5, 7), (7, 9), (9, None))):
             yield level, (level, word[:low], len(word) < low), word[low:high]
 
     tokens = lambda t: [w for w in re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())]
@@ -567,12 +568,15 @@ def test_toxicity_by_brute_force(spark, sf_dir, texts):
     assert all(a.score <= b.score for a, b in zip(ordered, ordered[1:], strict=False))
 
 
-def test_toxicity_model_is_bounded(spark, monkeypatch):
-    """With few nodes allowed the cutoff rises, whatever the texts' length and repeats."""
-    monkeypatch.setattr(toxicity, "MAX_NODES", 3)
-    rows = [("bad " * 50 + f"word{i} " * 3, 1) for i in range(20)] + [("good " * 50 + f"other{i} " * 3, 0) for i in range(20)]
-    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic long"))
-    assert model is None or len(model["nodes"]) <= 3
+def test_toxicity_model_in_shards_is_the_same(spark, sf_dir, monkeypatch):
+    """A model too large to be broadcast lies in many shards of the shared folder and gives the same differences."""
+    sample = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    texts = pa.array([r.text for r in sample.limit(60).collect()])
+    whole = toxicity.differences(toxicity.train(sample), texts)
+    monkeypatch.setattr(toxicity, "MAX_NODES", 300)
+    model = toxicity.train(sample)
+    assert model["nodes"].shards > 3
+    assert toxicity.differences(model, texts) == pytest.approx(whole, rel=1e-12) and len(set(whole)) > 10
 
 
 def test_toxicity_on_held_out_labels(spark):

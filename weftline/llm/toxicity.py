@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Tokens are lower-cased runs of letters, digits and non-ASCII characters. A token is a chain of pieces: its first 4
-bytes, then up to byte 6, up to byte 8, and the rest; a piece's context is the beginning of the token before it, so
+Tokens are lower-cased runs of letters, digits and non-ASCII characters. A token is a chain of pieces: its first 5
+bytes, then up to byte 7, up to byte 9, and the rest; a piece's context is the beginning of the token before it, so
 inflected and compounded forms share evidence. For each class c the interpolated Kneser-Ney probability is
 
     P_c(piece | context) = (n_c - D(n_c) + r_c(context) * P(piece)) / n_c(context)
@@ -14,8 +14,10 @@ counts do. Toxic texts are ordinary ones with some toxic expressions: their mode
 score is a rising logistic function of their difference, fitted on labelled rows that were not counted.
 
 Training: about `SAMPLE_TOXIC` and `SAMPLE_PLAIN` labelled documents, chosen by a hash of their id. Nodes at or below
-the cutoff have the value of unseen ones and are not kept; the cutoff starts at `CUTOFF` and doubles until no more than
-`MAX_NODES` are left, so the broadcast model is bounded in bytes, however long or often repeated the sampled texts are.
+the cutoff have the value of unseen ones and are not kept. Up to `MAX_NODES` nodes are broadcast; where the sampled texts are so
+long that more are left, all of them are written to the shared folder as sorted arrays, in shards of about that many,
+which the workers map into memory: the same values, by another way. Cutoff, share of expressions and bounds of pieces were
+chosen on rows of remainders 1 to 4 only, each held out in turn (tests/llm/choose_toxicity.py).
 Rows whose crc32(doc_id) mod 5 is 0 are never used; of the others, remainder 4 calibrates and the rest are counted. All
 else covers every document in one scan without a shuffle.
 
@@ -34,16 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import stage
+from weftline.llm import files
+from weftline.llm.staging import fresh_path, stage
 from weftline.llm.words import IS_TOKEN, hash_prefixes, hash_words, mix, split_words, text_buffers
 from weftline.session import ship
 
 SAMPLE_TOXIC, SAMPLE_PLAIN = 1500, 6000
-#: Counts up to this one tell nothing by themselves; nodes of the model at most (12 bytes each).
+#: Counts up to this one tell nothing by themselves; nodes of a broadcast model at most (16 bytes each).
 CUTOFF, MAX_NODES = 2, 2_000_000
 #: The part of a toxic text's tokens that are toxic expressions.
 EPSILON = 0.02
-_CUTS = (4, 6, 8)
+_CUTS = (5, 7, 9)
 _HIGHEST = 50.0
 
 
@@ -108,8 +111,57 @@ def _counts_of(values: DataFrame) -> dict[int, int]:
     return {r["n"]: r["count"] for r in values.where("n BETWEEN 1 AND 4").groupBy("n").count().collect()}
 
 
-def train(sample: DataFrame) -> dict[str, np.ndarray] | None:
-    """Sorted hash arrays of log-likelihood ratios from rows (text, toxic): of each node, and of its unseen children."""
+class Ratios:
+    """Log-likelihood ratios by hash, in one sorted array or in sorted shards of the shared folder."""
+
+    def __init__(self, keys: np.ndarray | None = None, values: np.ndarray | None = None, folder: str = "", shards: int = 0):
+        self.folder, self.shards, self.keys, self.values = folder, shards, keys, values
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are there, and the ratios of those."""
+        if not self.shards:
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            there = self.keys[place] == wanted
+            return there, self.values[place[there]]
+        there, value = np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        shard = (wanted >> np.uint64(33)) % np.uint64(self.shards)
+        for n in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == n)
+            keys = files.load(self.folder, f"keys-{n}")
+            place = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
+            found = keys[place] == wanted[own]
+            there[own[found]] = True
+            value[own[found]] = files.load(self.folder, f"values-{n}")[place[found]]
+        return there, value[there]
+
+
+def _stored(rows: DataFrame, name: str) -> Ratios:
+    """`Ratios` of rows (key, llr), at least one."""
+    n = rows.count()
+    if n <= MAX_NODES:
+        held = rows.toPandas()
+        keys = held["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return Ratios(keys[order], held["llr"].to_numpy(np.float64)[order])
+    # One more than is asked for, and an array for each, whatever its keys: the last key is beyond all hashes that are looked up.
+    shards, folder = -(-n // MAX_NODES), fresh_path(rows.sparkSession, name)
+    end = np.array([np.iinfo(np.uint64).max])
+
+    def write(key, table):
+        keys = table["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        files.save(folder, f"keys-{key[0].as_py()}", np.append(keys[order], end))
+        files.save(folder, f"values-{key[0].as_py()}", np.append(table["llr"].to_numpy()[order], 0.0))
+        return pa.table({"n": pa.array([table.num_rows])})
+
+    every = rows.sparkSession.range(shards).select(F.col("id").alias("shard"), F.lit(-1).cast("long").alias("key"), F.lit(0.0).alias("llr"))
+    dealt = rows.select(F.pmod(F.shiftrightunsigned("key", 33), F.lit(shards)).cast("long").alias("shard"), "key", "llr").unionAll(every)
+    dealt.groupBy("shard").applyInArrow(write, "n long").agg(F.sum("n")).first()
+    return Ratios(folder=folder, shards=shards)
+
+
+def train(sample: DataFrame) -> dict[str, Ratios] | None:
+    """Log-likelihood ratios from rows (text, toxic): of each node, and of its unseen children."""
     nodes = sample.mapInArrow(_count, "level int, parent long, node long, piece long, toxic long, plain long")
     nodes = stage(nodes.groupBy("level", "parent", "node", "piece").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "nodes")
     most = _discounts(_counts_of(nodes.select(F.explode(F.array("toxic", "plain")).alias("n"))))[3]
@@ -119,33 +171,22 @@ def train(sample: DataFrame) -> dict[str, np.ndarray] | None:
     levels = pieces.groupBy("level").agg(F.sum("n").alias("all"), (F.sum(taken) / (F.count("*") + 1)).alias("spread"))
     pieces = pieces.join(F.broadcast(levels), "level").select("level", "piece", ((F.col("n") - taken + F.col("spread")) / F.col("all")).alias("low"))
 
-    cutoff = CUTOFF
-    while nodes.where(F.greatest("toxic", "plain") > cutoff).count() > MAX_NODES:
-        cutoff *= 2
-    cut = lambda c: F.when(F.col(c) <= cutoff, F.col(c)).otherwise(most)
+    cut = lambda c: F.when(F.col(c) <= CUTOFF, F.col(c)).otherwise(most)
     sums = [f(c) for c in ("toxic", "plain") for f in (lambda c: F.sum(c).alias(f"{c}_n"), lambda c: F.sum(cut(c)).alias(f"{c}_r"))]
     parents = nodes.groupBy("level", "parent").agg(*sums, F.max(F.greatest("toxic", "plain")).alias("most"))
-    kept = parents.where(F.col("most") > cutoff)
+    kept = parents.where(F.col("most") > CUTOFF)
     spare = lambda c: F.coalesce(F.try_divide(f"{c}_r", f"{c}_n"), F.lit(1.0))
     likelihood = lambda c: F.coalesce(F.try_divide(F.col(c) - cut(c), f"{c}_n"), F.lit(0.0)) + spare(c) * F.col("low")
     ratio = F.log(likelihood("toxic")) - F.log(likelihood("plain"))
-    seen = nodes.where(F.greatest("toxic", "plain") > cutoff).join(kept, ["level", "parent"]).join(pieces, ["level", "piece"])
-    seen = seen.select("node", ratio.alias("llr")).toPandas()
-    unseen = kept.select("parent", (F.log(spare("toxic")) - F.log(spare("plain"))).alias("llr")).toPandas()
-    model = {}
-    for name, keys, value in (("nodes", seen["node"], seen["llr"]), ("parents", unseen["parent"], unseen["llr"])):
-        keys = keys.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        model[name], model[f"{name}_llr"] = keys[order], value.to_numpy(np.float64)[order]
-    return model if len(model["nodes"]) else None
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return place, keys[place] == wanted
+    seen = nodes.where(F.greatest("toxic", "plain") > CUTOFF).join(kept, ["level", "parent"]).join(pieces, ["level", "piece"])
+    seen = stage(seen.select(F.col("node").alias("key"), ratio.alias("llr")), "seen")
+    if seen.isEmpty():
+        return None
+    unseen = kept.select(F.col("parent").alias("key"), (F.log(spare("toxic")) - F.log(spare("plain"))).alias("llr"))
+    return {"nodes": _stored(seen, "seen"), "parents": _stored(stage(unseen, "unseen"), "unseen")}
 
 
-def differences(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
+def differences(model: dict[str, Ratios], column: pa.Array) -> np.ndarray:
     """Of each text: how much more likely the toxic model finds it than the ordinary one, in logarithms per token."""
     found = [np.zeros(0)]
     for chain, _, counts in _tokens(column):
@@ -155,10 +196,10 @@ def differences(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
         left, parent = np.arange(len(kinds)), np.zeros(len(kinds), np.uint64)
         for h in chain:
             own = h[first[left]]
-            at, there = _find(model["nodes"], own)
-            value[left[there]] += model["nodes_llr"][at[there]]
-            at, known = _find(model["parents"], parent[~there])
-            value[left[~there]] += np.where(known, model["parents_llr"][at], 0)
+            there, ratio = model["nodes"].find(own)
+            value[left[there]] += ratio
+            known, ratio = model["parents"].find(parent[~there])
+            value[left[~there][known]] += ratio
             # What follows a node that is not kept is as likely in both models.
             left, parent = left[there], own[there]
         mixed = np.log1p(EPSILON * np.expm1(np.minimum(value, _HIGHEST)))
