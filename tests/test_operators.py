@@ -7,13 +7,16 @@ import hashlib
 import random
 import re
 import time
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import judge, similarity, text, toolcalls
-from weftline.operators import blocks, datasets, graphs, lifecycle, linting, scoring, selection, validators
+from weftline.operators import blocks, dashboard, datasets, graphs, lifecycle, linting, runs, scoring, selection, validators
 from weftline.plans import registry
+from weftline.session import table
 from weftline.sources import readers, sinks
 from weftline.streaming import events
 
@@ -147,10 +150,72 @@ def test_scrub(spark, raw, clean):
 
 
 def test_links(spark):
-    html = '<a href="/a">1</a><A class=x href="b#f">2</A><a href="https://x.org/c">3</a><a href="mailto:q">4</a><a href="/a">5</a>'
-    df = spark.createDataFrame([(html, "http://h.org/d/e")], "h string, u string")
-    got = df.select(text.html_links(F.col("h"), F.col("u"))).first()[0]
-    assert got == ["http://h.org/a", "http://h.org/d/b", "https://x.org/c"]
+    html = """<a href="/a">1</a><A class=x href='b?q'>2</A><a href="b#f">3</a><a href=/bare>4</a><a href="https://x.org:443/c">5</a><a href="mailto:q">6</a><a href="/a">7</a><abbr href="/n">"""
+    df = spark.createDataFrame([(html, "http://h.org/d/e"), (None, "http://h.org/")], "h string, u string")
+    got = [r[0] for r in df.select(text.html_links(F.col("h"), F.col("u"))).collect()]
+    assert got == [["http://h.org/a", "http://h.org/d/b?q", "https://x.org/c"], []]
+
+
+def test_links_of_all_pages(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    got = {r.page_id: r.l for r in pages.select("page_id", text.html_links(F.col("html"), F.col("url")).alias("l")).collect()}
+    rule = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)["']""", re.I)
+    n = 0
+    for r in pages.collect():
+        want = [urljoin(r.url.split("#")[0], x) for x in rule.findall(r.html or "")]
+        assert got[r.page_id] == list(dict.fromkeys(x for x in want if x.startswith("http")))
+        n += len(want)
+    assert n > 1000
+
+
+class PlainText(HTMLParser):
+    """The text of a page by a parser, by the same rules."""
+
+    SKIPPED, BLOCKS = ("script", "style", "nav", "footer", "head"), ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "section", "article")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.inside = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.SKIPPED:
+            self.inside.append(tag)
+        elif tag == "br" and not self.inside:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            self.inside = self.inside[: self.inside.index(tag)]
+        elif tag in self.BLOCKS and not self.inside:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.out.append(data)
+
+
+def test_text_of_all_pages(spark):
+    """Every page of the table against a parser; runs of blanks count as one."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    words = lambda t: [" ".join(x.split()) for x in t.split("\n") if x.strip()]
+    for r in pages.select("html", text.html_text(F.col("html")).alias("t")).collect():
+        parser = PlainText()
+        parser.feed(r.html or "")
+        parser.close()
+        assert words(r.t) == words("".join(parser.out))
+
+
+def test_changes_of_one_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1), (2, None, 1)], "k int, v string, at int")
+    assert sorted(map(tuple, runs.upsert(rows, changes, "k", "at").collect())) == [(1, "x"), (2, "b"), (3, "z")]
+    with pytest.raises(Exception, match="several changes of the key 1"):
+        runs.upsert(rows, changes, "k").collect()
+
+
+def test_null_snapshots_change_once(spark):
+    df = spark.createDataFrame([("k", 0, None), ("k", 1, None), ("k", 2, "a"), ("k", 3, None)], "key string, at int, s string")
+    assert sorted(r.at for r in dashboard.changed_only(df, "key", "at", "s").collect()) == [0, 2, 3]
 
 
 def test_graph_cleaning_and_layers(spark):
@@ -327,7 +392,8 @@ def test_links_resolve_like_urls(spark, link):
     want = urldefrag(urljoin(base, link))[0].replace("H.org", "h.org")
     want += "/" if want.count("/") == 2 else ""
     df = spark.createDataFrame([(f"<A class=x href='{link}'>t</a><a href=mailto:x@y>m</a><a href=\"#top\">n</a>", base)], "h string, u string")
-    assert df.select(text.html_links(F.col("h"), F.col("u"))).first()[0] == [want]
+    assert df.select(text.html_links(F.col("h"), F.col("u"))).first()[0] == ([] if "#" in link else [want])
+    assert df.select(text.resolve_link(F.lit(link), F.col("u"))).first()[0] == want
 
 
 @pytest.mark.parametrize(

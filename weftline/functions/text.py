@@ -40,6 +40,7 @@ def looks_like_system_prompt(text: Column) -> Column:
 
 def scrub(text: Column, names: tuple[str, ...] = ()) -> Column:
     """Unwraps Markdown emphasis and code, redacts known names and snake_case identifiers, collapses blanks."""
+    # Fixed patterns: what counts as emphasis and code.
     for pattern in (r"\*\*([^*]+?)\*\*", r"\b_([^_]+?)_\b", r"(?<!\*)\*([^*]+?)\*(?!\*)", r"`([^`]+?)`"):
         text = F.regexp_replace(text, pattern, "$1")
     for name in sorted({n for n in names if n}, key=lambda n: (-len(n), n)):
@@ -77,12 +78,17 @@ def truncate(text: Column, limit: int = 50_000, marker: str = "\n\n[truncated]")
 
 
 def html_title(html: Column) -> Column:
+    """The first title's text with single blanks; empty where there is none."""
+    # Fixed pattern: what counts as a title.
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     return F.trim(F.regexp_replace(title, r"\s+", " "))
 
 
 def html_text(html: Column) -> Column:
-    """Text without scripts, styles, navigation, footers and images; block elements end lines."""
+    """Text without scripts, styles, navigation, footers and images; block elements end lines.
+
+    An element that is left out ends at the first closing tag of its name; of character references the six below are resolved.
+    """
     for tag in ("script", "style", "nav", "footer", "head"):
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
@@ -126,11 +132,14 @@ def resolve_link(link: Column, base: Column) -> Column:
 
 
 def html_links(html: Column, base: Column) -> Column:
-    """Distinct absolute http(s) links of the anchors' attributes, without fragments, resolved against the page's address."""
-    anchors = F.regexp_extract_all(html, F.lit(r"(?i)<a(\s[^>]*)>"), F.lit(1))
-    attribute = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = lambda x: F.concat(*[F.regexp_extract(x, attribute, i) for i in (1, 2, 3)])
-    found = F.filter(F.transform(anchors, value), lambda x: (x != "") & ~x.startswith("#"))
+    """Distinct absolute http(s) links of the anchors, without fragments, resolved against the page's address, in order.
+
+    Links count in quotes only, and only without a `#`; null html has none.
+    """
+    anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\b([^>]*)>"), F.lit(1))
+    # Fixed pattern: how a link has to be written.
+    value = lambda x: F.regexp_extract(x, r"""(?i)\bhref\s*=\s*["']([^"'#]+)["']""", 1)
+    found = F.filter(F.transform(anchors, value), lambda x: x != "")
     return F.array_distinct(F.filter(F.transform(found, lambda x: resolve_link(x, base)), F.isnotnull))
 
 

@@ -44,11 +44,11 @@ def histogram(rows: DataFrame, value: Column, digits: int = 1) -> DataFrame:
 
 
 def changed_only(snapshots: DataFrame, key: str, order: str, signature: str) -> DataFrame:
-    """Rows whose signature differs from the one before of the same key."""
+    """Rows whose signature differs from the one before of the same key; the first of a key always. Null is a signature like any other."""
     from pyspark.sql import Window as W
 
-    before = F.lag(signature).over(W.partitionBy(key).orderBy(order))
-    return snapshots.withColumn("__before", before).where(~F.col(signature).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).drop("__before")
+    before = F.lag(F.struct(signature)).over(W.partitionBy(key).orderBy(order))
+    return snapshots.withColumn("__before", before).where(F.col("__before").isNull() | ~F.col(signature).eqNullSafe(F.col(f"__before.{signature}"))).drop("__before")
 
 
 def since_latest(events: DataFrame, key: str, ts: str, anchor: Column) -> DataFrame:

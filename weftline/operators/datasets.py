@@ -52,9 +52,9 @@ def chat_lines(messages: DataFrame) -> DataFrame:
 
 
 def write_chat_lines(messages: DataFrame, path: str, order: str = "conversation_id") -> DataFrame:
-    """Writes `chat_lines` as text in order and returns one row (rows, bytes, checksum over all lines' checksums)."""
-    lines = chat_lines(messages)
-    lines.orderBy(order).select("line").write.text(path)
+    """Writes `chat_lines` as text in order and returns one row (rows, bytes, checksum over all lines' checksums), summed from what was written."""
+    chat_lines(messages).orderBy(order).select("line").write.text(path)
+    lines = messages.sparkSession.read.text(path).withColumnRenamed("value", "line")
     summed = lines.select(F.octet_length("line").alias("size"), F.conv(F.substring(F.sha2("line", 256), 1, 15), 16, 10).cast("decimal(38,0)").alias("sum"))
     return summed.agg(F.count("*").alias("rows"), F.sum(F.col("size") + 1).alias("bytes"), F.sum("sum").alias("checksum"))
 

@@ -101,8 +101,19 @@ def restart(jobs: DataFrame, job_ids: DataFrame | None = None, zero_attempts: bo
     return named.withColumns(changes).drop("again")
 
 
-def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows with changes by key: a null in a change keeps what was there; unknown keys are added."""
+def upsert(rows: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows with changes by key: a null in a change keeps what was there; unknown keys are added.
+
+    Of several changes of a key the last by the column `order` counts, nulls first; without an order they are an error.
+    """
+    place = W.partitionBy(key)
+    if order is None:
+        several = F.count("*").over(place) > 1
+        told = F.when(several, F.raise_error(F.concat(F.lit("several changes of the key "), F.col(key).cast("string")))).otherwise(F.lit(1))
+        changes = changes.withColumn("__one", told.cast("int")).where("__one = 1").drop("__one")
+    else:
+        last = F.row_number().over(place.orderBy(F.col(order).desc_nulls_last()))
+        changes = changes.withColumn("__last", last).where("__last = 1").drop("__last")
     columns = [c for c in rows.columns if c != key]
     joined = rows.alias("r").join(changes.alias("c"), key, "full")
     return joined.select(key, *[F.coalesce(F.col(f"c.{c}"), F.col(f"r.{c}")).alias(c) if c in changes.columns else F.col(f"r.{c}") for c in columns])
