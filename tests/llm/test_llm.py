@@ -128,6 +128,27 @@ def test_stages_with_clashing_columns(spark, sf_dir, step):
     assert len(found) >= 6 and run(spark, df.limit(0), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("step", [mixing.mix, quality.measure, quality.judge])
+def test_kept_columns_of_any_name(odd, step):
+    """Names of the operators' own columns, inner ones and results."""
+    names = ("order", "range", "n", "w", "h", "size", "kept", "note")
+    rows = odd.drop("size").withColumns({c: F.lit(f"own {c}") for c in names})
+    plain, got = step(rows), step(rows, keep=names)
+    assert [c for c in got.columns if c not in names or c in plain.columns] == plain.columns and got.count() == len(ODD)
+    for c in set(names) - set(plain.columns):
+        assert got.where(F.col(c) != f"own {c}").count() == 0
+    assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_models_that_are_not_byte_pair_are_refused(monkeypatch):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor
+    monkeypatch.setattr(own, "get_score", lambda self, i: -1.5 * i)
+    with pytest.raises(ValueError, match="byte-pair"):
+        pieces.Pieces(pieces.MODEL)
+
+
 def test_mix_of_odd_rows(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r.copies == 0 for r in rows if r.size == 0)

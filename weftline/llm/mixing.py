@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
-from weftline.llm.text import whole, word_count
+from weftline.llm.text import packed, unpacked, whole, word_count
 from weftline.session import ship
 
 RANGE_ROWS = 20_000
@@ -129,6 +129,10 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(rounds=rounds, picked=picked)[["source", "size", "source_size", "target", "rounds", "picked"]]
 
 
+#: Names of `mix`'s own columns.
+OWN = {"doc_id", "source", "size", "source_size", "target", "copies", "order", "range", "n", "rounds", "first", "picked", "before"}
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -141,8 +145,11 @@ def mix(
     """Rows (doc_id, *keep, source, size, source_size, target, copies), one for each row of `docs`.
 
     `weights` repeat over the sources in code-point order; targets add up to `share` times all sizes. `copies` says
-    how often the mix takes the document.
+    how often the mix takes the document. Kept columns may have any names; one with the name of a result is left out.
     """
+    if set(keep) & OWN:
+        options = {"weights": weights, "share": share, "cap": cap, "seed": seed}
+        return unpacked(mix(packed(docs, keep), keep=("__kept",), **options), keep)
     ship(docs.sparkSession)
     sized = docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
     sized = stage(sized, "sizes")

@@ -50,6 +50,8 @@ class Pieces:
         plain = [not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i)) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(names) if plain[i]}
         self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        if any(x != int(x) for x in self.scores.values()):
+            raise ValueError("the scores of the pieces are no ranks: this is no byte-pair model")
         self.longest = max(map(len, self.ids))
         if any(_BLANK in p.lstrip(_BLANK) for p in self.ids):
             raise ValueError("a piece holds a blank after a letter")

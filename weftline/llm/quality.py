@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.staging import stage
-from weftline.llm.text import whole, words
+from weftline.llm.text import packed, unpacked, whole, words
 
 LANGUAGES = ("en", "de", "fr", "es")
 MIN_CHARS, MIN_WORDS = 200, 100
@@ -52,8 +52,21 @@ def _covered(places: Column) -> Column:
     return F.size(F.array_distinct(F.concat(places, F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p + 2))))
 
 
+#: Names of the operator's own columns.
+OWN = {
+    "doc_id", "lang", "text", "w", "n_words", "word_chars", "n_symbols", "n_chars", "n_dup_lines", "n_repeat_words", "upper", "digits", "points", "wide", "lines", "h", "b", "s",
+    "places", "listed", "classes", "common", "language", "classes_ref", "common_ref", "classes_unit", "common_unit", "classes_ref_unit", "common_ref_unit", "class_distance",
+    "word_distance", "base_failed", "kept",
+}
+
+
 def measure(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, *keep, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common)."""
+    """Rows (doc_id, *keep, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common).
+
+    Kept columns may have any names; one with the name of a result is left out.
+    """
+    if set(keep) & OWN:
+        return unpacked(measure(packed(docs, keep), keep=("__kept",)), keep)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", *keep, "lang", text.alias("text"), words(text).alias("w"))
     # Generators hold what lies below them fixed: each array is made once, not once per use.
@@ -119,6 +132,8 @@ def distance(own: str, ref: str) -> Column:
 
 def judge(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """`measure`'s rows with base_failed, the two distances and kept."""
+    if set(keep) & OWN:
+        return unpacked(judge(packed(docs, keep), keep=("__kept",)), keep)
     measured = stage(measure(docs, keep=keep), "measured")
     listed = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("other")
     measured = measured.withColumn("language", listed)

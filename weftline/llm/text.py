@@ -26,3 +26,14 @@ def word_count(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words in order; an empty array for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), "")
+
+
+def packed(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """`df` with the columns to keep as one, `__kept`, for operators whose own columns have some of their names."""
+    return df.withColumn("__kept", F.struct(*[F.col(f"`{c}`") for c in keep]))
+
+
+def unpacked(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """`df` with the kept columns behind its first one; where a result has the name of one, the result stays."""
+    first, *rest = [c for c in df.columns if c != "__kept"]
+    return df.select(first, *[F.col(f"__kept.`{c}`").alias(c) for c in keep if c not in (first, *rest)], *rest)
