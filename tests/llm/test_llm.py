@@ -741,6 +741,19 @@ def test_language_model_of_odd_rows(odd):
 # pipeline
 
 
+def test_stages_remove_what_earlier_ones_left(spark, sf_dir):
+    """By the time a stage begins, its input has been written; the result of the last can be read until `close`."""
+    import corpus_pipeline
+
+    with staging.collecting(spark) as made:
+        rows = corpus_pipeline.run(spark, sf_dir)
+    there = lambda: [p for p in made if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    n, left = rows.count(), there()
+    assert n and len(left) < len(made) / 2 and not any("/shingles-" in p for p in left)
+    corpus_pipeline.close(spark)
+    assert there() == []
+
+
 def test_pipeline(spark, sf_dir, duck):
     """Each stage against plain Python or SQL over what the stage before it kept."""
     import corpus_pipeline

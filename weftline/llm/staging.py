@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(spark.sparkContext, "_weftline_collecting", []):
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def collecting(spark: SparkSession) -> Iterator[list[str]]:
+    """Lists the paths that operators called inside make, so that they can be removed when their results have been written."""
+    paths: list[str] = []
+    context = spark.sparkContext
+    context._weftline_collecting = [*getattr(context, "_weftline_collecting", []), paths]
+    try:
+        yield paths
+    finally:
+        context._weftline_collecting = [x for x in context._weftline_collecting if x is not paths]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of the shared folder; those that are gone already do not matter. Empties the list."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
