@@ -322,11 +322,11 @@ def tool_call_metrics(spark, sf):
     return scoring.call_metrics(calls)
 
 
-# A predicted call's arguments count as broken JSON where their number is divisible by three; the name XX is in no
-# library; every fifth row is out of context.
+# A predicted call's arguments are JSON that lacks its last brace where their number is divisible by three; the name XX is in
+# no library; every fifth row is out of context.
 _EVAL = """
 WITH e AS (SELECT row, turn, list(name) AS names, count(*) AS n FROM {expected} x GROUP BY 1, 2),
-p AS (SELECT row, turn, list(name) AS names, count(*) AS n, count(*) FILTER (WHERE CAST(arguments AS BIGINT) % 3 <> 0) AS jv, count(*) FILTER (WHERE name = 'XX') AS h FROM {predicted} y GROUP BY 1, 2),
+p AS (SELECT row, turn, list(name) AS names, count(*) AS n, count(*) FILTER (WHERE json_valid('{"n": ' || arguments || CASE WHEN CAST(arguments AS BIGINT) % 3 = 0 THEN '' ELSE '}' END)) AS jv, count(*) FILTER (WHERE name = 'XX') AS h FROM {predicted} y GROUP BY 1, 2),
 t AS (SELECT coalesce(e.row, p.row) AS row, coalesce(e.names, []) AS ref_names, coalesce(p.names, []) AS model_names,
   coalesce(e.n, 0) AS ref_count, coalesce(p.n, 0) AS model_count, coalesce(jv, 0) AS jv, coalesce(h, 0) AS h FROM e FULL JOIN p USING (row, turn)),
 b AS (SELECT *, len(list_intersect(ref_names, model_names)) AS common, ref_count > 0 AND model_count > 0 AS both_sides, row % 5 = 0 AS outside FROM t),
@@ -347,10 +347,11 @@ SELECT p AS tool_call_precision, c AS tool_call_recall, round(2 * p * c / (p + c
 def evaluator_metrics(spark, sf):
     side = lambda n: inputs(spark, sf, n).select("row", "turn", "name", "arguments", F.lit(n == "predicted").alias("model"))
     model = F.col("model")
+    said = F.concat(F.lit('{"n": '), "arguments", F.when(F.col("arguments").cast("long") % 3 == 0, "").otherwise("}"))
     turns = side("expected").unionByName(side("predicted")).groupBy("row", "turn").agg(
         F.collect_list(F.when(~model, F.col("name"))).alias("ref_names"), F.collect_list(F.when(model, F.col("name"))).alias("model_names"),
         F.count_if(~model).alias("ref_count"), F.count_if(model).alias("model_count"),
-        F.count_if(model & (F.col("arguments").cast("long") % 3 != 0)).alias("json_valid"), F.count_if(model & (F.col("name") == "XX")).alias("hallucinated"),
+        F.count_if(model & F.try_parse_json(said).isNotNull()).alias("json_valid"), F.count_if(model & (F.col("name") == "XX")).alias("hallucinated"),
     )
     a, b = F.col("ref_count"), F.col("model_count")
     turns = turns.withColumns({

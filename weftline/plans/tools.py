@@ -26,28 +26,29 @@ def _int(column):
 
 # --- arguments of calls ----------------------------------------------------------------------------------------------
 
-_EXPECTED = '{"n": %d, "flag": "%s", "list": [1, %d], "only": true}'
-_PREDICTED = '{"n": %d, "flag": "%s%s", "list": [1, %d, 3], "other": null}'
+# Of every line, arguments of its columns against others of other columns: a number, a string, an object, and one that may lack.
+_LETTER = "CASE l_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'R' ELSE 'N' END"
+_SIDES = f"""SELECT {_AT}, l_quantity = l_partkey % 50 AS q, upper(l_returnflag) = upper({_LETTER}) AS f, l_returnflag = {_LETTER} AS same_f, l_linenumber = l_suppkey % 7 AS a,
+  l_partkey % 3 > 0 AS s, l_suppkey % 4 > 0 AS other FROM {{lineitem}}"""
 
 
 def _argument_pairs(spark, sf):
-    k = F.col("l_linenumber") % 4
-    expected = F.format_string(_EXPECTED, _int("l_linenumber"), F.col("l_returnflag"), (_int("l_suppkey") % 2).cast("int"))
-    predicted = F.format_string(_PREDICTED, (_int("l_partkey") % 7).cast("int"), F.lower("l_returnflag"), F.col("l_linestatus"), (_int("l_partkey") % 2).cast("int"))
-    return _lines(spark, sf, a=expected, b=F.when(k == 0, "{bad").when(k == 1, expected).when(k == 2, predicted))
+    said = lambda q, f, a, s: F.to_json(F.struct(q.cast("double").alias("q"), f.alias("f"), F.struct(a.cast("int").alias("a"), F.col("l_tax").alias("b")).alias("d"), s.alias("s")))
+    part, supp, status = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linestatus")
+    expected = said(F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linenumber"), F.when(part % 3 > 0, status))
+    predicted = said(part % 50, F.expr(_LETTER), supp % 7, F.when(supp % 4 > 0, status))
+    return _lines(spark, sf, a=expected, b=predicted)
 
 
 @query(f"""
-SELECT {_AT}, CASE l_linenumber % 4 WHEN 1 THEN 1.0 WHEN 2 THEN (CASE WHEN l_linenumber = l_partkey % 7 THEN 1 ELSE 0 END + 2.0 / 3
-  + (1 + CASE WHEN l_suppkey % 2 = l_partkey % 2 THEN 1 ELSE 0 END) / 3.0) / 5 ELSE 0.0 END AS similarity FROM {{lineitem}}""")
+SELECT {_AT}, (CAST(q AS INT) + CAST(f AS INT) + (1 + CAST(a AS INT)) / 2.0 + CAST(s AND other AS INT)) / (3 + CAST(s OR other AS INT)) AS similarity FROM ({_SIDES})""")
 def argument_similarities(spark, sf):
-    """Half of the strings' letters are equal; of five keys three are on both sides."""
+    """Strings of one letter are as similar as they are equal, in either case."""
     return _argument_pairs(spark, sf).select(*_KEYS, similarity.argument_similarity("a", "b").alias("similarity"))
 
 
 @query(f"""
-SELECT {_AT}, c AS correct, CAST(4 AS BIGINT) AS total, c / 4 AS accuracy FROM (SELECT *, CAST(CASE l_linenumber % 4 WHEN 1 THEN 4
-  WHEN 2 THEN CASE WHEN l_linenumber = l_partkey % 7 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS c FROM {{lineitem}})""")
+SELECT {_AT}, c AS correct, t AS total, c / t AS accuracy FROM (SELECT *, CAST(CAST(q AS INT) + CAST(same_f AS INT) + CAST(a AS INT) + CAST(s AND other AS INT) AS BIGINT) AS c, CAST(3 + CAST(s AS INT) AS BIGINT) AS t FROM ({_SIDES}))""")
 def argument_accuracies(spark, sf):
     return _argument_pairs(spark, sf).select(*_KEYS, similarity.parameter_accuracy("a", "b").alias("r")).select(*_KEYS, "r.*")
 
