@@ -22,6 +22,55 @@ def clean_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return first, kept.select("source", "target", *[c for c in edges.columns if c not in ("source", "target")])
 
 
+# What a node of a flow may be.
+KINDS = ("start", "intent", "action", "condition", "end")
+
+
+def coerced(documents: DataFrame, tools: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and warnings of flow graphs from their JSON texts (graph_id, document), whatever is in them.
+
+    Nodes (graph_id, place, id, kind, tools): of a JSON object's `nodes`, in order, the objects with a text as id and a kind of `KINDS`; of an id
+    the first; starts behind the first become intents; of an action's toolIds those that `tools` (tool_id) has, all without it. Edges
+    (graph_id, place, id, source, target, label): those with both ends among the nodes; without an id it is e and the number from 1, and an id
+    that an earlier edge has gets its number behind `_`. Warnings (graph_id, warning, subject, n): invalid_node, duplicate_node, unknown_tools,
+    several_starts, dangling_edge; errors, of which graphs have no nodes and edges: not_an_object, no_start. Entries that are no objects
+    go without a word. One join for each check; no graph is gathered in a row.
+    """
+    parsed = documents.select("graph_id", F.try_parse_json("document").alias("v"))
+    text = lambda path, c="n": F.when(F.schema_of_variant(F.try_variant_get(c, path, "variant")) == "STRING", F.try_variant_get(c, path, "string"))
+    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    listed = lambda field: parsed.where(whole).select("graph_id", F.posexplode(F.try_variant_get("v", f"$.{field}", "array<variant>")).alias("place", "n")).where(F.coalesce(F.schema_of_variant("n").startswith("OBJECT"), F.lit(False)))
+    asked = F.transform(F.coalesce(F.try_variant_get("n", "$.data.toolIds", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$", "string"))
+    read = listed("nodes").select("graph_id", "place", text("$.id").alias("id"), text("$.type").alias("kind"), asked.alias("asked"))
+    read = cut(read.withColumn("sound", (F.coalesce("id", F.lit("")) != "") & F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))))
+    sound = read.where("sound").withColumn("nth", F.row_number().over(W.partitionBy("graph_id", "id").orderBy("place")))
+    kept = sound.where("nth = 1")
+    starts = kept.where("kind = 'start'").groupBy("graph_id").agg(F.min("place").alias("first"), F.count("*").alias("starts"))
+    nodes = cut(kept.join(starts, "graph_id").withColumn("kind", F.when((F.col("kind") == "start") & (F.col("place") > F.col("first")), "intent").otherwise(F.col("kind"))))
+    action = nodes.where("kind = 'action'").select("graph_id", "place", "id", F.posexplode("asked").alias("at", "tool_id"))
+    known = action.where("tool_id IS NOT NULL") if tools is None else action.join(tools.select("tool_id").distinct(), "tool_id", "left_semi")
+    used = known.groupBy("graph_id", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tool_id"))), lambda x: x["tool_id"]).alias("tools"))
+    ids = nodes.select("graph_id", "id")
+    ends = cut(listed("edges").select("graph_id", "place", text("$.id").alias("id"), text("$.source").alias("source"), text("$.target").alias("target"), text("$.label").alias("label")).join(starts.select("graph_id"), "graph_id", "left_semi"))
+    there = lambda end: ids.select("graph_id", F.col("id").alias(end))
+    edges = ends.join(there("source"), ["graph_id", "source"], "left_semi").join(there("target"), ["graph_id", "target"], "left_semi")
+    named = edges.withColumn("id", F.when(F.coalesce("id", F.lit("")) == "", F.concat(F.lit("e"), (F.col("place") + 1).cast("string"))).otherwise(F.col("id")))
+    again = F.row_number().over(W.partitionBy("graph_id", "id").orderBy("place")) > 1
+    named = named.withColumn("id", F.when(again, F.concat_ws("_", "id", (F.col("place") + 1).cast("string"))).otherwise(F.col("id")))
+    rows = lambda df, name, subject, n=F.lit(1): df.select("graph_id", F.lit(name).alias("warning"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
+    lost = action.join(known.select("graph_id", "place", "at"), ["graph_id", "place", "at"], "left_anti").groupBy("graph_id", "id").agg(F.count("*").alias("lost"))
+    dangling = ends.join(edges.select("graph_id", "place"), ["graph_id", "place"], "left_anti")
+    none = F.lit(None)
+    warnings = (
+        rows(parsed.where(~whole), "not_an_object", none).unionAll(rows(parsed.where(whole).join(starts, "graph_id", "left_anti"), "no_start", none))
+        .unionAll(rows(read.where("NOT sound"), "invalid_node", F.col("id"))).unionAll(rows(sound.where("nth > 1"), "duplicate_node", F.col("id")))
+        .unionAll(rows(lost, "unknown_tools", F.col("id"), F.col("lost"))).unionAll(rows(starts.where("starts > 1"), "several_starts", none, F.col("starts")))
+        .unionAll(rows(dangling, "dangling_edge", F.concat(F.coalesce("source", F.lit("")), F.lit("→"), F.coalesce("target", F.lit("")))))
+    )
+    found = nodes.join(used, ["graph_id", "place"], "left").select("graph_id", "place", "id", "kind", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"))
+    return found, named.select("graph_id", "place", "id", "source", "target", "label"), warnings
+
+
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int | None = None) -> DataFrame:
     """Rows (id, depth) of all nodes within `max_depth` steps, each at its first; the feature's cap takes nearest first."""
     seen = roots.select("id").distinct().withColumn("depth", F.lit(0))

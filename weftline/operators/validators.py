@@ -18,9 +18,62 @@ from weftline.functions.language import LanguageModel, detect
 # Manglish particles and shortcuts that formal Malay forbids.
 PARTICLES = ["lah", "lor", "leh", "meh", "kot", "wei", "doh", "weh", "eh", "mah", "deh", "geh", "bah"]
 SHORTCUTS = ["tak", "je", "dah", "mcm", "byk", "dgn", "pd", "utk", "yg", "tu", "ni", "kt", "sbb", "skrg", "jgn", "tgk", "btw", "tq", "thx"]
+# English words that telecommunications texts in Malay may use.
+TELCO_LOANWORDS = [
+    "router", "modem", "bil", "bandwidth", "internet", "wifi", "fiber", "fibre",
+    "broadband", "hotspot", "data", "sim", "kuota", "plan", "package", "billing",
+    "portal", "login", "password", "username", "email", "sms",
+]
+# Frequent Malay words that look like English ones to a rule on letters.
+MALAY_WORDS = [
+    "saya", "anda", "kamu", "awak", "kita", "kami", "mereka", "dia", "ia",
+    "dan", "atau", "tetapi", "namun", "kerana", "sebab", "supaya", "agar",
+    "untuk", "kepada", "daripada", "dari", "pada", "dalam", "atas", "bawah",
+    "antara", "tanpa", "dengan", "oleh", "tentang", "mengenai",
+    "ini", "itu", "sini", "situ", "begitu", "begini", "demikian",
+    "yang", "adalah", "ialah", "merupakan", "akan", "sudah", "telah",
+    "sedang", "masih", "belum", "sangat", "amat", "terlalu", "lebih",
+    "kurang", "paling", "agak", "cukup", "hanya", "sahaja", "saja",
+    "juga", "pun", "lagi", "pula", "kembali", "semula",
+    "ada", "tiada", "membuat", "buat", "membantu", "bantu",
+    "menggunakan", "guna", "memberi", "beri", "menerima", "terima",
+    "menyemak", "semak", "menghantar", "hantar", "menjawab", "jawab",
+    "memohon", "mohon", "mendapat", "dapat", "berikan", "lakukan",
+    "menjadi", "jadi", "datang", "pergi", "pulang", "masuk", "keluar",
+    "naik", "turun", "buka", "tutup", "log", "selesai", "siap",
+    "selamat", "sejahtera", "kasih", "sila", "silakan",
+    "tolong", "harap",
+    "pelanggan", "akaun", "perkhidmatan", "perkara", "masalah", "soalan",
+    "jawapan", "maklumat", "butiran", "permohonan", "pertanyaan",
+    "pasukan", "syarikat", "pejabat", "kawasan",
+    "hari", "tarikh", "waktu", "masa", "minggu", "bulan", "tahun",
+    "tidak", "bukan", "mustahil", "boleh", "mungkin", "harus", "perlu",
+    "mesti", "wajib",
+    "apa", "siapa", "mana", "bila", "bagaimana", "mengapa", "kenapa",
+    "berapa", "manakah", "sekiranya", "jika", "andai",
+    "iaitu", "yakni", "umpamanya", "antaranya", "termasuk",
+]
+# The profile that new projects begin with.
+CASUAL_MALAYSIAN = {
+    "primary": "ms", "script": "latin", "policy": "intra-sentential", "rate": 0.4, "register": "colloquial", "allow_particles": True,
+    "require_formal_malay": False, "loanwords": "free", "formality": "colloquial",
+}
 MAX_CHARS = 50_000
 
 
+def is_known_malay(word: Column) -> Column:
+    """Whether a word is one of `MALAY_WORDS`, in either case; null is not."""
+    return F.coalesce(F.lower(word).isin(*MALAY_WORDS), F.lit(False))
+
+
+def loanwords(text: Column, allowed: tuple[str, ...] | list[str] = (), known: tuple[str, ...] | list[str] = MALAY_WORDS) -> Column:
+    """Words of three or more plain letters that are neither allowed nor known, in order and as often as they stand there."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-zÀ-ÿĀ-ɏ]+"), F.lit(0))
+    skip = sorted({w.lower() for w in (*allowed, *known)})
+    foreign = lambda w: w.rlike(r"^[A-Za-z]{3,}$") & (~F.lower(w).isin(*skip) if skip else F.lit(True))
+    return F.filter(tokens, foreign)
+
+
 def word_hits(text: Column, listed: list[str]) -> Column:
     """All listed words in a text, lower-cased, as often as they stand there, at word bounds."""
     words = "|".join(re.escape(w) for w in sorted({w.lower() for w in listed}))
@@ -57,9 +110,12 @@ def language_rule(detected: Column, primary: Column, policy: Column, confidence:
 
 def register_rule(
     text: Column, primary: Column, allow_particles: Column, formal: Column, banned: list[str] | None = None,
-    patterns: tuple[str, ...] = (), loanwords: Column | None = None, allowed: tuple[str, ...] = (), known: tuple[str, ...] = (),
+    patterns: tuple[str, ...] = (), policy: Column | None = None, allowed: tuple[str, ...] | list[str] = (), known: tuple[str, ...] | list[str] = MALAY_WORDS,
 ) -> Column:
-    """Banned words, banned patterns, formal spelling and loanwords; every breach is a row, no breach a pass."""
+    """Banned words, banned patterns, formal spelling and loanwords; every breach is a row, no breach a pass.
+
+    `policy` says what loanwords are: with forbid they fail, with allowlist those that are not `allowed` warn; of them the first ten are named.
+    """
     kind = ("register-compliance", "register")
     banned = PARTICLES if banned is None else banned
     rows = []
@@ -67,12 +123,10 @@ def register_rule(
         rows.append(F.when((F.size(word_hits(text, banned)) > 0) & ~allow_particles, _row(*kind, "fail", None, "banned_particles")))
     rows += [F.when(text.rlike("(?i)" + p), _row(*kind, "fail", None, "banned_pattern")) for p in patterns if _compiles(p)]
     rows.append(F.when((primary == "ms") & formal & (F.size(word_hits(text, SHORTCUTS)) > 0), _row(*kind, "fail", None, "formal_malay_shortcut")))
-    if loanwords is not None:
-        tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-zÀ-ÿĀ-ɏ]+"), F.lit(0))
-        skip = [w.lower() for w in (*allowed, *known)]
-        foreign = F.filter(tokens, lambda w: w.rlike(r"^[A-Za-z]{3,}$") & ~F.array_contains(F.array(*map(F.lit, skip or [""])), F.lower(w)))
-        asked = (primary != "en") & loanwords.isin("forbid", "allowlist") & (F.size(foreign) > 0)
-        rows.append(F.when(asked, _row(*kind, F.when(loanwords == "forbid", "fail").otherwise("warn"), None, F.concat(F.lit("english_loanwords "), F.array_join(F.slice(foreign, 1, 10), " ")))))
+    if policy is not None:
+        foreign = loanwords(text, allowed, known)
+        asked = (primary != "en") & policy.isin("forbid", "allowlist") & (F.size(foreign) > 0)
+        rows.append(F.when(asked, _row(*kind, F.when(policy == "forbid", "fail").otherwise("warn"), None, F.concat(F.lit("english_loanwords "), F.array_join(F.slice(foreign, 1, 10), " ")))))
     found = F.filter(F.array(*rows), F.isnotnull)
     return F.when(F.size(found) == 0, F.array(_row(*kind, "pass", F.lit(1.0)))).otherwise(found)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import linting, redteam, runs, schemas, scoring
+from weftline.operators import graphs, linting, redteam, runs, schemas, scoring, validators
 from weftline.plans.registry import query
 from weftline.session import table
 
@@ -254,3 +254,73 @@ def run_metrics_document(spark, sf):
         (n % 4).alias("correct"), F.lit(3).alias("total"), F.when(n % 4 == 3, 1.0).otherwise(0.5).alias("accuracy"), (0.25 * (n % 5)).alias("similarity"), (F.col("l_orderkey") % 13 == 0).alias("api_failed"),
     )
     return scoring.metrics_document(items, validations, calls, {"accuracy": 5, "tone": 4}, {"failedItems": 2, "costUsd": 0.5})
+
+
+# --- profiles --------------------------------------------------------------------------------------------------------
+
+_FOREIGN = "list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿĀ-ɏ]+'), lambda w: regexp_matches(w, '^[A-Za-z]{3,}$') AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in (*validators.TELCO_LOANWORDS, *validators.MALAY_WORDS)) + "))"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, doc_id % 3 AS k, {_FOREIGN} AS f, regexp_matches(coalesce(text, ''), '(?i)\\bth[aeiou]\\b') AS banned FROM {{documents}})
+SELECT doc_id, 'fail' AS verdict, 'banned_pattern' AS reason FROM x WHERE banned
+UNION ALL SELECT doc_id, CASE k WHEN 0 THEN 'fail' ELSE 'warn' END, 'english_loanwords ' || array_to_string(f[1:10], ' ') FROM x WHERE k < 2 AND len(f) > 0
+UNION ALL SELECT doc_id, 'pass', NULL FROM x WHERE NOT banned AND NOT (k < 2 AND len(f) > 0)""")
+def loanword_checks(spark, sf):
+    """Every document against a banned pattern and a policy on loanwords: forbidden, allowed by a list, or free."""
+    k = F.col("doc_id") % 3
+    policy = F.when(k == 0, "forbid").when(k == 1, "allowlist").otherwise("free")
+    rule = validators.register_rule(F.coalesce("text", F.lit("")), F.lit("ms"), F.lit(True), F.lit(False), banned=[], patterns=(r"\bth[aeiou]\b", "(no pattern"), policy=policy, allowed=validators.TELCO_LOANWORDS)
+    return table(spark, sf, "documents").select("doc_id", F.inline(rule)).select("doc_id", "verdict", "reason")
+
+
+# --- flow graphs -----------------------------------------------------------------------------------------------------
+
+_FLOW = """SELECT CAST(o_orderkey AS BIGINT) AS g, o_custkey % 4 AS c, o_orderkey % 11 AS e, o_orderkey % 7 AS s, o_custkey % 5 AS t FROM {orders}"""
+
+
+def _flows(spark, sf):
+    """A graph for each order: two starts, a repeated node, one of no kind, an action with tools, edges of which some lead nowhere."""
+    o = spark.sql(_FLOW.replace("{orders}", f"parquet.`{sf}/orders.parquet`"))
+    document = F.format_string(
+        '{"nodes": [{"id": "a", "type": "%s"}, 7, {"id": "n%d", "type": "intent"}, {"id": "n1", "type": "action", "data": {"toolIds": ["t%d", "t9", 3]}}, {"id": "z", "type": "start"}, {"type": "end"}],'
+        ' "edges": [{"source": "a", "target": "n1"}, {"id": "e1", "source": "a", "target": "n%d", "label": "x"}, {"id": "k", "source": "z", "target": "q"}]}',
+        F.when(F.col("s") == 0, "begin").otherwise("start"), F.col("c").cast("int"), F.col("t").cast("int"), F.col("c").cast("int"),
+    )
+    documents = o.select(F.col("g").alias("graph_id"), F.when(F.col("e") == 0, "[]").when(F.col("e") == 1, '{"nodes": 1}').otherwise(document).alias("document"))
+    return graphs.coerced(documents, spark.createDataFrame([("t1",), ("t2",), ("t9",)], "tool_id string"))
+
+
+_SOUND = f"f AS (SELECT * FROM ({_FLOW}) WHERE e > 1)"
+
+
+@query(f"""
+WITH {_SOUND}
+SELECT g AS graph_id, 0 AS place, 'a' AS id, 'start' AS kind, '' AS tools FROM f WHERE s > 0
+UNION ALL SELECT g, 2, 'n' || c, 'intent', '' FROM f
+UNION ALL SELECT g, 3, 'n1', 'action', CASE WHEN t IN (1, 2) THEN 't' || t || ',t9' ELSE 't9' END FROM f WHERE c <> 1
+UNION ALL SELECT g, 4, 'z', CASE WHEN s > 0 THEN 'intent' ELSE 'start' END, '' FROM f""")
+def flow_nodes(spark, sf):
+    return _flows(spark, sf)[0].withColumn("tools", F.array_join("tools", ","))
+
+
+@query(f"""
+WITH {_SOUND}
+SELECT g AS graph_id, 0 AS place, 'e1' AS id, 'a' AS source, 'n1' AS target, NULL AS label FROM f WHERE s > 0
+UNION ALL SELECT g, 1, 'e1_2', 'a', 'n' || c, 'x' FROM f WHERE s > 0""")
+def flow_edges(spark, sf):
+    return _flows(spark, sf)[1]
+
+
+@query(f"""
+WITH {_SOUND}, all_flows AS ({_FLOW})
+SELECT g AS graph_id, 'not_an_object' AS warning, NULL AS subject, CAST(1 AS BIGINT) AS n FROM all_flows WHERE e = 0
+UNION ALL SELECT g, 'no_start', NULL, 1 FROM all_flows WHERE e = 1
+UNION ALL SELECT g, 'invalid_node', NULL, 1 FROM f UNION ALL SELECT g, 'invalid_node', 'a', 1 FROM f WHERE s = 0
+UNION ALL SELECT g, 'duplicate_node', 'n1', 1 FROM f WHERE c = 1
+UNION ALL SELECT g, 'unknown_tools', 'n1', CASE WHEN t IN (1, 2) THEN 1 ELSE 2 END FROM f WHERE c <> 1
+UNION ALL SELECT g, 'several_starts', NULL, 2 FROM f WHERE s > 0
+UNION ALL SELECT g, 'dangling_edge', 'z→q', 1 FROM f
+UNION ALL SELECT g, 'dangling_edge', 'a→n1', 1 FROM f WHERE s = 0 UNION ALL SELECT g, 'dangling_edge', 'a→n' || c, 1 FROM f WHERE s = 0""")
+def flow_warnings(spark, sf):
+    return _flows(spark, sf)[2]
