@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import language
-from weftline.operators import linting, redteam, schemas, scoring, validators
+from weftline.operators import graphs, lifecycle, linting, redteam, schemas, scoring, validators
 from weftline.session import table
+from weftline.sources import readers
 
 
 # languages
@@ -288,3 +289,47 @@ def test_metrics_of_nothing_and_of_lone_splits(spark):
     assert got["splits"]['b"']["validators"] == {"k": {"total": 1, "passRate": 0.0, "warnRate": 0.0, "failRate": 1.0, "meanScore": None}}
     empty = json.loads(scoring.metrics_document(items.limit(0), checks.limit(0), calls, {"x": 4}, {"n": 1}).first().document)
     assert empty["splits"] == {} and empty["overall"]["n"] == 1
+
+
+# files, libraries, graphs, grids
+
+
+def test_files_and_libraries_of_odd_kinds(spark):
+    files = spark.createDataFrame(
+        [("a.html", None, b"<p>Hi<br>you</p>"), ("a.htm", "", b""), ("b.bin", "TEXT/HTML; charset=utf-8", b"<b>x</b>"), ("c.md", None, b" m \r\n"), (None, None, b"x"), ("d.txt", None, None), ("e.txt", None, b"y" * 101)],
+        "name string, mime string, content binary",
+    )
+    got = {r.name: (r.kind, r.status, r.text) for r in readers.file_texts(files, most_bytes=100).collect()}
+    assert got == {
+        "a.html": ("html", "ok", "Hi\nyou"), "a.htm": ("html", "empty", None), "b.bin": ("html", "ok", "x"), "c.md": ("txt", "ok", "m"), None: (None, "unsupported", None),
+        "d.txt": ("txt", "empty", None), "e.txt": ("txt", "too_large", None),
+    }
+    rows = spark.createDataFrame([(1, None, None, 'q"', None, "3", '[{"role": "user"}]'), (2, "x", "w", None, "{}", None, None), (3, "", "w", "d", "[1]", "[2]", "[1]")], "row_idx long, conversation_id string, workflow string, domain string, shared_entities string, functions string, messages string")
+    got = {r.row_idx: (r.conversation_id, json.loads(r.library)) for r in readers.library_pairs(rows).collect()}
+    empty = {"shared_entities": {}, "functions": []}
+    assert got == {1: ("workflow-1", {"domain": 'q"', "workflow": "", **empty}), 3: ("w-3", {"domain": "d", "workflow": "w", "shared_entities": {}, "functions": [2]})}
+
+
+def test_graphs_of_odd_documents(spark):
+    edge = lambda a, b, **more: {"source": a, "target": b, **more}
+    nodes = [{"id": "s", "type": "start"}, {"id": 3, "type": "end"}, {"id": "x", "type": "action", "data": {"toolIds": "t"}}, {"id": "x", "type": "end"}, None, "n"]
+    documents = [None, "{bad", "[]", "{}", '{"nodes": 3}', json.dumps({"nodes": nodes, "edges": [edge("s", "x", id="e2"), edge("x", "s"), edge("s", "x", id="e2", label=4), 7, edge("s", None), edge(1, "x")]})]
+    df = spark.createDataFrame(list(enumerate(documents)), "graph_id int, document string")
+    found, edges, warnings = graphs.coerced(df)
+    assert sorted((r.graph_id, r.id, r.kind, r.tools) for r in found.collect()) == [(5, "s", "start", []), (5, "x", "action", [])]
+    assert sorted((r.id, r.source, r.target, r.label) for r in edges.collect()) == [("e2", "s", "x", None), ("e2_2", "x", "s", None), ("e2_3", "s", "x", None)]
+    got = sorted((r.graph_id, r.warning, r.subject) for r in warnings.collect())
+    assert got == [(0, "not_an_object", None), (1, "not_an_object", None), (2, "not_an_object", None), (3, "no_start", None), (4, "no_start", None), (5, "dangling_edge", "s→"), (5, "dangling_edge", "→x"), (5, "duplicate_node", "x"), (5, "invalid_node", None)]
+
+
+def test_grids_of_odd_runs(spark):
+    runs = [(1, None), (2, "{bad"), (3, '{"personaIds": ["a", "b"], "difficulties": [], "samplesPerCell": 0}'), (4, '{"taxonomyNodeIds": ["t"], "samplesPerCell": 2}')]
+    got = sorted(((r.run_id, r.place, r.persona, r.topic) for r in lifecycle.replicated(spark.createDataFrame(runs, "run_id int, config string")).collect()), key=repr)
+    assert got == [(1, 0, None, None), (2, 0, None, None), (3, 0, "a", None), (3, 1, "b", None), (4, 0, None, "t"), (4, 1, None, "t")]
+
+
+def test_loanwords_and_lists(spark):
+    df = spark.createDataFrame([("Router saya rosak, please HELP fix café ab",), (None,)], "t string")
+    assert [r[0] for r in df.select(validators.loanwords(F.col("t"), validators.TELCO_LOANWORDS)).collect()] == [["rosak", "please", "HELP", "fix"], []]
+    assert [r[0] for r in df.select(validators.loanwords(F.col("t"), known=())).collect()][0][0] == "Router"
+    assert [r[0] for r in spark.createDataFrame([("Yang",), ("the",), (None,)], "w string").select(validators.is_known_malay(F.col("w"))).collect()] == [True, False, False]

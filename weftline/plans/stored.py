@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import exports
+from weftline.operators import exports, lifecycle
 from weftline.plans.inputs import inputs
 from weftline.plans.registry import query
 from weftline.plans.tools import _CALLED, _transcripts
@@ -161,3 +161,47 @@ def conversation_traces(spark, sf):
     checks = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("conversation_id"), F.col("l_returnflag").alias("validator"), F.col("l_linestatus").alias("verdict"), F.col("l_linenumber").alias("place"))
     none = spark.createDataFrame([], "conversation_id long, ordinal long, role string, content string")
     return exports.traces(conversations, none, checks, personas, runs, jobs, events)
+
+
+# --- files, libraries, runs made anew --------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT CASE doc_id % 5 WHEN 0 THEN 'd.TXT' WHEN 1 THEN 'd.pdf' WHEN 2 THEN 'd' WHEN 3 THEN 'd.docx' ELSE 'd.bin' END || doc_id % 5 AS name, kind, CASE WHEN n > 6000 THEN 'too_large' WHEN kind = 'txt' THEN 'ok' ELSE 'unsupported' END AS status,
+  CASE WHEN n <= 6000 AND kind = 'txt' THEN sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) END AS text
+FROM (SELECT *, strlen(text) AS n, CASE doc_id % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'txt' WHEN 3 THEN 'docx' END AS kind FROM {documents} WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')""")
+def texts_of_files(spark, sf):
+    """Documents as files of five kinds, by their media types; large ones are not read."""
+    k = F.col("doc_id") % 5
+    mime = F.when(k == 0, "text/plain").when(k == 1, "application/pdf").when(k == 2, "text/csv").when(k == 3, "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("application/octet-stream")
+    name = F.concat(F.when(k == 0, "d.TXT").when(k == 1, "d.pdf").when(k == 2, "d").when(k == 3, "d.docx").otherwise("d.bin"), k.cast("string"))
+    docs = table(spark, sf, "documents").where(r"text RLIKE '[^ \\t\\n\\r]'")
+    found = readers.file_texts(docs.select(name.alias("name"), mime.alias("mime"), F.encode("text", "UTF-8").alias("content")), most_bytes=6000)
+    return found.withColumn("text", F.sha2("text", 256))
+
+
+@query("""
+SELECT CAST(o_orderkey AS BIGINT) AS row_idx, CASE o_custkey % 3 WHEN 0 THEN 'c' || o_orderkey ELSE CASE o_custkey % 2 WHEN 0 THEN 'returns' ELSE 'workflow' END || '-' || o_orderkey END AS conversation_id,
+  '{"domain":"' || o_orderstatus || '","workflow":"' || CASE o_custkey % 2 WHEN 0 THEN 'returns' ELSE '' END || '","shared_entities":' || CASE o_custkey % 5 WHEN 0 THEN '{"e":1}' ELSE '{}' END || ',"functions":' || CASE o_custkey % 5 WHEN 1 THEN '[{"name":"f"}]' ELSE '[]' END || '}' AS library
+FROM {orders} WHERE o_orderkey % 4 > 1""")
+def library_pairs_of_rows(spark, sf):
+    """Rows with their own libraries, of which parts lack or are no JSON; messages that are empty or broken drop the row."""
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf, "orders").select(
+        key.cast("long").alias("row_idx"), F.when(c % 3 == 0, F.concat(F.lit("c"), key.cast("string"))).when(c % 3 == 1, "").alias("conversation_id"), F.when(c % 2 == 0, "returns").alias("workflow"), F.col("o_orderstatus").alias("domain"),
+        F.when(c % 5 == 0, '{"e":1}').when(c % 5 == 1, "[]").when(c % 5 == 2, "{bad").alias("shared_entities"), F.when(c % 5 == 1, '[{"name":"f"}]').when(c % 5 == 3, "{}").alias("functions"),
+        F.when(key % 4 == 0, "[]").when(key % 4 == 1, "{bad").otherwise('[{"role":"user"}]').alias("messages"),
+    )
+    return readers.library_pairs(rows).select("row_idx", "conversation_id", "library")
+
+
+@query("""
+WITH r AS (SELECT CAST(c_custkey AS BIGINT) AS run_id, c_nationkey AS n, CASE c_custkey % 3 WHEN 0 THEN ['p1', 'p2'] WHEN 1 THEN ['p3'] ELSE [NULL] END AS p, CASE c_custkey % 2 WHEN 0 THEN ['t1', 't2', 't3'] ELSE [NULL] END AS t, ['easy', 'hard'] AS d, CASE WHEN c_nationkey % 4 > 0 THEN c_nationkey % 4 ELSE 1 END AS m FROM {customer}),
+a AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM r), b AS (SELECT *, unnest(range(1, len(t) + 1)) AS j FROM a), c AS (SELECT *, unnest(range(1, len(d) + 1)) AS k FROM b), e AS (SELECT *, unnest(range(1, m + 1)) AS x FROM c)
+SELECT run_id, CAST((((i - 1) * len(t) + j - 1) * len(d) + k - 1) * m + x - 1 AS BIGINT) AS place, p[i] AS persona, t[j] AS topic, d[k] AS difficulty FROM e""")
+def replicated_jobs(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    personas = F.when(k % 3 == 0, '["p1", "p2"]').when(k % 3 == 1, '["p3"]').otherwise("[]")
+    topics = F.when(k % 2 == 0, ', "taxonomyNodeIds": ["t1", "t2", "t3"]').otherwise("")
+    config = F.format_string('{"personaIds": %s%s, "difficulties": ["easy", "hard"], "samplesPerCell": %d}', personas, topics, (n % 4).cast("int"))
+    return lifecycle.replicated(table(spark, sf, "customer").select(k.cast("long").alias("run_id"), config.alias("config")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.text import html_text, tidy
+
 MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string,name:string>"
 CONVERSATION = f"conversation_id string, workflow_name string, domain string, messages array<{MESSAGE}>, metadata variant"
 
@@ -56,5 +58,46 @@ def jdbc_table(spark: SparkSession, url: str, query: str, key: str | None = None
     return reader.option("lowerBound", low).option("upperBound", high).option("numPartitions", parts).load()
 
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+def libraries(rows: DataFrame) -> DataFrame:
+    """`rows` with JSON columns of libraries made sound: shared_entities is a JSON object, `{}` where it is none; functions is an array, `[]` where it is none."""
+    kind = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit(""))
+    return rows.withColumns({
+        "shared_entities": F.when(kind("shared_entities").startswith("OBJECT"), F.col("shared_entities")).otherwise("{}"),
+        "functions": F.when(kind("functions").startswith("ARRAY"), F.col("functions")).otherwise("[]"),
+    })
+
+
+def library_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (row_idx, conversation_id, library, messages) from rows of strings (row_idx, conversation_id, workflow, domain, shared_entities, functions, messages).
+
+    library is a JSON object of the row's own library; a row whose messages are no JSON array, or an empty one, is passed over. Without a
+    conversation_id it is the workflow and row_idx, with a hyphen; a null workflow is `workflow`.
+    """
+    sound = libraries(rows).where(F.coalesce(F.schema_of_variant(F.try_parse_json("messages")).startswith("ARRAY"), F.lit(False)) & (F.coalesce(F.json_array_length("messages"), F.lit(0)) > 0))
+    string = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    library = F.concat(F.lit('{"domain":'), string(F.col("domain")), F.lit(',"workflow":'), string(F.col("workflow")), F.lit(',"shared_entities":'), "shared_entities", F.lit(',"functions":'), "functions", F.lit("}"))
+    made = F.concat_ws("-", F.coalesce("workflow", F.lit("workflow")), F.col("row_idx").cast("string"))
+    return sound.select("row_idx", F.when(F.coalesce("conversation_id", F.lit("")) == "", made).otherwise(F.col("conversation_id")).alias("conversation_id"), library.alias("library"), "messages")
+
+
+def file_kind(name: Column, mime: Column) -> Column:
+    """pdf, docx, html or txt by the media type or else the name's ending; null for others."""
+    mime, name = F.lower(F.coalesce(mime, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    return (
+        F.when((mime == "application/pdf") | name.endswith(".pdf"), "pdf").when(mime.contains("wordprocessingml") | name.endswith(".docx"), "docx")
+        .when(mime.startswith("text/html") | name.endswith(".html") | name.endswith(".htm"), "html")
+        .when(mime.startswith("text/") | name.endswith(".txt") | name.endswith(".md"), "txt")
+    )
+
+
+def file_texts(files: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
+    """Rows (name, kind, status, text) from files (name, mime, content as bytes), such as `binaryFile` reads.
+
+    status is ok, too_large (beyond `most_bytes`), unsupported (pdf, docx and unknown kinds) or empty (no text, or null content); text only where it is ok.
+    """
+    kind, size = file_kind(F.col("name"), F.col("mime")), F.octet_length("content")
+    raw = F.decode("content", "UTF-8")
+    text = F.when(kind == "html", html_text(raw)).otherwise(tidy(raw))
+    rows = files.select("name", kind.alias("kind"), F.when(size > most_bytes, "too_large").when(F.coalesce(~kind.isin("html", "txt"), F.lit(True)), "unsupported").otherwise("ok").alias("status"), text.alias("text"))
+    status = F.when((F.col("status") == "ok") & (F.coalesce("text", F.lit("")) == ""), "empty").otherwise(F.col("status"))
+    return rows.select("name", "kind", status.alias("status"), F.when(status == "ok", F.col("text")).alias("text"))
