@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -13,8 +14,11 @@ from weftline.streaming import follow
 
 
 def put(folder, name, rows):
+    """A file that comes a second after the one before: streams take files by their times."""
     folder.mkdir(exist_ok=True)
     (folder / f".{name}").write_text("\n".join(map(json.dumps, rows)))
+    at = 1_700_000_000 + len(list(folder.glob("*.json")))
+    os.utime(folder / f".{name}", (at, at))
     (folder / f".{name}").rename(folder / name)
 
 
