@@ -45,7 +45,7 @@ class LanguageModel:
 
 
 #: Labelled rows of a language that are counted, about; all, where there are fewer.
-SAMPLE_ROWS = 500
+SAMPLE_ROWS = 200
 
 
 def sampled(rows: DataFrame, key: str, language: str = "language", most: int = SAMPLE_ROWS) -> DataFrame:
