@@ -176,6 +176,20 @@ def test_odd_schemas_and_examples(spark):
         schemas.example_breaches(tools, deep)
 
 
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_examples_are_shuffled_once_at_most(spark, sent, monkeypatch):
+    """One join by tool, none of all values by path; depth is counted in containers that hold something."""
+    monkeypatch.setattr(schemas, "SENT", sent)
+    tools = spark.createDataFrame([(1, '{"properties": {"a": {"items": {"type": "integer"}}}}')], "tool long, parameters string")
+    at = lambda n, inner: '{"x": "[{\\\\\\"[", "y": ' + "[" * n + inner + "]" * n + "}"
+    rows = [(1, 1, '{"a": [1, "x", 2.0, null]}'), (1, 2, at(23, "1")), (1, 3, at(24, ""))]
+    found = schemas.example_breaches(tools, spark.createDataFrame(rows, "tool long, example long, value string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted((r.example, r.path, r.rule, r.detail) for r in found.collect()) == [(1, "a.1", "type", "string"), (1, "a.3", "type", "null")]
+    with pytest.raises(ValueError, match="deeper"):
+        schemas.example_breaches(tools, spark.createDataFrame([(1, 4, at(24, "1"))], "tool long, example long, value string"))
+
+
 # transcripts
 
 MESSAGE = "conversation_id long, ordinal int, role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, payload boolean, agent string, off_topic boolean"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ PROMPT_STARTS = (
 )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, where `value` is an expression that stands in the body several times: it is built and evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the UTF-8 text, lowercase hex; null stays null."""
     return F.sha2(text, 256)
