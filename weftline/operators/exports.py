@@ -77,9 +77,13 @@ def traces(conversations: DataFrame, messages: DataFrame, validations: DataFrame
     """
     listed = lambda df, key, order: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in (key, *order)]))).alias("listed"))
     last = jobs.groupBy("conversation_id").agg(F.max_by(F.struct(*[c for c in jobs.columns if c != "conversation_id"]), "job_id").alias("job"), F.max("job_id").alias("job_id"))
+    # Events meet the jobs, not the conversations: those without a job would all come to one task, with all they hold.
+    happened = listed(events, "job_id", ["seq"]).withColumnRenamed("listed", "events")
+    last = last.where("job_id IS NOT NULL").join(happened, "job_id", "left").select("conversation_id", "job", "events").unionByName(last.where("job_id IS NULL").select("conversation_id", "job"), allowMissingColumns=True)
     rows = conversations.join(personas.select("persona_id", F.struct(*personas.columns).alias("persona")), "persona_id", "left").join(runs.select("run_id", F.struct(*runs.columns).alias("run")), "run_id", "left").join(last, "conversation_id", "left")
-    for name, df, key, order in (("messages", messages, "conversation_id", ["ordinal"]), ("validations", validations, "conversation_id", ["validator", "verdict"]), ("events", events, "job_id", ["seq"])):
-        found = listed(df, key, order)
-        rows = rows.join(found.withColumnRenamed("listed", name), key, "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema["listed"].dataType)))
+    rows = rows.withColumn("events", F.coalesce("events", F.array().cast(happened.schema["events"].dataType)))
+    for name, df, order in (("messages", messages, ["ordinal"]), ("validations", validations, ["validator", "verdict"])):
+        found = listed(df, "conversation_id", order)
+        rows = rows.join(found.withColumnRenamed("listed", name), "conversation_id", "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema["listed"].dataType)))
     own = F.struct(*[c for c in conversations.columns if c not in ("persona_id",)])
     return rows.select("conversation_id", _with_nulls(F.struct(F.lit(1).alias("_schemaVersion"), own.alias("conversation"), "messages", "validations", "persona", "run", "job", "events")).alias("trace"))
