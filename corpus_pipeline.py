@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Candidates meet at the anchors of `simhash`; the similarity is the texts' exact Jaccard similarity.
+    Texts whose SimHash fingerprints are near meet at op5's anchors, those farther apart by min-hash keys; the similarity is the
+    texts' exact Jaccard similarity.
     """
     return simhash.keep_one(docs, shingle=5)
 

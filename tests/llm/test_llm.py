@@ -459,6 +459,21 @@ def test_longer_blocks_lose_no_link(spark, monkeypatch):
         assert {n: found.get(n, n) for n in signed} == want
 
 
+def test_near_fingerprints_meet_at_anchors_alone(spark, monkeypatch):
+    """Near copies whose fingerprints differ in at most 4 bits are found without any min-hash key, each pair by the covering."""
+    monkeypatch.setattr(simhash, "_by_band", lambda marks: iter([(np.arange(len(marks)) + (1 << 30), np.arange(len(marks)), np.ones(len(marks), bool))]))
+    rng = random.Random(23)
+    texts = {}
+    for base in range(30):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts[base * 10] = " ".join(own)
+        texts[base * 10 + 1] = " ".join([*own[:-1], "other"])
+    bits = lambda i: (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 1], 5)).bit_count()
+    near = {i + 1 for i in range(0, 300, 10) if bits(i) <= simhash.MAX_BITS}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=5).collect()}
+    assert len(near) > 20 and kept == set(texts) - near
+
+
 def test_share_of_pairs_seen():
     """Of pairs of sets at exactly 0.8 about 99 in 100 have an equal key; of those that share a fifth hardly any."""
     rng = np.random.default_rng(17)

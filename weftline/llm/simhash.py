@@ -13,13 +13,13 @@ rows. Anchors that are home to very many fingerprints are split: homes are dealt
 part; homes go to half of the other parts as replicas too, so that any two of them meet. Equal fingerprints are merged
 before all this.
 
-`keep_one` removes near copies by the exact Jaccard similarity of word shingles, 0.8 or more. Such sets differ in about 15
-of 100 fingerprint bits, too many for a covering whose rows a text would not grow with the table; so candidates come
-from `BANDS` keys a text, each of the least hashes of its shingles under `BAND_ROWS` functions, whatever the table's size.
-A pair at exactly 0.8 has an equal key with a probability of 0.992, one at 0.85 of 0.9997; texts that share
-a fifth of their shingles meet once in 15,000 pairs. Texts with equal keys are compared as homes of one anchor are, hot keys
-split alike: if their fingerprints differ in at most `NEAR_BITS` bits, a link counts if the two sets, read from
-the shared folder (`sets`), have a similarity of 0.8 or more. A text sends `BANDS` rows of 20 bytes.
+`keep_one` removes near copies by the exact Jaccard similarity of word shingles, 0.8 or more. Texts whose fingerprints differ
+in at most 4 bits meet at the anchors above, and there only; each link counts if the two sets, read from the shared folder
+(`sets`), have that similarity. Sets at 0.8 differ in about 15 of 100 bits, too many for a covering whose rows a text
+would not grow with the table; so texts of 5 to `NEAR_BITS` differing bits meet by `BANDS` further keys a text, each of the least
+hashes of its shingles under `BAND_ROWS` functions. A pair at exactly 0.8 has an equal key with a probability of 0.992, one
+at 0.85 of 0.9997; texts that share a fifth of their shingles meet once in 15,000 pairs. Texts with equal keys are compared
+as homes of one anchor are, hot keys split alike. A text sends `BANDS` rows of 20 bytes beside its anchors' rows.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other. Repeated rows share a
 fingerprint. A component whose ids are all null has a null component_id.
@@ -319,15 +319,16 @@ def _link(max_bits: int):
     return run
 
 
-def _link_similar(folder: str):
-    """One slot: a spanning forest of the links of a Jaccard similarity of 0.8 or more; rows send (place, fingerprint)."""
+def _link_similar(folder: str, least: int, most: int):
+    """One slot: a spanning forest of the links of a Jaccard similarity of 0.8 or more and `least` to `most` differing bits; rows send (place, fingerprint)."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, sent, own = _unpacked(table)
         nodes, index = np.unique(sent[:, 0], return_inverse=True)
         label, held = np.arange(len(nodes)), sets.Heads(folder, nodes)
         for a, b in _met(keys, own, index, label):
-            near = np.bitwise_count(sent[a, 1] ^ sent[b, 1]) <= NEAR_BITS
+            bits = np.bitwise_count(sent[a, 1] ^ sent[b, 1])
+            near = (least <= bits) & (bits <= most)
             a, b = index[a[near]], index[b[near]]
             pairs = np.unique(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
             a, b = pairs // len(nodes), pairs % len(nodes)
@@ -389,9 +390,18 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_
     return marked.join(labelled.join(ids, "component").select("fp", "component", "component_id"), "fp")
 
 
+def covered_links(distinct: DataFrame, folder: str) -> DataFrame:
+    """Rows (a, b) of places of sets of a similarity of 0.8 or more whose fingerprints are within `MAX_BITS`: all that meet at the anchors of `links`."""
+    n = distinct.count()
+    blocks = cover(n)
+    rows = distinct.select("sent", F.substring("sent", 9, 8).alias("marks"))
+    return _links(rows, _anchors_of(blocks), len(blocks), n, _link_similar(folder, 0, MAX_BITS))
+
+
 def similar_links(distinct: DataFrame, folder: str) -> DataFrame:
     """Rows (a, b) of places of sets that connect those of a similarity of 0.8 or more; `distinct` has (sent, marks)."""
-    return _links(distinct.select("sent", "marks"), _by_band, BANDS, distinct.count(), _link_similar(folder))
+    farther = _links(distinct.select("sent", "marks"), _by_band, BANDS, distinct.count(), _link_similar(folder, MAX_BITS + 1, NEAR_BITS))
+    return covered_links(distinct, folder).unionAll(farther)
 
 
 def _marked_sets(docs: DataFrame, shingle: int, folder: str) -> DataFrame:
