@@ -347,3 +347,18 @@ def test_loanwords_and_lists(spark):
     assert [r[0] for r in df.select(validators.loanwords(F.col("t"), validators.TELCO_LOANWORDS)).collect()] == [["rosak", "please", "HELP", "fix"], []]
     assert [r[0] for r in df.select(validators.loanwords(F.col("t"), known=())).collect()][0][0] == "Router"
     assert [r[0] for r in spark.createDataFrame([("Yang",), ("the",), (None,)], "w string").select(validators.is_known_malay(F.col("w"))).collect()] == [True, False, False]
+
+
+def test_attacks_are_computed_once(spark, sf_dir):
+    """Lines are read for the targets alone; all else comes from the messages that are stored."""
+    from weftline.plans import registry
+
+    plan = registry.QUERIES["redteam_lint"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+
+
+def test_lint_computes_its_messages_once(spark):
+    call = "array<struct<id:string,name:string,arguments:string>>"
+    messages = spark.range(3).selectExpr("id AS conversation_id", "0 AS ordinal", "'user' AS role", "'x' AS content", f"CAST(NULL AS {call}) AS tool_calls", "CAST(NULL AS STRING) AS tool_call_id")
+    found = linting.lint_transcripts(messages, spark.createDataFrame([("a",)], "name string"))
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graphs, linting, redteam, runs, schemas, scoring, validators
 from weftline.plans.registry import query
-from weftline.session import table
+from weftline.session import stored, table
 
 # --- examples of tools -----------------------------------------------------------------------------------------------
 
@@ -71,7 +71,7 @@ def _called(spark, sf):
 
 def _attacks(spark, sf):
     """Each order is a conversation: a user message, a call and a result for each line, a last attack and a last answer."""
-    lines = _called(spark, sf).withColumn("name", F.expr(_NAME)).withColumn("id", F.concat_ws("-", "k", "n"))
+    lines = stored(_called(spark, sf), "called").withColumn("name", F.expr(_NAME)).withColumn("id", F.concat_ws("-", "k", "n"))
     none = F.lit(None)
     row = lambda df, ordinal, role, content, calls=none, call=none, payload=none: df.select(
         F.col("k").alias("conversation_id"), ordinal.cast("int").alias("ordinal"), F.lit(role).alias("role"), content.cast("string").alias("content"),
@@ -81,13 +81,14 @@ def _attacks(spark, sf):
     arguments = F.when(F.col("part") % 5 == 0, "{bad").when(F.col("part") % 5 == 1, "{}").otherwise('{"id": 1}')
     made = F.array(F.struct("id", "name", arguments.alias("arguments")))
     result = F.when((F.col("flag") != "N") & (F.col("tax") > 0), '{"error": {"http_status": 403}}').otherwise('{"ok": true}')
-    return (
+    messages = (
         row(orders, F.lit(0), "user", F.when(F.col("k") % 2 == 0, "hello Puan").otherwise("wah boss"), payload=F.when(F.col("k") % 3 == 0, True))
         .unionAll(row(lines, F.col("n") * 2, "assistant", F.lit(""), made))
         .unionAll(row(lines, F.col("n") * 2 + 1, "tool", result, call=F.col("id")))
         .unionAll(row(orders, F.lit(99), "user", F.lit("now"), payload=F.col("k") % 2 == 0))
         .unionAll(row(orders, F.lit(100), "assistant", F.lit("no")))
     )
+    return stored(messages, "attacks")
 
 
 def _functions(spark):

@@ -86,3 +86,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{folder or tempfile.mkdtemp(prefix='weftline-')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` from files in the shared folder, for what is read several times: it is computed once, and each use reads its own columns."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
