@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.session import stored
+
 VOCATIVES = ("Encik", "Puan", "Sir", "Madam")
 
 
@@ -32,6 +34,7 @@ def unpaired_results(messages: DataFrame) -> DataFrame:
 def lint_transcripts(messages: DataFrame, library: DataFrame, forbidden: tuple[str, ...] = (), turns: tuple[int, int] = (10, 20), functions: int = 8) -> DataFrame:
     """Unknown functions, arguments and contents that are no JSON, unpaired results, forbidden words, a missing
     vocative, too few or many user turns, too few distinct functions. `library` has name."""
+    messages = stored(messages, "messages")
     calls = tool_calls(messages)
     spoken = messages.where("role IN ('user', 'assistant')")
     per = messages.groupBy("conversation_id").agg(F.count_if(F.col("role") == "user").alias("n_user"), F.bool_or((F.col("role").isin("user", "assistant")) & F.col("content").rlike(r"\b(" + "|".join(VOCATIVES) + r")\b")).alias("addressed"))
