@@ -89,6 +89,18 @@ def test_similarity_is_strict_and_accuracy_is_not(spark):
     assert [(r.r["correct"], r.r["total"], r.r["accuracy"]) for r in got] == [(1, 2, 0.5), (0, 0, 1.0), (0, 0, 1.0)]
 
 
+
+def test_only_texts_that_share_characters_are_matched(monkeypatch):
+    """Of equal texts and of texts without a common character the ratio is known; the others have difflib's."""
+    rng = random.Random(7)
+    texts = ["", "a", *("".join(rng.choices("abxyz"[i % 4 :], k=rng.choice((1, 3, 250)))) for i in range(24))]
+    matcher, searched = difflib.SequenceMatcher, []
+    monkeypatch.setattr(similarity.difflib, "SequenceMatcher", lambda *given: searched.append(given[1:]) or matcher(*given))
+    for a in texts:
+        for b in texts:
+            assert similarity.similarity({"t": a}, {"t": b}) == matcher(None, a, b).ratio()
+    assert searched and all(a != b and set(a) & set(b) for a, b in searched)
+
 def test_two_medians(spark):
     s = spark.createDataFrame([(1, "a", 1.0), (1, "a", 4.0)], "item int, axis string, score double")
     v = spark.createDataFrame([(1, "odd"), (1, "warn")], "item int, verdict string")

@@ -18,19 +18,31 @@ def similarity(a: object, b: object) -> float:
     if type(a) is not type(b):
         return 0.0
     if isinstance(a, dict):
-        keys = a.keys() | b.keys()
-        return sum(similarity(a[k], b[k]) for k in keys if k in a and k in b) / len(keys) if keys else 1.0
+        both = [similarity(x, b[k]) for k, x in a.items() if k in b]
+        return sum(both) / (len(a) + len(b) - len(both)) if a or b else 1.0
     if isinstance(a, list):
         return sum(map(similarity, a, b)) / max(len(a), len(b)) if a or b else 1.0
     if isinstance(a, str):
-        return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+        return matched(a.lower(), b.lower())
     return float(a == b)
 
 
+def matched(a: str, b: str) -> float:
+    """The share of matching runs; equal texts, and texts without a common character, are not searched for them."""
+    if a == b:
+        return 1.0
+    if set(a).isdisjoint(b):
+        return 0.0
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+_decode = json.JSONDecoder().decode
+
+
 def arguments(text: str | None) -> dict:
     """Arguments from JSON text; {} where that is no object."""
     try:
-        value = json.loads(text or "{}")
+        value = _decode(text or "{}")
     except ValueError:
         return {}
     return value if isinstance(value, dict) else {}
