@@ -6,6 +6,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,56 @@ def test_replay_then_follow(spark, tmp_path):
     assert len(rows) == 7
 
 
+class State:
+    """A value or a map of one key, which counts how often it is asked."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        rows = self.rows
+        does = {
+            "exists": lambda: bool(rows), "get": lambda: rows[()], "update": lambda value: rows.update({(): value}), "containsKey": lambda k: k in rows,
+            "getValue": lambda k: rows[k], "updateValue": lambda k, value: rows.update({k: value}), "removeKey": lambda k: rows.pop(k),
+        }[name]
+        self.calls += 1
+        return does
+
+
+def followed(chunks):
+    """What a key's events come to, call by call, and how often the state was asked."""
+    last, held = State(), State()
+    handle = type("Handle", (), {"getValueState": lambda *a: last, "getMapState": lambda *a: held})()
+    processor = follow._Follow()
+    processor.init(handle)
+    frames = [[pd.DataFrame(rows, columns=["seq", "event", "payload"]) for rows in chunk] for chunk in chunks]
+    out = [tuple(r) for chunk in frames for f in processor.handleInputRows(("k",), iter(chunk), None) for r in f.itertuples(index=False)]
+    return out, last.calls + held.calls, held.rows
+
+
+def test_only_events_behind_a_gap_go_to_the_state():
+    rows = [(i, f"e{i}", "{}") for i in range(1000)]
+    out, calls, held = followed([[rows[:600], rows[600:]], [rows]])
+    assert out == [("k", *r) for r in rows] and not held and calls < 10
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_of_repeated_events_the_first_counts(seed):
+    """In any order, over any batches and calls, some numbers missing: as if each event were looked at by itself."""
+    rng = random.Random(seed)
+    numbers = [n for n in range(30) if n not in rng.sample(range(12, 60), 6)]
+    rows = [(rng.choice(numbers), f"e{i}", None if i % 7 == 0 else "{}") for i in range(90)] if seed % 2 else [(n, f"e{i}", "{}") for i, n in enumerate(rng.sample(numbers * 2, 2 * len(numbers)))]
+    cuts = sorted(rng.sample(range(len(rows)), 5))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    out, _, held = followed([parts[:2], parts[2:3], parts[3:]])
+    first = {}
+    for n, event, payload in rows:
+        first.setdefault(n, (event, payload))
+    end = next(n for n in range(99) if n not in first)
+    assert out == [("k", n, *first[n]) for n in range(end)]
+    assert held == {(n,): said for n, said in first.items() if n > end}
+
+
 @pytest.mark.parametrize("files", [1, 4])
 def test_changed_snapshots_of_a_stream_are_those_of_the_batch(spark, tmp_path, files):
     rng = random.Random(files)

@@ -31,20 +31,35 @@ class _Follow(StatefulProcessor):
         self.last.update((int(initial["seq"].max()),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else -1
+        """Each access to the state is a call to the JVM, so only events that stay behind a gap go there, and `last` once a batch of rows."""
+        last, waiting = self.last.get()[0] if self.last.exists() else -1, None
         for batch in rows:
-            for seq, event, payload in zip(batch["seq"], batch["event"], batch["payload"], strict=True):
-                if seq > last and not self.held.containsKey((int(seq),)):
-                    self.held.updateValue((int(seq),), (event, payload))
-        out = []
-        while self.held.containsKey((last + 1,)):
-            last += 1
-            event, payload = self.held.getValue((last,))
-            self.held.removeKey((last,))
-            out.append((key[0], last, event, payload))
-        if out:
-            self.last.update((last,))
-            yield pd.DataFrame(out, columns=["key", "seq", "event", "payload"])
+            came = {}
+            for seq, event, payload in zip(batch["seq"].tolist(), batch["event"].tolist(), batch["payload"].tolist(), strict=True):
+                if seq > last:
+                    came.setdefault(int(seq), (event, payload))
+            if not came:
+                continue
+            waiting = self.held.exists() if waiting is None else waiting
+            out = []
+            while True:
+                if waiting and self.held.containsKey((last + 1,)):
+                    event, payload = self.held.getValue((last + 1,))
+                    self.held.removeKey((last + 1,))
+                    came.pop(last + 1, None)
+                elif last + 1 in came:
+                    event, payload = came.pop(last + 1)
+                else:
+                    break
+                last += 1
+                out.append((key[0], last, event, payload))
+            for seq, said in came.items():
+                if not (waiting and self.held.containsKey((seq,))):
+                    self.held.updateValue((seq,), said)
+            waiting = waiting or bool(came)
+            if out:
+                self.last.update((last,))
+                yield pd.DataFrame(out, columns=["key", "seq", "event", "payload"])
 
     def close(self) -> None:
         pass
