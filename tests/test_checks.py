@@ -336,6 +336,23 @@ def test_graphs_of_odd_documents(spark):
     assert got == [(0, "not_an_object", None), (1, "not_an_object", None), (2, "not_an_object", None), (3, "no_start", None), (4, "no_start", None), (5, "dangling_edge", "s→"), (5, "dangling_edge", "→x"), (5, "duplicate_node", "x"), (5, "invalid_node", None)]
 
 
+
+def test_nodes_alone_need_one_parse_and_no_job(spark, monkeypatch):
+    """Nodes are computed without edges, without files in between, from one scan; a tool that is asked for twice is there twice."""
+    monkeypatch.setattr(graphs, "cut", None)
+    monkeypatch.setattr(graphs, "stored", None)
+    act = lambda name, tools: {"id": name, "type": "action", "data": {"toolIds": tools}}
+    nodes = [{"id": "s", "type": "start"}, act("a", ["t", "u", 3, "t"]), act("b", ["u"]), act("c", []), {"id": "d", "type": "intent", "data": {"toolIds": ["t"]}}, {"id": "a", "type": "start"}, {"id": "z", "type": "start"}]
+    df = spark.createDataFrame([(1, json.dumps({"nodes": nodes})), (2, json.dumps({"nodes": nodes[1:5]}))], "graph_id int, document string")
+    sound = [(1, 0, "s", "start", []), (1, 4, "d", "intent", []), (1, 6, "z", "intent", [])]
+    tools = spark.createDataFrame([("t",), ("t",), (None,), ("x",)], "tool_id string")
+    found = graphs.coerced_nodes(df, tools)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([*sound, (1, 1, "a", "action", ["t", "t"]), (1, 2, "b", "action", []), (1, 3, "c", "action", [])])
+    every = graphs.coerced_nodes(df).collect()
+    assert sorted(tuple(r) for r in every) == sorted([*sound, (1, 1, "a", "action", ["t", "u", "3", "t"]), (1, 2, "b", "action", ["u"]), (1, 3, "c", "action", [])])
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("posexplode(try_variant_get") == 1 and final.count("ReusedExchange") == 1
+
 def test_grids_of_odd_runs(spark):
     runs = [(1, None), (2, "{bad"), (3, '{"personaIds": ["a", "b"], "difficulties": [], "samplesPerCell": 0}'), (4, '{"taxonomyNodeIds": ["t"], "samplesPerCell": 2}')]
     got = sorted(((r.run_id, r.place, r.persona, r.topic) for r in lifecycle.replicated(spark.createDataFrame(runs, "run_id int, config string")).collect()), key=repr)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.session import cut, stored
 
 
 def clean_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,49 +26,105 @@ def clean_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 KINDS = ("start", "intent", "action", "condition", "end")
 
 
-def coerced(documents: DataFrame, tools: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and warnings of flow graphs from their JSON texts (graph_id, document), whatever is in them.
+def _text(path, c="n"):
+    return F.when(F.schema_of_variant(F.try_variant_get(c, path, "variant")) == "STRING", F.try_variant_get(c, path, "string"))
 
-    Nodes (graph_id, place, id, kind, tools): of a JSON object's `nodes`, in order, the objects with a text as id and a kind of `KINDS`; of an id
-    the first; starts behind the first become intents; of an action's toolIds those that `tools` (tool_id) has, all without it. Edges
-    (graph_id, place, id, source, target, label): those with both ends among the nodes; without an id it is e and the number from 1, and an id
-    that an earlier edge has gets its number behind `_`. Warnings (graph_id, warning, subject, n): invalid_node, duplicate_node, unknown_tools,
-    several_starts, dangling_edge; errors, of which graphs have no nodes and edges: not_an_object, no_start. Entries that are no objects
-    go without a word. One join for each check; no graph is gathered in a row.
-    """
-    parsed = documents.select("graph_id", F.try_parse_json("document").alias("v"))
-    text = lambda path, c="n": F.when(F.schema_of_variant(F.try_variant_get(c, path, "variant")) == "STRING", F.try_variant_get(c, path, "string"))
-    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    listed = lambda field: parsed.where(whole).select("graph_id", F.posexplode(F.try_variant_get("v", f"$.{field}", "array<variant>")).alias("place", "n")).where(F.coalesce(F.schema_of_variant("n").startswith("OBJECT"), F.lit(False)))
+
+def _listed(documents: DataFrame, field: str) -> DataFrame:
+    """The entries (graph_id, place, n) of a document's list; what is no object has none. A document is parsed once."""
+    return documents.select("graph_id", F.posexplode(F.try_variant_get(F.try_parse_json("document"), f"$.{field}", "array<variant>")).alias("place", "n"))
+
+
+def _is_object(c):
+    """Of an entry with a text in one of its fields this is known; its whole schema, as asked here, is dear."""
+    return F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+
+
+def _read(listed: DataFrame) -> DataFrame:
     asked = F.transform(F.coalesce(F.try_variant_get("n", "$.data.toolIds", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$", "string"))
-    read = listed("nodes").select("graph_id", "place", text("$.id").alias("id"), text("$.type").alias("kind"), asked.alias("asked"))
-    read = cut(read.withColumn("sound", (F.coalesce("id", F.lit("")) != "") & F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))))
-    sound = read.where("sound").withColumn("nth", F.row_number().over(W.partitionBy("graph_id", "id").orderBy("place")))
-    kept = sound.where("nth = 1")
-    starts = kept.where("kind = 'start'").groupBy("graph_id").agg(F.min("place").alias("first"), F.count("*").alias("starts"))
-    nodes = cut(kept.join(starts, "graph_id").withColumn("kind", F.when((F.col("kind") == "start") & (F.col("place") > F.col("first")), "intent").otherwise(F.col("kind"))))
-    action = nodes.where("kind = 'action'").select("graph_id", "place", "id", F.posexplode("asked").alias("at", "tool_id"))
-    known = action.where("tool_id IS NOT NULL") if tools is None else action.join(tools.select("tool_id").distinct(), "tool_id", "left_semi")
-    used = known.groupBy("graph_id", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tool_id"))), lambda x: x["tool_id"]).alias("tools"))
-    ids = nodes.select("graph_id", "id")
-    ends = cut(listed("edges").select("graph_id", "place", text("$.id").alias("id"), text("$.source").alias("source"), text("$.target").alias("target"), text("$.label").alias("label")).join(starts.select("graph_id"), "graph_id", "left_semi"))
-    there = lambda end: ids.select("graph_id", F.col("id").alias(end))
-    edges = ends.join(there("source"), ["graph_id", "source"], "left_semi").join(there("target"), ["graph_id", "target"], "left_semi")
+    kind = _text("$.type")
+    read = listed.select("graph_id", "place", _text("$.id").alias("id"), kind.alias("kind"), F.when(kind == "action", asked).alias("asked"))
+    return read.withColumn("sound", (F.coalesce("id", F.lit("")) != "") & F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)))
+
+
+def _placed(read: DataFrame) -> DataFrame:
+    """Sound nodes with their number among those of their id, and of their graph the place of the first start and the count of starts. One shuffle."""
+    sound = read.where("sound").drop("sound").repartition("graph_id")
+    numbered = sound.withColumn("nth", F.row_number().over(W.partitionBy("graph_id", "id").orderBy("place")))
+    start = F.when((F.col("nth") == 1) & (F.col("kind") == "start"), F.col("place"))
+    return numbered.withColumns({"first": F.min(start).over(W.partitionBy("graph_id")), "starts": F.count(start).over(W.partitionBy("graph_id"))})
+
+
+def _kept(placed: DataFrame) -> DataFrame:
+    later = (F.col("kind") == "start") & (F.col("place") > F.col("first"))
+    return placed.where("nth = 1 AND first IS NOT NULL").withColumn("kind", F.when(later, "intent").otherwise(F.col("kind")))
+
+
+def _ends(listed: DataFrame) -> DataFrame:
+    return listed.select("graph_id", "place", _text("$.id").alias("id"), _text("$.source").alias("source"), _text("$.target").alias("target"), _text("$.label").alias("label"))
+
+
+def _joined(ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    there = lambda end: nodes.select("graph_id", F.col("id").alias(end))
+    return ends.join(there("source"), ["graph_id", "source"], "left_semi").join(there("target"), ["graph_id", "target"], "left_semi")
+
+
+def _asked(nodes: DataFrame, tools: DataFrame | None) -> DataFrame:
+    """A row for each tool that an action asks for, with its node and whether the tool is known."""
+    asked = nodes.where("kind = 'action' AND size(asked) > 0").select("graph_id", "place", "id", "kind", F.posexplode("asked").alias("at", "tool_id"))
+    if tools is None:
+        return asked.withColumn("known", F.col("tool_id").isNotNull())
+    return asked.join(tools.select("tool_id").distinct().withColumn("known", F.lit(True)), "tool_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def coerced_nodes(documents: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """The nodes of `coerced` alone; neither edges nor warnings are computed. Only actions that ask for tools are joined and grouped."""
+    nodes = _kept(_placed(_read(_listed(documents, "nodes"))))
+    tool = F.struct("at", "tool_id")
+    used = _asked(nodes, tools).groupBy("graph_id", "place").agg(F.first("id").alias("id"), F.first("kind").alias("kind"), F.transform(F.array_sort(F.collect_list(F.when(F.col("known"), tool))), lambda x: x["tool_id"]).alias("tools"))
+    rest = nodes.where("NOT (kind = 'action' AND size(asked) > 0)").select("graph_id", "place", "id", "kind", F.array().cast("array<string>").alias("tools"))
+    return rest.unionAll(used)
+
+
+def coerced_edges(documents: DataFrame) -> DataFrame:
+    """The edges of `coerced` alone."""
+    edges = _joined(_ends(_listed(documents, "edges")), _kept(_placed(_read(_listed(documents, "nodes")))))
     named = edges.withColumn("id", F.when(F.coalesce("id", F.lit("")) == "", F.concat(F.lit("e"), (F.col("place") + 1).cast("string"))).otherwise(F.col("id")))
     again = F.row_number().over(W.partitionBy("graph_id", "id").orderBy("place")) > 1
     named = named.withColumn("id", F.when(again, F.concat_ws("_", "id", (F.col("place") + 1).cast("string"))).otherwise(F.col("id")))
+    return named.select("graph_id", "place", "id", "source", "target", "label")
+
+
+def coerced_warnings(documents: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """The warnings of `coerced` alone; sound nodes and edges are stored, as several warnings read them."""
+    listed = _listed(documents, "nodes")
+    placed, ends = stored(_placed(_read(listed)), "placed"), stored(_ends(_listed(documents, "edges").where(_is_object("n"))), "ends")
+    unsound = _read(listed.where(_is_object("n"))).where("NOT sound")
+    nodes, starts = _kept(placed), placed.where("nth = 1 AND place = first").select("graph_id", "starts")
+    whole = _is_object(F.try_parse_json("document"))
     rows = lambda df, name, subject, n=F.lit(1): df.select("graph_id", F.lit(name).alias("warning"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
-    lost = action.join(known.select("graph_id", "place", "at"), ["graph_id", "place", "at"], "left_anti").groupBy("graph_id", "id").agg(F.count("*").alias("lost"))
-    dangling = ends.join(edges.select("graph_id", "place"), ["graph_id", "place"], "left_anti")
+    lost = _asked(nodes, tools).where("NOT known").groupBy("graph_id", "id").agg(F.count("*").alias("lost"))
+    dangling = ends.join(starts.select("graph_id"), "graph_id", "left_semi").join(_joined(ends, nodes).select("graph_id", "place"), ["graph_id", "place"], "left_anti")
     none = F.lit(None)
-    warnings = (
-        rows(parsed.where(~whole), "not_an_object", none).unionAll(rows(parsed.where(whole).join(starts, "graph_id", "left_anti"), "no_start", none))
-        .unionAll(rows(read.where("NOT sound"), "invalid_node", F.col("id"))).unionAll(rows(sound.where("nth > 1"), "duplicate_node", F.col("id")))
+    return (
+        rows(documents.where(~whole), "not_an_object", none).unionAll(rows(documents.where(whole).join(starts, "graph_id", "left_anti"), "no_start", none))
+        .unionAll(rows(unsound, "invalid_node", F.col("id"))).unionAll(rows(placed.where("nth > 1"), "duplicate_node", F.col("id")))
         .unionAll(rows(lost, "unknown_tools", F.col("id"), F.col("lost"))).unionAll(rows(starts.where("starts > 1"), "several_starts", none, F.col("starts")))
         .unionAll(rows(dangling, "dangling_edge", F.concat(F.coalesce("source", F.lit("")), F.lit("→"), F.coalesce("target", F.lit("")))))
     )
-    found = nodes.join(used, ["graph_id", "place"], "left").select("graph_id", "place", "id", "kind", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"))
-    return found, named.select("graph_id", "place", "id", "source", "target", "label"), warnings
+
+
+def coerced(documents: DataFrame, tools: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and warnings of flow graphs from their JSON texts (graph_id, document), whatever is in them.
+
+    Nodes (graph_id, place, id, kind, tools): of a JSON object's `nodes`, in order, the objects with a text as id and a kind of `KINDS`; of an id
+    the first; starts behind the first become intents; of an action's toolIds those that `tools` (tool_id) has, all without it. Edges
+    (graph_id, place, id, source, target, label): those with both ends among the nodes; without an id it is e and the number from 1, and an id
+    that an earlier edge has gets its number behind `_`. Warnings (graph_id, warning, subject, n): invalid_node, duplicate_node, unknown_tools,
+    several_starts, dangling_edge; errors, of which graphs have no nodes and edges: not_an_object, no_start. Entries that are no objects
+    go without a word. No graph is gathered in a row. Who needs one of the three takes `coerced_nodes`, `coerced_edges` or `coerced_warnings`.
+    """
+    return coerced_nodes(documents, tools), coerced_edges(documents), coerced_warnings(documents, tools)
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int | None = None) -> DataFrame:

@@ -289,7 +289,7 @@ def _flows(spark, sf):
         F.when(F.col("s") == 0, "begin").otherwise("start"), F.col("c").cast("int"), F.col("t").cast("int"), F.col("c").cast("int"),
     )
     documents = o.select(F.col("g").alias("graph_id"), F.when(F.col("e") == 0, "[]").when(F.col("e") == 1, '{"nodes": 1}').otherwise(document).alias("document"))
-    return graphs.coerced(documents, spark.createDataFrame([("t1",), ("t2",), ("t9",)], "tool_id string"))
+    return documents, spark.createDataFrame([("t1",), ("t2",), ("t9",)], "tool_id string")
 
 
 _SOUND = f"f AS (SELECT * FROM ({_FLOW}) WHERE e > 1)"
@@ -302,7 +302,7 @@ UNION ALL SELECT g, 2, 'n' || c, 'intent', '' FROM f
 UNION ALL SELECT g, 3, 'n1', 'action', CASE WHEN t IN (1, 2) THEN 't' || t || ',t9' ELSE 't9' END FROM f WHERE c <> 1
 UNION ALL SELECT g, 4, 'z', CASE WHEN s > 0 THEN 'intent' ELSE 'start' END, '' FROM f""")
 def flow_nodes(spark, sf):
-    return _flows(spark, sf)[0].withColumn("tools", F.array_join("tools", ","))
+    return graphs.coerced_nodes(*_flows(spark, sf)).withColumn("tools", F.array_join("tools", ","))
 
 
 @query(f"""
@@ -310,7 +310,7 @@ WITH {_SOUND}
 SELECT g AS graph_id, 0 AS place, 'e1' AS id, 'a' AS source, 'n1' AS target, NULL AS label FROM f WHERE s > 0
 UNION ALL SELECT g, 1, 'e1_2', 'a', 'n' || c, 'x' FROM f WHERE s > 0""")
 def flow_edges(spark, sf):
-    return _flows(spark, sf)[1]
+    return graphs.coerced_edges(_flows(spark, sf)[0])
 
 
 @query(f"""
@@ -324,4 +324,4 @@ UNION ALL SELECT g, 'several_starts', NULL, 2 FROM f WHERE s > 0
 UNION ALL SELECT g, 'dangling_edge', 'z→q', 1 FROM f
 UNION ALL SELECT g, 'dangling_edge', 'a→n1', 1 FROM f WHERE s = 0 UNION ALL SELECT g, 'dangling_edge', 'a→n' || c, 1 FROM f WHERE s = 0""")
 def flow_warnings(spark, sf):
-    return _flows(spark, sf)[2]
+    return graphs.coerced_warnings(*_flows(spark, sf))
