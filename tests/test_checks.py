@@ -353,6 +353,47 @@ def test_nodes_alone_need_one_parse_and_no_job(spark, monkeypatch):
     final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("posexplode(try_variant_get") == 1 and final.count("ReusedExchange") == 1
 
+
+def _edges_by_hand(number, nodes, edges):
+    """Edges and dangling edges of a graph, entry by entry."""
+    first, taken, kept, dangling = {}, set(), [], []
+    for n in nodes:
+        if isinstance(n, dict) and isinstance(n.get("id"), str) and n["id"] and n.get("type") in graphs.KINDS:
+            first.setdefault(n["id"], n["type"])
+    said = lambda x: x if isinstance(x, str) else None
+    for place, e in enumerate(edges):
+        if "start" not in first.values() or not isinstance(e, dict):
+            continue
+        source, target = said(e.get("source")), said(e.get("target"))
+        if source not in first or target not in first:
+            dangling.append((number, f"{source or ''}→{target or ''}"))
+            continue
+        name = said(e.get("id")) or f"e{place + 1}"
+        kept.append((number, place, f"{name}_{place + 1}" if name in taken else name, source, target, said(e.get("label"))))
+        taken.add(name)
+    return kept, dangling
+
+
+def test_edges_meet_nodes_without_a_broadcast(spark, tmp_path):
+    """Catalyst takes the nodes of documents in files for few; even so their ids don't go through the driver, and rows are those found by hand."""
+    one = random.Random(4).choice
+    node = lambda: one([7, None, "a", {"id": one(["a", "b", "c", "", 3, None]), "type": one([*graphs.KINDS, "start", "begin", None])}])
+    edge = lambda: one([7, None, *[{"id": one(["e1", "e2", "k", "", 5, None]), "source": one(["a", "b", "c", "", 3, None]), "target": one(["a", "b", "q", None]), "label": one(["x", 1, None])}] * 6])
+    made = [(i, [node() for _ in range(i % 9)], [edge() for _ in range(i % 7)]) for i in range(300)]
+    hub = (300, [{"id": "a", "type": "start"}, *[{"id": f"n{i}", "type": "end"} for i in range(50)]], [{"source": "a", "target": f"n{i % 60}"} for i in range(400)])
+    rows = [(i, json.dumps({"nodes": nodes, "edges": edges})) for i, nodes, edges in [*made, hub]]
+    spark.createDataFrame(rows, "graph_id int, document string").write.parquet(str(tmp_path / "documents"))
+    documents = spark.read.parquet(str(tmp_path / "documents"))
+    want = [_edges_by_hand(*graph) for graph in [*made, hub]]
+    found, warnings = graphs.coerced_edges(documents), graphs.coerced_warnings(documents)
+    ordered = lambda rows: sorted(rows, key=repr)
+    assert ordered(tuple(r) for r in found.collect()) == ordered(e for kept, _ in want for e in kept)
+    assert ordered((r.graph_id, r.subject) for r in warnings.where("warning = 'dangling_edge'").collect()) == ordered(d for _, dangling in want for d in dangling)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, warnings)]
+    assert "Join" not in plans[0] and plans[0].split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    assert "Broadcast" not in plans[1]
+
+
 def test_grids_of_odd_runs(spark):
     runs = [(1, None), (2, "{bad"), (3, '{"personaIds": ["a", "b"], "difficulties": [], "samplesPerCell": 0}'), (4, '{"taxonomyNodeIds": ["t"], "samplesPerCell": 2}')]
     got = sorted(((r.run_id, r.place, r.persona, r.topic) for r in lifecycle.replicated(spark.createDataFrame(runs, "run_id int, config string")).collect()), key=repr)

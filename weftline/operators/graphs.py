@@ -64,9 +64,18 @@ def _ends(listed: DataFrame) -> DataFrame:
     return listed.select("graph_id", "place", _text("$.id").alias("id"), _text("$.source").alias("source"), _text("$.target").alias("target"), _text("$.label").alias("label"))
 
 
-def _joined(ends: DataFrame, nodes: DataFrame) -> DataFrame:
-    there = lambda end: nodes.select("graph_id", F.col("id").alias(end))
-    return ends.join(there("source"), ["graph_id", "source"], "left_semi").join(there("target"), ["graph_id", "target"], "left_semi")
+def _met(ends: DataFrame, sound: DataFrame) -> DataFrame:
+    """The edges of graphs that have a start, and in `met` whether both ends are among the sound nodes. One shuffle by graph, and no join.
+
+    Catalyst takes the entries of a JSON list for few rows; of a join, it would have the ids of all nodes broadcast by the driver.
+    """
+    ids = sound.select("graph_id", "place", F.col("id").alias("source"), F.col("id").alias("target"), "kind")
+    rows = ids.unionByName(ends, allowMissingColumns=True).where("graph_id IS NOT NULL").repartition("graph_id")
+    node = F.col("kind").isNotNull()
+    rows = rows.withColumn("first", F.min(F.when(node, F.col("place"))).over(W.partitionBy("graph_id", "source")))
+    rows = rows.withColumn("opened", F.max((F.col("kind") == "start") & (F.col("place") == F.col("first"))).over(W.partitionBy("graph_id"))).where("opened")
+    rows = rows.withColumn("met", F.col("first").isNotNull() & F.max(node).over(W.partitionBy("graph_id", "target")))
+    return rows.where(~node).select("graph_id", "place", "id", "source", "target", "label", "met")
 
 
 def _asked(nodes: DataFrame, tools: DataFrame | None) -> DataFrame:
@@ -88,7 +97,8 @@ def coerced_nodes(documents: DataFrame, tools: DataFrame | None = None) -> DataF
 
 def coerced_edges(documents: DataFrame) -> DataFrame:
     """The edges of `coerced` alone."""
-    edges = _joined(_ends(_listed(documents, "edges")), _kept(_placed(_read(_listed(documents, "nodes")))))
+    ends = _ends(_listed(documents, "edges")).where("source IS NOT NULL AND target IS NOT NULL")
+    edges = _met(ends, _read(_listed(documents, "nodes")).where("sound")).where("met")
     named = edges.withColumn("id", F.when(F.coalesce("id", F.lit("")) == "", F.concat(F.lit("e"), (F.col("place") + 1).cast("string"))).otherwise(F.col("id")))
     again = F.row_number().over(W.partitionBy("graph_id", "id").orderBy("place")) > 1
     named = named.withColumn("id", F.when(again, F.concat_ws("_", "id", (F.col("place") + 1).cast("string"))).otherwise(F.col("id")))
@@ -104,10 +114,10 @@ def coerced_warnings(documents: DataFrame, tools: DataFrame | None = None) -> Da
     whole = _is_object(F.try_parse_json("document"))
     rows = lambda df, name, subject, n=F.lit(1): df.select("graph_id", F.lit(name).alias("warning"), subject.cast("string").alias("subject"), n.cast("long").alias("n"))
     lost = _asked(nodes, tools).where("NOT known").groupBy("graph_id", "id").agg(F.count("*").alias("lost"))
-    dangling = ends.join(starts.select("graph_id"), "graph_id", "left_semi").join(_joined(ends, nodes).select("graph_id", "place"), ["graph_id", "place"], "left_anti")
+    dangling = _met(ends, nodes).where("NOT met")
     none = F.lit(None)
     return (
-        rows(documents.where(~whole), "not_an_object", none).unionAll(rows(documents.where(whole).join(starts, "graph_id", "left_anti"), "no_start", none))
+        rows(documents.where(~whole), "not_an_object", none).unionAll(rows(documents.where(whole).join(starts.hint("merge"), "graph_id", "left_anti"), "no_start", none))
         .unionAll(rows(unsound, "invalid_node", F.col("id"))).unionAll(rows(placed.where("nth > 1"), "duplicate_node", F.col("id")))
         .unionAll(rows(lost, "unknown_tools", F.col("id"), F.col("lost"))).unionAll(rows(starts.where("starts > 1"), "several_starts", none, F.col("starts")))
         .unionAll(rows(dangling, "dangling_edge", F.concat(F.coalesce("source", F.lit("")), F.lit("→"), F.coalesce("target", F.lit("")))))
